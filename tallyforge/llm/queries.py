@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe_codec, ngram_join, substring_dedup, token_counts
+from tallyforge.llm import bpe_codec, decontaminate, ngram_join, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -30,8 +36,35 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_decontaminate": op5_decontaminate,
     "op6_ngram_join": op6_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text once A-Z are lower case, in DuckDB; replaces {w} with the text.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce({w}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+        WITH docs AS (SELECT doc_id, {SQL_WORDS.format(w="text")} AS w FROM documents),
+        item AS (SELECT item_id, {SQL_WORDS.format(w="text")} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size, list_slice(w, p0, p0 + least(len(w), 10) - 1) AS win
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p0 FROM item WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (
+            SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p0 FROM docs, sizes WHERE len(w) >= size),
+        hits AS (
+            SELECT doc_id, p0, p.size, item_id
+            FROM (SELECT doc_id, p0, size, list_slice(w, p0, p0 + size - 1) AS win FROM places) p
+            JOIN windows b ON b.size = p.size AND b.win = p.win),
+        covered AS (
+            SELECT doc_id, count(DISTINCT pos) AS n
+            FROM (SELECT doc_id, unnest(range(p0, p0 + size)) AS pos FROM hits) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+        FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)""",
+}
