@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe_codec, decontaminate, ngram_join, substring_dedup, token_counts
+from tallyforge.llm import bpe_codec, decontaminate, license_scan, ngram_join, substring_dedup, token_counts, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+#: The rules of op2's contract.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), digests=True)
 
@@ -33,12 +41,23 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda x: x["at"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filters": op2_url_filters,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_decontaminate": op5_decontaminate,
     "op6_ngram_join": op6_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_license_scan": op9_license_scan,
 }
 
 #: Words of a text once A-Z are lower case, in DuckDB; replaces {w} with the text.
