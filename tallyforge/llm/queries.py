@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe_codec, decontaminate, license_scan, ngram_join, substring_dedup, token_counts, url_filters
+from tallyforge.llm import bpe_codec, decontaminate, license_scan, ngram_join, substring_dedup, token_counts, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder)
+    back = warc.read(index, folder, payloads=False)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_decontaminate": op5_decontaminate,
     "op6_ngram_join": op6_ngram_join,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
 }
