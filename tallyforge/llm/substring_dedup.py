@@ -23,6 +23,9 @@ from tallyforge.llm import _buffers
 WINDOW, PERIOD = 50, 31
 #: A perfect difference set modulo 31.
 COVER = (0, 1, 3, 8, 12, 18)
+#: Buckets of hashes at least. A document gets a row of findings from each bucket that has some,
+#: so with few, the rows of a document would grow with the buckets rather than with its findings.
+BUCKETS = 64
 #: Stands for a null id: larger than any other.
 NO_ID = (1 << 63) - 1
 
@@ -189,15 +192,15 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, key, text of every row, dealt by key; key, cells: starts of the windows to remove)."""
-    n = partitions(docs)
+    n, dealt = partitions(docs), max(BUCKETS, partitions(docs))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
         F.col(text_col).alias("text"),
     )
     by_key = rows.repartition(n, "key")  # one shuffle of the texts, which both joins below read
-    near = anchors(rows, n).groupBy("key").agg(F.collect_list("at").alias("cells"))
-    hit = windows(by_key.join(near.hint("shuffle_hash"), "key").select("id", "key", "text", "cells"), n)
+    near = anchors(rows, dealt).groupBy("key").agg(F.collect_list("at").alias("cells"))
+    hit = windows(by_key.join(near.hint("shuffle_hash"), "key").select("id", "key", "text", "cells"), dealt)
     return by_key, hit.groupBy("key").agg(F.collect_list("at").alias("cells"))
 
 
