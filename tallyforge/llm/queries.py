@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe_codec, decontaminate, license_scan, ngram_join, substring_dedup, token_counts, toxicity, url_filters, warc
+from tallyforge.llm import bpe_codec, decontaminate, license_scan, media, ngram_join, substring_dedup, token_counts, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited crops of every image whose id is divisible by 20, against all images."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.find_copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
+    "op10_image_copies": op10_image_copies,
 }
 
 #: Words of a text once A-Z are lower case, in DuckDB; replaces {w} with the text.

@@ -243,3 +243,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = joined.mapInArrow(run, f"id long, n_words long, n_removed long, {name} string")
     kind = docs.schema[id_col].dataType
     return out.select(F.nullif("id", F.lit(NO_ID)).cast(kind).alias(id_col), "n_words", "n_removed", name)
+
+
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with their columns and texts as remove_repeats gives them; repeated rows stay repeated."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows, cells = repeats(docs, id_col, text_col)
+    changed = rows.join(cells.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("id", "key", "text", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in _buffers.each_step(batch, 2, lower=False):
+                gone = covered(words, batch.column(3).slice(a, b - a).to_pylist(), 0, WINDOW - 1)
+                data, texts = words.data.tobytes(), []
+                for lo, hi in zip(words.first, words.first[1:], strict=False):
+                    texts.append(b" ".join([data[words.starts[w] : words.ends[w]] for w in np.flatnonzero(~gone[lo:hi]) + lo]).decode())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], names=["_tf_key", "_tf_text"])
+
+    new = changed.mapInArrow(run, "_tf_key long, _tf_text string")
+    joined = docs.join(new, key == F.col("_tf_key"), "left")
+    return joined.select(*(F.coalesce("_tf_text", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
