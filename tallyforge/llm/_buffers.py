@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step handles; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 U = np.uint64
 _ODD, _ODD2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
