@@ -210,13 +210,14 @@ def with_features(rows: DataFrame, units: Units, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _buffers.raw(batch.column(len(keep)))
+            data, offsets = _buffers.raw(batch.column(at_text))
             for a, b in _buffers.steps(offsets):
                 at = offsets[a : b + 1]
                 x = features(data[at[0] : at[-1]], at - at[0], shared.value)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*keep, *NAMES])
 
-    return rows.select(*keep, "text").mapInArrow(run, ", ".join([kinds, *(f"{c} double" for c in NAMES)]))
+    at_text = keep.index("text") if "text" in keep else len(keep)
+    return rows.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, ", ".join([kinds, *(f"{c} double" for c in NAMES)]))
 
 
 @dataclass
@@ -280,5 +281,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that score below 0.5, all their columns unchanged."""
     model = fit(docs, labels, id_col, text_col)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    return model.score(rows, ["row"]).where("score < 0.5").select("row.*")
+    rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
+    kept = model.score(rows, rows.columns).where("score < 0.5").select(*rows.columns)
+    return kept.withColumnRenamed("text", text_col) if text_col != "text" else kept
