@@ -1,8 +1,10 @@
 """Exact Jaccard join of word-shingle sets, returned as classes of linked documents.
 
-Sets that link share one of their first floor(n / 5) + 1 shingles in any common order. The
-order is by hash, with shingles that crowd a tile put last. A tile is one such shingle and a band
-of set sizes, within which sizes differ by 1.25 times at most; the next lower band looks in too.
+In any common order, sets that link share at least k of their first floor(n / 5) + k shingles,
+here with k about a tenth of n: a document takes part only if enough of its first shingles occur
+elsewhere, and a pair counts only if it shares enough of them. The order is by hash, with shingles
+that crowd a tile put last. A tile is one such shingle and a band of set sizes, within which sizes
+differ by 1.25 times at most; the next lower band looks in too.
 
 First each document is checked against one candidate, the one that leads most of its tiles;
 that links the members of a group of copies without forming their pairs. Pairs are then formed
@@ -19,18 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _buffers, _components, _scratch
-from tallyforge.llm.substring_dedup import NO_ID, POSTINGS, Postings, partitions
+from tallyforge.llm.substring_dedup import BUCKETS, NO_ID, POSTINGS, Postings, partitions
 
 SHINGLE = 5
 #: Similarity at which two sets link, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Members from which on a tile's shingle goes to the end of the order, and how many do at most
 #: (they are broadcast: 2 MB). The order decides the cost, never the result.
-CROWD, CROWDS = 256, 1 << 18
+CROWD, CROWDS = 1024, 1 << 18
 #: Bits of a signature, and members of a tile that are compared in one piece.
 BITS, BLOCK = 1024, 4096
 #: Ids up to which a broadcast replaces a shuffle of the texts (about 24 bytes each).
 BROADCAST_IDS = 500_000
+#: Signatures up to which a broadcast carries them to the tiles (about 200 bytes each).
+BROADCAST_SIGNATURES = 100_000
 
 
 def sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -68,9 +72,14 @@ def measured(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, d long")
 
 
+def least_of(n):
+    """Of two sets that link, the smaller with n shingles: how many of their first shingles they share."""
+    return n // 10 + 1
+
+
 def first_of(n: int) -> int:
-    """Shingles of a set of n of which one at least is among the first of any set that links with it."""
-    return n - -(-n * NUMERATOR // DENOMINATOR) + 1
+    """How many are a set's first shingles."""
+    return n - -(-n * NUMERATOR // DENOMINATOR) + least_of(n)
 
 
 def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
@@ -138,6 +147,14 @@ def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
     return spread.mapInArrow(meet, "tile long, d long, n long, leader long")
 
 
+def enough(found: DataFrame) -> DataFrame:
+    """The tile rows of documents with as many as any link would take."""
+    found = _scratch.written(found, "all-tiles")
+    smallest = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+    many = found.groupBy("d", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.floor(smallest / 10) + 1)
+    return found.join(many.select("d"), "d", "left_semi")
+
+
 def bands(n: np.ndarray) -> np.ndarray:
     """Numbers of size bands: sets that link are in the same or in adjacent ones."""
     edges = [1]
@@ -200,50 +217,65 @@ def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame) -> DataFr
     block = F.pmod(F.hash("d"), F.col("blocks"))
     dealt = both.join(split, ["tile", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tile", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d", "n", "root", "probe", "block")
-    dealt = dealt.join(held.select("d", "bits"), "d")
+    keys, deal = ["tile", "band", "i", "j"], max(BUCKETS, partitions(found))
+    bits = held.select("d", "bits")
+    if bits.count() <= BROADCAST_SIGNATURES:
+        spread = dealt.repartition(deal, *keys).join(F.broadcast(bits), "d")
+    else:
+        spread = dealt.join(bits, "d").repartition(deal, *keys)
+    spread = spread.select(*keys, "d", "n", "root", "probe", "block", "bits").sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, pairs = None, [], []
+        held, rows = [], 0
         for batch in batches:
-            for t, bd, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (t, bd, i, j) != key and group:
-                    pairs += passed(group, key[2] != key[3])
-                    group = []
-                    if sum(map(len, pairs)) > 1_000_000:
-                        yield unique(pairs)
-                        pairs = []
-                key = (t, bd, i, j)
-                group.append(row)
-        if group:
-            pairs += passed(group, key[2] != key[3])
-        yield unique(pairs)
-
-    def passed(group: list, across: bool) -> list[np.ndarray]:
-        d, n, root, probe, block = (np.array(x) for x in zip(*(g[:5] for g in group), strict=True))
-        bits = np.frombuffer(b"".join(g[5] for g in group), np.uint64).reshape(len(group), -1)
-        out = []
-        for k in range(len(d)):
-            other = np.arange(k + 1, len(d))
-            other = other[(root[other] != root[k]) & ~(probe[other] & probe[k])]
-            if across:
-                other = other[block[other] != block[k]]
-            small, large = np.minimum(n[other], n[k]), np.maximum(n[other], n[k])
-            other = other[large * NUMERATOR <= small * DENOMINATOR]
-            # |A| + |B| - 2 |A and B| is at least the differing bits.
-            apart = np.bitwise_count(bits[other] ^ bits[k]).sum(1, dtype=np.int64)
-            both = (n[other] + n[k] - apart) // 2
-            other = other[both * DENOMINATOR >= (n[other] + n[k] - both) * NUMERATOR]
-            if len(other):
-                out.append(np.stack([np.minimum(d[other], d[k]), np.maximum(d[other], d[k])], 1))
-        return out
-
-    def unique(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-    keys = ["tile", "band", "i", "j"]
-    spread = dealt.select(*keys, "d", "n", "root", "probe", "block", "bits").repartition(partitions(found), *keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(compare, "a long, b long").distinct()
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 100_000:
+                t = pa.Table.from_batches(held)
+                group, last = numbered(t), t.num_rows
+                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                if cut:
+                    yield passed(t.slice(0, cut), group[:cut])
+                held, rows = t.slice(cut).to_batches(), last - cut
+        if held:
+            t = pa.Table.from_batches(held)
+            yield passed(t, numbered(t))
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    def passed(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        """Pairs of all groups at once: each row with the next, the one after that, and so on."""
+        i, j, d, n, root, block = (t.column(k).to_numpy() for k in ("i", "j", "d", "n", "root", "block"))
+        probe = t.column("probe").to_numpy(zero_copy_only=False)
+        body, at = _buffers.raw(t.column("bits").combine_chunks())
+        marks = body.view(np.uint64).reshape(len(at) - 1, -1)
+        out, row, step = [], np.arange(len(d) - 1), 1
+        while len(row):
+            row = row[row + step < len(d)]
+            row = row[group[row] == group[row + step]]
+            a, b = row, row + step
+            fit = (root[a] != root[b]) & ~(probe[a] & probe[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            fit &= large * NUMERATOR <= small * DENOMINATOR
+            a, b = a[fit], b[fit]
+            if len(a):
+                # |A| + |B| - 2 |A and B| is at least the differing bits.
+                apart = np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64)
+                both = (n[a] + n[b] - apart) // 2
+                fit = both * DENOMINATOR >= (n[a] + n[b] - both) * NUMERATOR
+                a, b = a[fit], b[fit]
+                out.append(np.stack([np.minimum(d[a], d[b]), np.maximum(d[a], d[b]), np.minimum(n[a], n[b])], 1))
+            step += 1
+        p, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([*(pa.array(p[:, k]) for k in range(3)), pa.array(times)], names=["a", "b", "n", "times"])
+
+    pairs = spread.mapInArrow(compare, "a long, b long, n long, times long").groupBy("a", "b", "n").agg(F.sum("times").alias("times"))
+    return pairs.where(F.col("times") >= F.floor(F.col("n") / 10) + 1).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,8 +289,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     all_sets = _scratch.written(measured(rows), "sets")
     crowded = None
-    for _ in range(3):
-        found = _scratch.written(tiles(rows, crowded), "tiles")
+    for _ in range(2):
+        found = _scratch.written(enough(tiles(rows, crowded)), "tiles")
         crowds = found.groupBy("tile").count().where(F.col("count") >= CROWD).orderBy(F.desc("count"), "tile").limit(CROWDS)
         late = np.array([r.tile for r in reversed(crowds.collect())], np.int64).view(np.uint64)
         fresh = np.setdiff1d(late, crowded if crowded is not None else np.zeros(0, np.uint64))
