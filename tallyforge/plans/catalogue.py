@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, numbers, text
-from tallyforge.operators import checks, facts, metrics
+from tallyforge.operators import checks, detect, facts, metrics, paths, resolve
 from tallyforge.plans.sales import REQUIRED, SQL, sales, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,13 +106,13 @@ def declaration_lag(spark, sf_dir):
 
 
 @query(
-    """SELECT source_file, num_contrat, date_effet, CAST(prime_totale AS DOUBLE) AS prime_totale, count(*) AS n, string_agg(CAST(source_row AS VARCHAR), ',' ORDER BY source_row) AS source_rows
+    """SELECT source_file, num_contrat, CAST(date_effet AS VARCHAR) AS date_effet, CAST(prime_totale AS DOUBLE) AS prime_totale, count(*) AS n, string_agg(CAST(source_row AS VARCHAR), ',' ORDER BY source_row) AS source_rows
        FROM sales GROUP BY source_file, num_contrat, date_effet, prime_totale HAVING count(*) > 1""",
     on_sales=True,
 )
 def duplicates_in_file(spark, sf_dir):
     found = checks.repeated_rows(sales(spark, sf_dir))
-    return found.select("source_file", "num_contrat", "date_effet", F.col("prime_totale").cast("double").alias("prime_totale"), "n", F.array_join(F.col("source_rows").cast("array<string>"), ",").alias("source_rows"))
+    return found.select("source_file", "num_contrat", F.col("date_effet").cast("string").alias("date_effet"), F.col("prime_totale").cast("double").alias("prime_totale"), "n", F.array_join(F.col("source_rows").cast("array<string>"), ",").alias("source_rows"))
 
 
 @query(
@@ -226,12 +226,12 @@ MONTH_LIST = "['Janvier', 'Février', 'Mars', 'Avril', 'Mai', 'Juin', 'Juillet',
 @query(
     f""", b AS (SELECT date_trunc('month', min(date_effet)) AS a, last_day(max(date_effet)) AS z FROM sales),
         d AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS "date" FROM b)
-        SELECT "date", CAST(year("date") AS INTEGER) AS annee, CAST(month("date") AS INTEGER) AS mois, {MONTH_LIST}[month("date")] AS nom_mois, strftime("date", '%Y-%m') AS annee_mois,
+        SELECT CAST("date" AS VARCHAR) AS "date", CAST(year("date") AS INTEGER) AS annee, CAST(month("date") AS INTEGER) AS mois, {MONTH_LIST}[month("date")] AS nom_mois, strftime("date", '%Y-%m') AS annee_mois,
                'T' || quarter("date") AS trimestre, CAST(day("date") AS INTEGER) AS jour, CAST(isodow("date") AS INTEGER) AS jour_semaine FROM d""",
     on_sales=True,
 )
 def date_dimension(spark, sf_dir):
-    return dates.calendar(F.col("first"), F.col("last"), metrics.date_bounds(sales(spark, sf_dir)))
+    return dates.calendar(F.col("first"), F.col("last"), metrics.date_bounds(sales(spark, sf_dir))).withColumn("date", F.col("date").cast("string"))
 
 
 @query("SELECT DISTINCT banque AS code, coalesce(r_name, banque) AS label FROM sales LEFT JOIN nation ON n_name = banque LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3", on_sales=True)
@@ -258,32 +258,32 @@ DAY = "CAST(o_orderdate AS DATE)"
 
 
 @query(
-    f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE {DAY} END AS parsed FROM orders"""
+    f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE CAST({DAY} AS VARCHAR) END AS parsed FROM orders"""
 )
 def parse_dates_day_first(spark, sf_dir):
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
     names = F.array(*map(F.lit, dates.MONTHS))
     written = (
-        F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy-M-d"))
+        F.when(k == 0, F.date_format(d, "dd/MM/yyyy")).when(k == 1, F.date_format(d, "yyyy-M-dd"))
         .when(k == 2, F.concat(F.date_format(d, "d"), F.lit(" "), F.substring(F.element_at(names, F.month(d)), 1, 9), F.lit(" "), F.date_format(d, "yyyy")))
         .when(k == 3, F.date_format(d, "dd.MM.yy")).when(k == 4, F.concat(F.lit("31/02/"), F.date_format(d, "yyyy"))).otherwise("99/99/9999")
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.to_date(written).alias("parsed"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.to_date(written).cast("string").alias("parsed"))
 
 
 @query(
-    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {DAY} END AS parsed FROM orders"""
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST({DAY} AS VARCHAR) END AS parsed FROM orders"""
 )
 def excel_serial_dates(spark, sf_dir):
     serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.serial_date(F.when(F.col("o_orderkey") % 5 == 0, serial - 10000.0 - 25000.0).otherwise(serial)).alias("parsed"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.serial_date(F.when(F.col("o_orderkey") % 5 == 0, serial - 10000.0 - 25000.0).otherwise(serial)).cast("string").alias("parsed"))
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END AS period FROM orders"""
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(o_orderdate + INTERVAL 10 YEAR, '%Y-%m') END AS period FROM orders"""
 )
 def resolve_period_from_name(spark, sf_dir):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    d, k = F.add_months("o_orderdate", 120), F.col("o_orderkey") % 4
     names = F.array(*map(F.lit, dates.MONTHS))
     name = (
         F.when(k == 0, F.concat(F.lit("Ventes_"), F.date_format(d, "yyyyMM"), F.lit(".xlsx"))).when(k == 1, F.concat(F.lit("ventes "), F.date_format(d, "MM-yyyy"), F.lit(".xlsx")))
@@ -318,7 +318,7 @@ def identifier_repair(spark, sf_dir):
        FROM (SELECT l_returnflag AS l_shipmode_like, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem) GROUP BY ALL"""
 )
 def parse_french_numbers(spark, sf_dir):
-    amount = F.format_string("%,.2f", F.col("l_extendedprice").cast("decimal(18,2)"))
+    amount = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
     french = F.concat(F.translate(amount, ",.", " ,"), F.lit(" DT"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("group"), F.when(F.col("l_returnflag") == "N", amount).otherwise(french).alias("raw"))
     votes = rows.groupBy("group").agg(numbers.decimal_separator(F.col("raw")).alias("separator"))
@@ -339,18 +339,17 @@ def decimal_separator_vote(spark, sf_dir):
 
 
 @query(
-    """SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN true ELSE false END AS percent, CAST(sum(CAST(l_discount AS DECIMAL(18,2)) * 100 / CASE WHEN l_linenumber % 2 = 0 THEN 100 ELSE 1 END) AS DECIMAL(18,2)) AS total
+    """SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN true ELSE false END AS percent, CAST(sum(CAST(l_discount AS DECIMAL(18,2)) * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 100 END) AS DOUBLE) AS total
        FROM lineitem GROUP BY ALL"""
 )
 def percent_vote_rescale(spark, sf_dir):
-    whole = (F.col("l_discount") * 100).cast("int").cast("string")
-    raw = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.rint(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(" %"))).otherwise(F.rint(F.col("l_discount") * 100).cast("int").cast("string"))
-    del whole
+    whole = F.rint(F.col("l_discount") * 100).cast("int").cast("string")
+    raw = F.when(F.col("l_linenumber") % 2 == 0, F.concat(whole, F.lit(" %"))).otherwise(whole)
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", raw.alias("raw"))
     votes = rows.groupBy("l_linenumber").agg(numbers.is_percent(F.col("raw")).alias("percent"))
     value = numbers.to_number(F.col("raw"), F.lit(",")).cast("decimal(18,2)")
     parsed = rows.join(votes, "l_linenumber").withColumn("v", F.when(F.col("percent"), (value / 100).cast("decimal(18,2)")).otherwise(value))
-    return parsed.groupBy("l_linenumber", "percent").agg(F.sum("v").cast("decimal(18,2)").alias("total"))
+    return parsed.groupBy("l_linenumber", "percent").agg(F.sum("v").cast("double").alias("total"))
 
 
 @query(
@@ -365,3 +364,209 @@ def coercion_report(spark, sf_dir):
     from tallyforge.operators.coerce import report
 
     return report(rows, "field", F.col("raw"), numbers.to_number(F.col("raw"), F.lit(",")), F.col("key"), keep=3)
+
+
+# Sheets as cells: every customer is a sheet with a title, a header, its orders, a total line and a stray number
+
+GRID_SQL = """o AS (SELECT o_custkey AS f, o_orderkey, o_totalprice, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders)"""
+HEADERS = ["N° Contrat", "Date d'effet", "Prime nette", "Frais", "Prime totale"]
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one sheet for each customer with orders; sheets start 0 to 2 rows further down."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("f"), "o_orderkey", "o_totalprice", "o_orderdate")
+    w = W.partitionBy("f")
+    o = o.withColumns({"i": F.row_number().over(w.orderBy("o_orderkey")).cast("int"), "k": F.count("*").over(w).cast("int"), "off": (F.col("f") % 3).cast("int")})
+
+    def cell(row, col, kind, s=None, n=None, d=None):
+        none = lambda x, t: F.lit(None).cast(t) if x is None else x.cast(t)
+        return F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), F.lit(kind).alias("kind"), none(s, "string").alias("s"), none(n, "double").alias("n"), none(d, "date").alias("d"))
+
+    at = F.col("off") + F.col("i") + 3
+    body = [cell(at, 1, "s", F.concat(F.lit("C-"), "o_orderkey")), cell(at, 2, "d", d=F.col("o_orderdate")), cell(at, 3, "n", n=F.col("o_totalprice")), cell(at, 4, "n", n=F.lit(5.0)), cell(at, 5, "n", n=F.col("o_totalprice") + 5)]
+    heads = [cell(F.col("off") + 3, c, "s", F.lit(h)) for c, h in enumerate(HEADERS, 1)]
+    title = [cell(F.col("off") + 1, 1, "s", F.lit("Etat des ventes du mois pour la banque"))]
+    end = F.col("off") + F.col("k")
+    rest = [cell(end + 4, 1, "s", F.lit("TOTAL")), cell(end + 4, 5, "n", n=F.lit(1e6)), cell(end + 7, 8, "n", n=F.lit(7.0))]
+    once = F.when(F.col("i") == 1, F.array(*title, *heads, *rest)).otherwise(F.array().cast("array<struct<row:int,col:int,kind:string,s:string,n:double,d:date>>"))
+    return o.select(F.col("f").alias("file_id"), F.lit("Ventes").alias("sheet"), F.explode(F.concat(once, F.array(*body))).alias("c")).select("file_id", "sheet", "c.*")
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    names = spark.createDataFrame([(h,) for h in HEADERS], "name string")
+    return names.select(text.normalize_header(F.col("name")).alias("norm"))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(filled cells, headers), kept: each of the steps behind reads both several times."""
+    cells = detect.filled(grid(spark, sf_dir)).persist()
+    return cells, detect.headers(cells, vocabulary(spark)).persist()
+
+
+@query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 3 AS INTEGER) AS header_row, CAST(f % 3 + 3 AS INTEGER) AS header_end FROM o GROUP BY f")
+def header_row_score(spark, sf_dir):
+    return sheets(spark, sf_dir)[1].select("file_id", "header_row", "header_end")
+
+
+@query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 4 AS INTEGER) AS data_start, CAST(f % 3 + 3 + max(k) AS INTEGER) AS data_end FROM o GROUP BY f")
+def table_extent(spark, sf_dir):
+    return detect.extents(*sheets(spark, sf_dir)).select("file_id", "data_start", "data_end")
+
+
+@query(
+    f"""WITH {GRID_SQL}, h AS (SELECT f, max(k) AS k FROM o GROUP BY f)
+        SELECT f AS file_id, CAST(f % 3 + 1 AS INTEGER) AS "row", 'above the header row' AS reason FROM h
+        UNION ALL SELECT f, CAST(f % 3 + k + 4 AS INTEGER), 'beyond the end of the table' FROM h
+        UNION ALL SELECT f, CAST(f % 3 + k + 7 AS INTEGER), 'beyond the end of the table' FROM h"""
+)
+def dropped_rows(spark, sf_dir):
+    cells, found = sheets(spark, sf_dir)
+    return detect.dropped_rows(cells, found, detect.extents(cells, found).persist())
+
+
+@query(
+    """SELECT o_custkey AS file_id, unnest(['n contrat', 'date d effet', 'prime nette', 'frais', 'prime totale']) AS normalized, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS col, 1.0::DOUBLE AS fill
+       FROM (SELECT DISTINCT o_custkey FROM orders)"""
+)
+def column_selection(spark, sf_dir):
+    cells, found = sheets(spark, sf_dir)
+    kept = detect.selected_columns(cells, detect.header_labels(cells, found), detect.extents(cells, found))
+    return kept.select("file_id", "col", "normalized", "fill")
+
+
+@query(
+    """SELECT o_custkey AS file_id, count(*) AS total, count(*) AS non_blank, 1.0::DOUBLE AS numeric_ratio, CAST(count(DISTINCT o_totalprice) AS DOUBLE) / count(*) AS unique_ratio, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value
+       FROM orders GROUP BY ALL"""
+)
+def column_profile(spark, sf_dir):
+    cells, found = sheets(spark, sf_dir)
+    extent = detect.extents(cells, found).persist()
+    rows = extent.select("file_id", (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("rows"))
+    data = detect.block(cells, extent).where("col = 3").withColumns({"shown": F.col("n").cast("string"), "number": F.col("n"), "date": F.col("d")})
+    return resolve.profiles(data, rows).select("file_id", "total", "non_blank", "numeric_ratio", "unique_ratio", "min_value", "max_value")
+
+
+@query(
+    """SELECT o_custkey AS file_id, CASE WHEN max(o_totalprice) > 400000 THEN 'above the largest value' ELSE '' END AS warnings FROM orders GROUP BY ALL"""
+)
+def content_warnings(spark, sf_dir):
+    due = spark.createDataFrame([("prime_nette", "numeric", 0.0, 400000.0, None, None)], "canonical string, mostly string, min_value_due double, max_value_due double, min_unique double, max_unique double")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.lit(3).alias("col"), F.col("o_totalprice").cast("string").alias("shown"), F.col("o_totalprice").alias("number"), F.col("o_orderdate").cast("date").alias("date"))
+    rows = o.groupBy("file_id").agg(F.count("*").alias("rows"))
+    profile = resolve.profiles(o, rows).withColumn("canonical", F.lit("prime_nette"))
+    return resolve.content_warnings(profile, due).select("file_id", F.array_join("warnings", ", ").alias("warnings"))
+
+
+@query(
+    """SELECT f AS file_id, "row", col, v AS s FROM (SELECT n_nationkey AS f, n_name AS v, unnest([1, 1, 2, 2]) AS "row", unnest([1, 2, 1, 2]) AS col FROM nation)
+       UNION ALL SELECT n_nationkey, 3, 1, 'alone' FROM nation"""
+)
+def merged_fill(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_id"), "n_name")
+    cells = n.select("file_id", F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.col("n_name").alias("s")), F.struct(F.lit(3).alias("row"), F.lit(1).alias("col"), F.lit("alone").alias("s")))).alias("c")).select("file_id", "c.*")
+    ranges = n.select("file_id", F.lit(1).alias("r0"), F.lit(1).alias("c0"), F.lit(2).alias("r1"), F.lit(2).alias("c1"))
+    return detect.expand_merged(cells, ranges)
+
+
+@query(
+    """SELECT o_custkey AS path, o_orderpriority AS sheet FROM (
+         SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0) DESC, n DESC, o_orderpriority) AS k
+         FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)) WHERE k = 1"""
+)
+def sheet_choice(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    cells = o.select(F.col("o_custkey").alias("path"), F.col("o_orderpriority").alias("sheet"), F.ascii(F.col("o_orderpriority")).alias("sheet_index"), F.lit(1).alias("row"))
+    liked = o.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("path")).distinct().withColumn("sheet", F.lit("1-urgent"))
+    return detect.choose_sheets(cells, liked)
+
+
+# Headers to fields
+
+ALIASES = [("product", "P1", "prime", "prime_nette"), ("bank", "B1", "prime", "frais"), ("global", None, "prime", "prime_totale"), ("seed", None, "prime", "taxe"), ("seed", None, "prime totale", "prime_totale"), ("seed", None, "montant prime", "prime_totale")]
+
+
+def alias_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ALIASES, "tier string, scope string, alias string, canonical string")
+
+
+def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"))
+    k = F.col("file_id")
+    header = F.when(k % 4 == 0, "Prime").when(k % 4 == 1, "PRIME  Totale").when(k % 4 == 2, "PrimeTotale").otherwise("Inconnu")
+    produit, bank = F.when(k % 3 == 0, "P1").otherwise("P2"), F.when(k % 5 == 0, "B1").otherwise("B2")
+    return n.select("file_id", F.lit(1).alias("col"), text.normalize_header(header).alias("normalized"), F.lit("").alias("leaf"), produit.alias("produit"), bank.alias("bank"))
+
+
+@query(
+    """SELECT c_custkey AS file_id,
+       CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'prime_nette' WHEN c_custkey % 5 = 0 THEN 'frais' ELSE 'prime_totale' END WHEN 1 THEN 'prime_totale' WHEN 2 THEN 'prime_totale' END AS canonical,
+       CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'product' WHEN c_custkey % 5 = 0 THEN 'bank' ELSE 'global' END WHEN 1 THEN 'seed' WHEN 2 THEN 'seed_loose' END AS method FROM customer"""
+)
+def alias_exact_join(spark, sf_dir):
+    return resolve.exact(header_rows(spark, sf_dir), alias_table(spark)).select("file_id", "canonical", "method")
+
+
+@query(
+    """SELECT c_custkey AS file_id, CASE WHEN c_custkey % 2 = 0 THEN 'prime_totale' END AS canonical FROM customer"""
+)
+def alias_fuzzy_topk(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), F.lit(1).alias("col"), F.when(F.col("c_custkey") % 2 == 0, "primes totale").otherwise("zone geographique").alias("normalized"))
+    return resolve.fuzzy(n, alias_table(spark).where("tier = 'seed'")).select("file_id", "canonical")
+
+
+@query(
+    """SELECT o_custkey AS file_id, o_orderkey AS col FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN 0.95 ELSE 1.0 END DESC, o_orderkey % 3 = 0, o_orderkey) AS k FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderkey FROM orders)) WHERE k = 1"""
+)
+def claim_conflict_winner(spark, sf_dir):
+    near = F.col("o_orderkey") % 3 == 0
+    claims = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("col"), F.col("o_orderstatus").alias("canonical"), F.when(near, "fuzzy").otherwise("seed").alias("method"), F.when(near, 0.95).otherwise(1.0).alias("confidence"))
+    return resolve.settle(claims).where("won").select("file_id", "col")
+
+
+@query(
+    """SELECT c_custkey AS file_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'batiment' WHEN 'MACHINERY' THEN NULL ELSE lower(c_mktsegment) END AS canonical,
+       CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'manual' ELSE 'seed' END AS method FROM customer"""
+)
+def overrides_applied(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), F.col("c_mktsegment").alias("normalized"), F.lower("c_mktsegment").alias("canonical"), F.lit("seed").alias("method"), F.lit(1.0).alias("confidence"))
+    chosen = spark.createDataFrame([("BUILDING", "batiment"), ("MACHINERY", "__ignore__")], "normalized string, field string")
+    return resolve.override(c, chosen).select("file_id", "canonical", "method")
+
+
+@query(
+    """SELECT lower(c_mktsegment) AS normalized, CAST(c_nationkey % 3 AS VARCHAR) AS produit, string_agg(DISTINCT c_mktsegment, ' | ' ORDER BY c_mktsegment) AS variants, string_agg(DISTINCT n_name, ' | ' ORDER BY n_name) AS banks, count(DISTINCT c_custkey) AS n_files
+       FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"""
+)
+def header_inventory(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    m = c.select(F.lower("c_mktsegment").alias("normalized"), F.col("c_mktsegment").alias("header"), (F.col("c_nationkey") % 3).cast("string").alias("produit"), F.col("n_name").alias("bank"), F.col("c_custkey").alias("path"), F.lit(1).alias("col_index"), F.lit(None).cast("string").alias("canonical"))
+    return metrics.header_inventory(m).drop("proposed")
+
+
+@query("SELECT c_mktsegment AS header, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY ALL")
+def unresolved_frequency(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("header"), F.lower("c_mktsegment").alias("normalized"), F.when(F.col("c_custkey") % 3 != 0, "x").alias("canonical"))
+    return metrics.unresolved_frequency(c)
+
+
+@query(
+    """SELECT 'root/' || CASE c_custkey % 3 WHEN 0 THEN 'CNEP 2025' WHEN 1 THEN 'bnp_paribas' ELSE 'cnepx' END || '/SAHTI/' || c_custkey || '_mars_2024.xlsx' AS path,
+       CASE c_custkey % 3 WHEN 0 THEN 'CNEP' WHEN 1 THEN 'BNPPED' END AS bank, CASE c_custkey % 3 WHEN 1 THEN NULL ELSE 'sahti' END AS produit, '2024-03' AS period,
+       CASE WHEN c_custkey % 3 = 2 THEN 'no known bank in the path' END AS error FROM customer WHERE c_custkey > 999"""
+)
+def path_metadata(spark, sf_dir):
+    k = F.col("c_custkey")
+    folder = F.when(k % 3 == 0, "CNEP 2025").when(k % 3 == 1, "bnp_paribas").otherwise("cnepx")
+    files = table(spark, sf_dir, "customer").where(k > 999).select(F.concat(F.lit("root/"), folder, F.lit("/SAHTI/"), k.cast("string"), F.lit("_mars_2024.xlsx")).alias("path"))
+    tokens = spark.createDataFrame([("cnep", "CNEP"), ("cnep banque", "CNEP"), ("bnp paribas", "BNPPED"), ("bnp", "BNPPED")], "token string, code string")
+    words = spark.createDataFrame([("sahti", "sahti", ["CNEP", None])], "token string, produit string, partners array<string>")
+    found = paths.describe(files, tokens, words.withColumn("partners", F.array_compact("partners")))
+    return found.select("path", "bank", F.when(F.col("bank").isNull(), F.lit("sahti")).otherwise(F.col("produit")).alias("produit"), "period", "error")
+
+
+@query(
+    """SELECT o_custkey AS "row", max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS "F", max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS "O" FROM orders GROUP BY ALL"""
+)
+def long_to_wide(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("row"), F.col("o_orderstatus").alias("field"), "o_totalprice")
+    return o.groupBy("row").pivot("field", ["F", "O"]).agg(F.max("o_totalprice"))
