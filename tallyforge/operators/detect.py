@@ -152,8 +152,9 @@ def choose_sheets(cells: DataFrame, preference: DataFrame | None = None, rows: i
 
 def expand_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """cells with each merged range filled from its first cell. ranges: file_id, r0, c0, r1, c1."""
-    spread = ranges.select("file_id", "r0", "c0", F.explode(F.sequence("r0", "r1")).alias("new_row"), "c1").select("file_id", "r0", "c0", "new_row", F.explode(F.sequence("c0", "c1")).alias("new_col"))
-    first = spread.join(cells, (cells["file_id"] == spread["file_id"]) & (cells["row"] == F.col("r0")) & (cells["col"] == F.col("c0")))
-    copied = first.select(*(F.col("new_row").alias(c) if c == "row" else F.col("new_col").alias(c) if c == "col" else cells[c] for c in cells.columns))
+    down = ranges.select(F.col("file_id").alias("range_id"), "r0", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("new_row"))
+    spread = down.select("range_id", "r0", "c0", "new_row", F.explode(F.sequence("c0", "c1")).alias("new_col"))
+    first = spread.join(cells, (F.col("file_id") == F.col("range_id")) & (F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0")))
+    copied = first.select(*(F.col({"row": "new_row", "col": "new_col"}.get(c, c)).alias(c) for c in cells.columns))
     own = cells.join(copied.select("file_id", "row", "col"), ["file_id", "row", "col"], "left_anti").select(*cells.columns)
     return own.unionByName(copied)
