@@ -7,10 +7,11 @@ that crowd a tile put last. A tile is one such shingle and a band of set sizes,
 differ by 1.25 times at most; the next lower band looks in too.
 
 First each document is checked against one candidate, the one that leads most of its tiles;
-that links the members of a group of copies without forming their pairs. Pairs are then formed
-only between documents that are not yet in one component: hashed bitmaps bound the overlap from
-above, and pairs that pass get an exact intersection of their sorted arrays. Equal sets are one
-node throughout.
+that links most members of a group of copies without forming their pairs. In further rounds each
+is checked against the one outside its component whose hashed bitmap differs least, as long as
+that still links many. All pairs are then formed, but only between documents that are not yet in
+one component: the bitmaps bound the overlap from above, and pairs that pass get an exact
+intersection of their sorted arrays. Equal sets are one node throughout.
 """
 
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 CROWD, CROWDS = 1024, 1 << 18
 #: Bits of a signature, and members of a tile that are compared in one piece.
 BITS, BLOCK = 1024, 4096
+#: Rounds of nearest candidates at most, and the share of nodes that a round has to link for another
+#: one to follow. They decide the cost, never the result: all pairs that are left follow.
+ROUNDS, WORTH = 6, 0.01
 #: Ids up to which a broadcast replaces a shuffle of the texts (about 24 bytes each).
 BROADCAST_IDS = 500_000
 #: Signatures up to which a broadcast carries them to the tiles (about 200 bytes each).
@@ -205,8 +209,11 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
-    """a, b: members of a tile in different components whose signatures allow a link."""
+def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame, nearest: bool = False) -> DataFrame:
+    """a, b: members of a tile in different components whose signatures allow a link.
+
+    nearest: for each member only that one whose signature differs least.
+    """
     labelled = found.select("tile", "d", "n").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
     mixed = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
     edge = F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9)
@@ -254,6 +261,7 @@ def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame) -> DataFr
         probe = t.column("probe").to_numpy(zero_copy_only=False)
         body, at = _buffers.raw(t.column("bits").combine_chunks())
         marks = body.view(np.uint64).reshape(len(at) - 1, -1)
+        least, partner = np.full(len(d), BITS + 1), np.zeros(len(d), np.int64)
         out, row, step = [], np.arange(len(d) - 1), 1
         while len(row):
             row = row[row + step < len(d)]
@@ -268,16 +276,39 @@ def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame) -> DataFr
                 apart = np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64)
                 both = (n[a] + n[b] - apart) // 2
                 fit = both * DENOMINATOR >= (n[a] + n[b] - both) * NUMERATOR
-                a, b = a[fit], b[fit]
+                a, b, apart = a[fit], b[fit], apart[fit]
+                if nearest:  # a step has each row once at most on either side
+                    for x, y in ((a, b), (b, a)):
+                        better = apart < least[x]
+                        least[x[better]], partner[x[better]] = apart[better], d[y[better]]
+                    step += 1
+                    continue
                 out.append(np.stack([np.minimum(d[a], d[b]), np.maximum(d[a], d[b]), np.minimum(n[a], n[b])], 1))
             step += 1
+        if nearest:
+            some = np.flatnonzero(least <= BITS)
+            some = some[np.lexsort((partner[some], least[some], d[some]))]
+            some = some[np.concatenate([[True], d[some][1:] != d[some][:-1]])[: len(some)]]
+            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (d, partner, n, least)], names=["a", "b", "n", "times"])
         p, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([*(pa.array(p[:, k]) for k in range(3)), pa.array(times)], names=["a", "b", "n", "times"])
 
-    pairs = spread.mapInArrow(compare, "a long, b long, n long, times long").groupBy("a", "b", "n").agg(F.sum("times").alias("times"))
+    pairs = spread.mapInArrow(compare, "a long, b long, n long, times long")
+    if nearest:  # times: bits that differ
+        best = pairs.groupBy("a").agg(F.min_by("b", F.struct("times", "b")).alias("b"))
+        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.groupBy("a", "b", "n").agg(F.sum("times").alias("times"))
     return pairs.where(F.col("times") >= F.floor(F.col("n") / 10) + 1).select("a", "b")
 
 
+def joined(roots: DataFrame, pairs: DataFrame, held: DataFrame) -> tuple[DataFrame, int]:
+    """(roots once those of the pairs that link are added, how many do)."""
+    links = _scratch.written(verified(_scratch.written(pairs, "pairs"), held), "links")
+    stars = roots.select(F.col("d").alias("a"), F.col("root").alias("b"))
+    linked = links.count()
+    return (_components.components(stars.union(links)) if linked else roots), linked
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -302,11 +333,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = found.select("d").distinct()
     wanted = all_sets.join(nodes, "d", "left_semi").groupBy("d").agg(F.min("id").alias("id")).select("id").distinct()
     held = _scratch.written(content(rows, wanted).dropDuplicates(["d"]), "content")
-    links = _scratch.written(verified(best, held), "links")
-    roots = _components.components(links)
-    more = _scratch.written(bounded_pairs(found, roots, held), "pairs")
-    links = _scratch.written(links.union(verified(more, held)), "links")
-    roots = _components.components(links)
+    roots = _components.components(_scratch.written(verified(best, held), "links"))
+    total = held.count()
+    for _ in range(ROUNDS):
+        roots, linked = joined(roots, bounded_pairs(found, roots, held, nearest=True), held)
+        if linked < WORTH * total:
+            break
+    roots, _ = joined(roots, bounded_pairs(found, roots, held), held)
     members = all_sets.join(roots, "d", "left").withColumn("class", F.coalesce("root", "d"))
     least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("low"))
     out = members.join(least, "class", "left")
