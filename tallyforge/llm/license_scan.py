@@ -4,7 +4,10 @@ One pass over the texts finds the base phrases and the template words of each do
 document's text goes on only if some template could reach its threshold from those words. The
 words' document counts, over all documents, give the order: rarest first. A block (a line or
 sentence) that contains enough of a template must hold one of the template's first words in
-that order; length and position bound the rest, and an exact intersection decides.
+that order; length and position bound the rest, and an exact intersection decides. A notice may
+run over several lines or sentences, so windows of words are held against the templates too:
+a text is cut into stretches of two windows that overlap by one, so that each window lies whole
+in a stretch; the same bounds sort out the stretches, and each window of those left is compared.
 """
 
 import math
@@ -40,13 +43,15 @@ TEMPLATES = {
 CONTAINMENT = 0.8
 #: Where blocks end: line ends, and blanks after a sentence.
 BLOCK_END = r"[\n\r]+|(?<=[.!?;])\s+"
+#: Words of a window, for each word of the template: room for comment marks and small insertions.
+WINDOW = 2
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[dict[str, list[str]], dict[str, int]]:
-    """Distinct words of each template in their own order, and how many of them a block needs."""
-    own = spark.createDataFrame(list(templates.items()), "label string, text string").select("label", F.array_distinct(words(F.col("text"))).alias("w"))
-    parts = {r.label: list(r.w) for r in own.collect() if r.w}
-    return parts, {k: math.ceil(CONTAINMENT * len(w) - 1e-9) for k, w in parts.items()}
+def template_table(spark: SparkSession, templates: dict[str, str]) -> tuple[dict[str, list[str]], dict[str, int], dict[str, int]]:
+    """Distinct words of each template in their own order, how many of them a block needs, and the words of a window."""
+    own = spark.createDataFrame(list(templates.items()), "label string, text string").select("label", words(F.col("text")).alias("w")).collect()
+    parts = {r.label: list(dict.fromkeys(r.w)) for r in own if r.w}
+    return parts, {k: math.ceil(CONTAINMENT * len(w) - 1e-9) for k, w in parts.items()}, {r.label: WINDOW * len(r.w) for r in own if r.w}
 
 
 def array(values: list[str]) -> Column:
@@ -93,12 +98,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
     """doc_id, n_words, places, labels, score and blocks (block number, label, share) of every row.
 
     score: 1 where a base phrase stands, else the largest share of a template's words that a
-    block holds, 0 if none reaches CONTAINMENT. Null texts have no words; repeated rows each give
-    a row; null ids stay null; other columns are ignored; an empty table gives an empty result.
+    block or a window holds, 0 if none reaches CONTAINMENT. A window counts under the block in
+    which it begins: of a stretch's windows the last of the best. Null texts have no words;
+    repeated rows each give a row; null ids stay null; other columns are ignored; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     phrases = PHRASES if phrases is None else phrases
-    parts, needs = template_table(spark, TEMPLATES if templates is None else templates)
+    parts, needs, widths = template_table(spark, TEMPLATES if templates is None else templates)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     scanned = rows.select("id", "key", spread(docs, parts, needs, phrases, "text").alias("s"), "text")
     scanned = _scratch.written(scanned.select("id", "key", "s.n_words", "s.places", "s.present", F.when(F.col("s.maybe"), F.col("text")).alias("text")), "licenses")
@@ -107,17 +114,33 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
     rank = {x: k for k, x in enumerate(vocabulary)}
     by_rank = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
     ordered = {k: sorted(rank[x] for x in w) for k, w in parts.items()}
-    first = [(r, at, label, len(t), needs[label], t) for label, t in ordered.items() for at, r in enumerate(t[: len(t) - needs[label] + 1])]
-    prefixes = spark.createDataFrame(first, "rank int, t_at int, label string, t_size int, need int, t array<int>")
-
-    split = scanned.where("text is not null").dropDuplicates(["key"]).select("key", F.posexplode(F.split(F.translate("text", UPPER, LOWER), BLOCK_END)).alias("block", "body"))
-    held = split.select("key", "block", F.sort_array(F.transform(F.array_intersect(words(F.col("body")), array(vocabulary)), lambda x: F.element_at(by_rank, x))).alias("b"))
-    held = held.where(F.size("b") >= min(needs.values(), default=1))
-    tokens = held.select("key", "block", "b", F.posexplode("b").alias("b_at", "rank"))
+    first = [(r, at, label, len(t), needs[label], widths[label], t) for label, t in ordered.items() for at, r in enumerate(t[: len(t) - needs[label] + 1])]
+    prefixes = spark.createDataFrame(first, "rank int, t_at int, label string, t_size int, need int, width int, t array<int>")
     room = F.least(F.col("t_size") - F.col("t_at"), F.size("b") - F.col("b_at"))
-    met = tokens.join(F.broadcast(prefixes), "rank").where((F.size("b") >= F.col("need")) & (room >= F.col("need") - F.least("t_at", "b_at")))
     both = F.size(F.array_intersect("b", "t"))
-    joined = met.dropDuplicates(["key", "block", "label"]).where(both >= F.col("need")).select("key", "block", "label", (both / F.col("t_size")).alias("share"))
+
+    def near(held: DataFrame, *own: str) -> DataFrame:
+        """own and b of held with each template of which b (sorted ranks) holds enough."""
+        tokens = held.where(F.size("b") >= min(needs.values(), default=1)).select(*own, "b", F.posexplode("b").alias("b_at", "rank"))
+        met = tokens.join(F.broadcast(prefixes), "rank").where((F.size("b") >= F.col("need")) & (room >= F.col("need") - F.least("t_at", "b_at")))
+        return met.where(both >= F.col("need"))
+
+    texts = scanned.where("text is not null").dropDuplicates(["key"]).select("key", F.split(F.translate("text", UPPER, LOWER), BLOCK_END).alias("bodies"))
+    split = texts.select("key", F.posexplode("bodies").alias("block", "body"))
+    held = split.select("key", "block", F.sort_array(F.transform(F.array_intersect(words(F.col("body")), array(vocabulary)), lambda x: F.element_at(by_rank, x))).alias("b"))
+    whole = near(held, "key", "block").select("key", "block", "label", (both / F.col("t_size")).alias("share"))
+
+    step = max(widths.values(), default=1)
+    run = texts.select("key", F.transform("bodies", lambda x: F.transform(words(x), lambda y: F.coalesce(F.element_at(by_rank, y), F.lit(-1)))).alias("lines"))
+    run = run.select("key", F.flatten("lines").alias("r"), F.flatten(F.transform("lines", lambda x, k: F.array_repeat(k, F.size(x)))).alias("of"))
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("r") - 1) / step).cast("int"))), lambda k: F.struct(F.slice("r", k * step + 1, 2 * step).alias("r"), F.slice("of", k * step + 1, 2 * step).alias("of")))
+    cut = run.where(F.size("r") > 0).select("key", F.posexplode(cuts).alias("part", "c")).select("key", "part", "c.r", "c.of")
+    cut = cut.withColumn("b", F.sort_array(F.filter(F.array_distinct("r"), lambda x: x >= 0)))
+    wide = near(cut, "key", "part", "r", "of").dropDuplicates(["key", "part", "label"])
+    windows = F.transform(F.sequence(F.lit(1), F.size("r")), lambda k: F.struct(F.size(F.array_intersect(F.slice("r", k, F.col("width")), "t")).alias("n"), k.alias("k")))
+    best = wide.select("key", "label", "of", "t_size", "need", F.array_max(windows).alias("w")).where(F.col("w.n") >= F.col("need"))
+    joined = whole.union(best.select("key", F.element_at("of", F.col("w.k")).alias("block"), "label", (F.col("w.n") / F.col("t_size")).alias("share")))
+    joined = joined.groupBy("key", "block", "label").agg(F.max("share").alias("share"))
     blocks = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "label", "share"))).alias("blocks"))
     out = scanned.drop("text", "present").join(blocks, "key", "left")
     blocks_ = F.coalesce("blocks", F.array().cast("array<struct<block:int,label:string,share:double>>"))

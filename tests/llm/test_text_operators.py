@@ -1,6 +1,7 @@
 """Token counts, BPE, near copies, repeats and decontamination against brute force on awkward tables."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -151,5 +152,41 @@ def test_license_containment_against_brute_force(spark):
     assert got == {k: k >= 0.8 * 12 for k, _ in texts}
 
 
+def test_every_template_matches_its_own_text(spark):
+    rows, rng = [], random.Random(4)
+    for label, text in license_scan.TEMPLATES.items():
+        w = text.split(" ")
+        lines = [" ".join(w[k : k + 4]) for k in range(0, len(w), 4)]
+        for form in (text, "\n".join(lines), "".join(f"# {x}\r\n" for x in lines), "\n".join(f" * {x}" for x in lines)):
+            rows.append((len(rows), label, form))
+            rows.append((len(rows), label, f"{helpers.sentence(rng, 70 + len(rows))}\n{form}\n{helpers.sentence(rng, 90)}"))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, label string, text string")).collect()}
+    assert [(k, label) for k, label, _ in rows if label not in got[k].labels or got[k].score < 1] == []
+
+
+def test_license_windows_against_brute_force(spark):
+    rng = random.Random(8)
+    own = {k: re.findall(helpers.PLAIN_WORD, helpers.lower(t)) for k, t in license_scan.TEMPLATES.items()}
+    rows = []
+    for k in range(120):
+        w = list(rng.choice(list(own.values())))
+        for _ in range(rng.randint(0, 8)):
+            w.insert(rng.randrange(len(w)), "zzz")
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "yyy"
+        around = [["xxx"] * rng.randint(0, 130) for _ in range(2)]
+        rows.append((k, "".join(x + rng.choice([" ", " ", "\n", ". "]) for x in around[0] + w + around[1])))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        plain = re.findall(helpers.PLAIN_WORD, helpers.lower(text))
+        pieces = [re.findall(helpers.PLAIN_WORD, helpers.lower(x)) for x in re.split(license_scan.BLOCK_END, text)]
+        expected = {p for p, q in license_scan.PHRASES.items() if q in " ".join(plain)}
+        for label, t in own.items():
+            views = [*pieces, *(plain[a : a + license_scan.WINDOW * len(t)] for a in range(len(plain)))]
+            if max(len(set(t) & set(v)) for v in views) >= license_scan.CONTAINMENT * len(set(t)) - 1e-9:
+                expected.add(label)
+        assert set(got[k].labels) == expected, (k, text)
+
+
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
