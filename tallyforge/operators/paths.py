@@ -25,16 +25,18 @@ def banks(files: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def products(files: DataFrame, keywords: DataFrame, bank_of: DataFrame) -> DataFrame:
-    """path, produit, produit_method: the longest keyword in the file's name or the folders up to the
-    bank's; several products by keywords of one length are ambiguous. keywords: token, produit, partners (array, empty: any)."""
-    level = F.coalesce("bank_level", F.lit(100))
+    """path, produit, produit_method: the longest keyword in the file's name or any folder above it, of
+    those that the bank offers, of all where the bank is unknown; several products by keywords of one
+    length are ambiguous. keywords: token (normalised), produit, partners (array, empty or null: any)."""
     own = files.join(bank_of, "path", "left")
-    near = folders(files).join(bank_of, "path", "left").where(F.col("level") <= level).groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(F.struct("level", "name")))["name"], " ").alias("up"))
+    above = folders(files).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "name"))), lambda x: x["name"]), " ").alias("up"))
     stem = F.regexp_replace(text.base_name(F.col("path")), r"\.[A-Za-z]{3,4}$", "")
-    texts = own.join(near, "path", "left").select("path", "bank", text.normalize_header(F.concat_ws(" ", stem, "up")).alias("t"))
-    words = F.split("t", " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(words) - a + 1)), lambda n: F.array_join(F.slice(words, a, n), " "))))
-    hits = texts.select("path", "bank", F.explode(F.array_distinct(runs)).alias("token")).join(keywords, "token").where((F.size("partners") == 0) | F.array_contains("partners", F.col("bank")))
+    texts = own.join(above, "path", "left").select("path", "bank", text.normalize_header(F.concat_ws(" ", stem, "up")).alias("t"))
+    # A keyword's first word is one of the text's: an equi join instead of one row for each pair.
+    named = keywords.where("token <> ''").withColumn("first", F.get(F.split("token", " "), F.lit(0)))
+    near = texts.select("path", "bank", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("first")).join(named, "first")
+    offered = F.col("bank").isNull() | F.col("partners").isNull() | (F.size("partners") == 0) | F.array_contains("partners", F.col("bank"))
+    hits = near.where(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), "token", F.lit(" "))) & offered)
     longest = hits.groupBy("path").agg(F.max(F.length("token")).alias("size"))
     top = hits.join(longest, "path").where(F.length("token") == F.col("size")).groupBy("path").agg(F.collect_set("produit").alias("all"))
     found = top.select("path", F.when(F.size("all") == 1, F.get("all", F.lit(0))).alias("produit"), F.when(F.size("all") == 1, "name").otherwise("ambiguous").alias("produit_method"))

@@ -561,7 +561,7 @@ def path_metadata(spark, sf_dir):
     tokens = spark.createDataFrame([("cnep", "CNEP"), ("cnep banque", "CNEP"), ("bnp paribas", "BNPPED"), ("bnp", "BNPPED")], "token string, code string")
     words = spark.createDataFrame([("sahti", "sahti", ["CNEP", None])], "token string, produit string, partners array<string>")
     found = paths.describe(files, tokens, words.withColumn("partners", F.array_compact("partners")))
-    return found.select("path", "bank", F.when(F.col("bank").isNull(), F.lit("sahti")).otherwise(F.col("produit")).alias("produit"), "period", "error")
+    return found.select("path", "bank", "produit", "period", "error")
 
 
 @query(

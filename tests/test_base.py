@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, numbers, text
-from tallyforge.operators import checks, detect, facts, resolve
+from tallyforge.operators import checks, detect, facts, paths, resolve
 from tallyforge.plans.warehouse import Warehouse
 from tallyforge.sources import workbooks
 
@@ -121,3 +121,42 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_products_of_paths(spark):
+    long_name = "assurance des emprunteurs pour le credit immobilier"
+    words = spark.createDataFrame([("sahti", "sahti", ["CNEP"]), (long_name, "ade", []), ("visa", "visa", None), ("ctp", "ctp", []), ("vie", "vie", ["BNA"])], "token string, produit string, partners array<string>")
+    tokens = spark.createDataFrame([("cnep", "CNEP"), ("bnp paribas", "BNPPED")], "token string, code string")
+    due = {
+        "root/cnepx/SAHTI/1_mars_2024.xlsx": (None, "sahti", "name"),
+        "root/bnp_paribas/SAHTI/2_mars_2024.xlsx": ("BNPPED", None, "unresolved"),
+        "root/CNEP 2025/SAHTI/3_mars_2024.xlsx": ("CNEP", "sahti", "name"),
+        "SAHTI/x/CNEP 2025/4_mars_2024.xlsx": ("CNEP", "sahti", "name"),
+        f"root/bnp_paribas/{long_name}/5_mars_2024.xlsx": ("BNPPED", "ade", "name"),
+        "root/bnp_paribas/Visa/6_mars_2024.xlsx": ("BNPPED", "visa", "name"),
+        "root/bnp_paribas/visas/7_mars_2024.xlsx": ("BNPPED", None, "unresolved"),
+        "root/vie/ctp/8_mars_2024.xlsx": (None, None, "ambiguous"),
+        "root/CNEP/vie/9_mars_2024.xlsx": ("CNEP", None, "unresolved"),
+    }
+    got = paths.describe(spark.createDataFrame([(p,) for p in due], "path string"), tokens, words).collect()
+    assert {r.path: (r.bank, r.produit, r.produit_method) for r in got} == due
+    assert {r.period for r in got} == {"2024-03"}
+
+
+def test_path_metadata_of_low_ids(spark, tmp_path):
+    """The query's SQL takes ids over 999 only, none of them in the smallest tables: here the operator meets the others."""
+    import duckdb
+
+    from tallyforge.plans.catalogue import ORACLE_SQL, QUERIES
+
+    spark.range(1200).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    sql = ORACLE_SQL["path_metadata"]
+    due = con.execute(f"SELECT path, bank, produit, period, error FROM ({sql})").fetchall()
+    assert sorted(map(repr, map(tuple, QUERIES["path_metadata"](spark, str(tmp_path)).collect()))) == sorted(map(repr, due)) and len(due) == 200
+    files = con.execute(f"SELECT path, bank, produit, period, error FROM ({sql.split(' WHERE c_custkey > 999')[0]})").fetchall()
+    tokens = spark.createDataFrame([("cnep", "CNEP"), ("bnp paribas", "BNPPED")], "token string, code string")
+    words = spark.createDataFrame([("sahti", "sahti", ["CNEP"])], "token string, produit string, partners array<string>")
+    got = paths.describe(spark.createDataFrame([(r[0],) for r in files], "path string"), tokens, words).select("path", "bank", "produit", "period", "error").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, files)) and len(files) == 1200
