@@ -16,9 +16,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays; documents without an id all do."""
-    gone = ngram_join.classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of each group of linked rows one stays: of those with the smallest id (null ids count as
+    larger) one text, and of rows that repeat its id and text that with the least hash. Rows
+    without words link with nothing and all stay."""
+    key, row = F.xxhash64("doc_id", "text"), F.struct(*docs.columns)
+    classes = ngram_join.classes(docs.select(key.alias("key"), "text"), id_col="key").where("n_shingles > 0")
+    keys = _scratch.written(classes.groupBy("key").agg(F.first("component_id").alias("class"), F.count("*").alias("rows")), "classes")
+    ids = docs.select(key.alias("key"), "doc_id").distinct().join(keys, "key")
+    best = ids.groupBy("class").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key")).select("key", F.lit(True).alias("best"))
+    judged = _scratch.written(keys.join(best, "key", "left"), "kept-keys")
+    keyed = docs.select(key.alias("_key"), row.alias("_row"))
+    single = keyed.join(judged.where("best is null or rows > 1").select(F.col("key").alias("_key")), "_key", "left_anti")
+    repeated = keyed.join(judged.where("best and rows > 1").select(F.col("key").alias("_key")), "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return single.select("_row.*").union(repeated.select("_row.*"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
