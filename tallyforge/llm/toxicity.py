@@ -2,12 +2,14 @@
 
 Features of whole texts are densities and rates: a fixed lexicon, words and word beginnings that
 the labels show to be telling, second-person words near them, capitals, punctuation, obfuscated
-spellings. Words and trees are learned from some folds of the labelled rows, the calibration
-from another; the rows of fold 0 are never learned from.
+spellings. Words and trees are learned from the labelled rows outside fold 0, the calibration
+from what such trees, learned without a part of those rows, say of that part. Where a label has
+fewer than two ids, the fixed lexicon alone scores.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _buffers, _scratch
@@ -25,7 +28,11 @@ TRAINING_ROWS = 20_000
 #: Telling units that are kept, documents a unit needs, and its least ratio of frequencies.
 UNITS, UNIT_ROWS, UNIT_RATIO = 4096, 4, 6.0
 TREES, DEPTH, STEP = 24, 4, 0.2
-FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
+FOLDS, HELD_OUT = 5, 0
+#: Parts of the labelled rows, each with its share of either label, for the calibration.
+PARTS = 3
+#: Words among which one of the lexicon makes a score of a half, where nothing is learned.
+LEXICON_WORDS = 100
 #: Words on either side of a telling word in which second-person words count.
 NEAR = 5
 
@@ -225,12 +232,16 @@ class Model:
     units: Units
     trees: object = None
     calibration: object = None
-    rate: float = 0.0
+    lexicon: bool = False
 
     def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """keep and score of rows that have keep and text."""
+        if self.trees is None and not self.lexicon:
+            return rows.select(*keep, F.lit(0.0).alias("score"))
         if self.trees is None:
-            return rows.select(*keep, F.lit(self.rate).alias("score"))
+            hits = F.expm1("fixed_count") + F.expm1("hidden_count")
+            rate = hits * F.least(F.lit(1.0), LEXICON_WORDS / F.greatest(F.lit(1.0), F.expm1("log_words")))
+            return with_features(rows, self.units, keep).select(*keep, F.round(1 - F.pow(F.lit(0.5), rate), 9).alias("score"))
         ready = VectorAssembler(inputCols=NAMES, outputCol="features").transform(with_features(rows, self.units, keep))
         out = self.calibration.transform(margin(self.trees.transform(ready)).drop("prediction"))
         return out.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
@@ -246,24 +257,35 @@ def fold(id_col: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the labelled documents outside fold 0. Null ids and labels are left out, the
-    largest of several labels counts; where one of the two labels is missing, the model gives
-    the share of the other, smoothed, to every text."""
+    largest of several labels counts. With fewer than two ids of either label the model scores
+    by the fixed lexicon; without a toxic one, which leaves open what is meant by toxic, with 0."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     known = known.where(fold(id_col) != HELD_OUT)
     share = min(1.0, TRAINING_ROWS / max(1, known.count()))
     taken = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(id_col).alias("label_id"), "toxic")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), F.col("id") == F.col("label_id"))
-    rows = _scratch.written(rows.select("id", "text", "toxic", fold("id").alias("fold")).repartition(8), "labelled")
-    seen = {(r.part, r.toxic): r["count"] for r in rows.groupBy((F.col("fold") == CALIBRATION).alias("part"), "toxic").count().collect()}
-    if any(seen.get((part, toxic), 0) < 2 for part in (True, False) for toxic in (0, 1)):
-        bad, good = (sum(n for (_, t), n in seen.items() if t == toxic) for toxic in (1, 0))
-        return Model(Units(), rate=(bad + 1) / (bad + good + 2) if bad else 0.0)
-    units = learn_units(rows.where(F.col("fold") != CALIBRATION))
-    ready = VectorAssembler(inputCols=NAMES, outputCol="features").transform(with_features(rows, units, ["toxic", "fold"])).select("toxic", "fold", "features")
-    ready = _scratch.written(ready, "features")
-    trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, subsamplingRate=1.0, checkpointInterval=-1).fit(ready.where(F.col("fold") != CALIBRATION).drop("fold"))
-    judged = margin(trees.transform(ready.where(F.col("fold") == CALIBRATION).drop("fold"))).drop("prediction")
-    return Model(units, trees, IsotonicRegression(labelCol="toxic", featuresCol="features").fit(judged))
+    rows = _scratch.written(rows.select("id", "text", "toxic").repartition(8), "labelled")
+    ids = rows.select("id", "toxic").distinct()
+    seen = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    if any(seen.get(toxic, 0) < 2 for toxic in (0, 1)):
+        return Model(Units(), lexicon=seen.get(1, 0) > 0)
+    part = (F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")) % PARTS).alias("part")
+    rows = _scratch.written(rows.join(F.broadcast(ids.select("id", part)), "id"), "parts")
+    judged = [grown(rows.where(F.col("part") != k), rows.where(F.col("part") == k))[2] for k in range(PARTS)]
+    units, trees, _ = grown(rows)
+    return Model(units, trees, IsotonicRegression(labelCol="toxic", featuresCol="features").fit(reduce(DataFrame.union, judged)))
+
+
+def grown(learned: DataFrame, others: DataFrame | None = None) -> tuple[Units, object, DataFrame | None]:
+    """Units and trees from the rows learned, and toxic and features (the margin) of the others."""
+    units = learn_units(learned)
+    assembler = VectorAssembler(inputCols=NAMES, outputCol="features")
+    ready = _scratch.written(assembler.transform(with_features(learned, units, ["toxic"])).select("toxic", "features"), "features")
+    trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, subsamplingRate=1.0, checkpointInterval=-1).fit(ready)
+    if others is None:
+        return units, trees, None
+    judged = margin(trees.transform(assembler.transform(with_features(others, units, ["toxic"])).select("toxic", "features"))).drop("prediction")
+    return units, trees, _scratch.written(judged, "judged")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 
@@ -58,6 +59,25 @@ def test_toxicity(spark):
     assert toxicity.score(d, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_with_few_labels(spark):
+    rng = random.Random(6)
+    texts = [(k, ("You idiot, you worthless scum " if k % 4 == 0 else "") + helpers.sentence(rng, 40)) for k in range(120)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    bad = [k for k, _ in texts if k % 4 == 0]
+
+    def predicted(labels):
+        got = toxicity.score(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+        return sorted(r.doc_id for r in got if r.predicted)
+
+    learned = lambda ks: [k for k in ks if zlib.crc32(str(k).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    some = learned(bad)
+    one_fold = [k for k in some if zlib.crc32(str(k).encode()) % toxicity.FOLDS == 2]  # none in the next folds
+    assert len(one_fold) >= 4
+    assert predicted([(k, int(k in one_fold)) for k in range(120) if k not in bad or k in one_fold]) == bad
+    assert predicted([(some[0], 1)] + [(k, 0) for k in range(120) if k not in bad]) == bad
+    assert predicted([(k, 1) for k in bad]) == bad
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "u\r\nWARC-Type: x", ""), (5, "http://a/5", "x" * 200000), (5, "http://a/5", "x" * 200000), (None, "http://n", "<p>é</p>")]
     pages = spark.createDataFrame([(*r, "digest") for r in rows], "page_id long, url string, html string, digest string").repartition(2)
