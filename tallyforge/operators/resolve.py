@@ -48,17 +48,13 @@ def exact(headers: DataFrame, aliases: DataFrame) -> DataFrame:
 def fuzzy(unresolved: DataFrame, aliases: DataFrame) -> DataFrame:
     """file_id, col, canonical, score, suggestions of headers that no alias equals.
 
-    Distinct headers are scored, against the aliases that share a three-letter piece with them:
-    a header needs one to come near the threshold for suggestions.
+    Distinct headers are scored against every alias: the table of aliases is small and is broadcast.
     """
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda k: F.substring(c, k, F.lit(3))))
     names = unresolved.where("normalized <> ''").select("normalized").distinct()
-    left = names.select("normalized", F.explode(pieces(F.col("normalized"))).alias("piece"))
-    right = aliases.select("alias", "canonical").distinct().select("alias", "canonical", F.explode(pieces(F.col("alias"))).alias("piece"))
-    pairs = left.join(right, "piece").select("normalized", "alias", "canonical").distinct()
-    scored = pairs.withColumn("score", similarity("normalized", "alias"))
+    pairs = names.crossJoin(F.broadcast(aliases.select("alias", "canonical").distinct()))
+    scored = pairs.withColumn("score", similarity("normalized", "alias")).where(F.col("score") >= SUGGEST)
     near = scored.withColumn("k", F.row_number().over(W.partitionBy("normalized").orderBy(F.desc("score"), "alias"))).where(F.col("k") <= TOP_ALIASES)
-    fields = near.groupBy("normalized", "canonical").agg(F.max("score").alias("score")).where(F.col("score") >= SUGGEST)
+    fields = near.groupBy("normalized", "canonical").agg(F.max("score").alias("score"))
     top = fields.withColumn("k", F.row_number().over(W.partitionBy("normalized").orderBy(F.desc("score"), "canonical"))).where(F.col("k") <= TOP_FIELDS)
     lists = top.groupBy("normalized").agg(F.max_by("canonical", F.struct("score", -F.col("k"))).alias("best"), F.max("score").alias("score"), F.transform(F.sort_array(F.collect_list(F.struct("k", "canonical", "score"))), lambda x: F.struct(x["canonical"].alias("name"), x["score"].alias("score"))).alias("suggestions"))
     out = unresolved.join(lists, "normalized", "left")

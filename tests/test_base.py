@@ -160,3 +160,13 @@ def test_path_metadata_of_low_ids(spark, tmp_path):
     words = spark.createDataFrame([("sahti", "sahti", ["CNEP"])], "token string, produit string, partners array<string>")
     got = paths.describe(spark.createDataFrame([(r[0],) for r in files], "path string"), tokens, words).select("path", "bank", "produit", "period", "error").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, files)) and len(files) == 1200
+
+
+def test_short_headers_meet_every_alias(spark):
+    names = ["prmie", "tuax", "cl no", "prime", "zzz", ""]
+    aliases = ["prime", "taux", "no cl", "frais"]
+    headers = spark.createDataFrame([(1, k, n) for k, n in enumerate(names)], "file_id int, col int, normalized string")
+    table = spark.createDataFrame([("seed", None, a, a) for a in aliases], "tier string, scope string, alias string, canonical string")
+    got = {names[r.col]: (r.canonical, r.score, [x["name"] for x in r.suggestions or []]) for r in resolve.fuzzy(headers, table).collect()}
+    assert got["prmie"] == (None, 80.0, ["prime"]) and got["tuax"] == (None, 75.0, ["taux"]) and got["cl no"] == ("no cl", 95.0, ["no cl"])
+    assert got["prime"][0] == "prime" and got["zzz"] == got[""] == (None, None, [])
