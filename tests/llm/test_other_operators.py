@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from tallyforge.llm import media, toxicity, url_filters, warc
+from tallyforge.llm import media, queries, toxicity, url_filters, warc
 from tests.llm import helpers
 
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -111,3 +111,17 @@ def test_image_copies(spark):
     turned = media.find_copies(asked, media.render(vectors)).collect()
     assert [(r["query"], r["image"]) for r in turned] == [(1, 7)]
     assert media.find_copies(asked.limit(0), media.render(vectors)).count() == 0
+
+
+def test_image_members(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=64).tolist() for _ in range(4)]
+    rows = [(k, vectors[0 if k % 2 else k % 4]) for k in range(1, 41)] + [(None, vectors[0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op10_image_copies(spark, str(tmp_path)).collect()
+    due = {k: min(j for j, v in rows if j and v == w) for k, w in rows if k}
+    listed = [(r["image"], r["representative"]) for r in got if r["query"] is None]
+    assert sorted(listed) == sorted(due.items())
+    assert {r["image"] for r in got if r["query"] is not None} <= set(due.values())
+    images = spark.createDataFrame([(1, 2, 2, bytearray(4)), (2, 4, 1, bytearray(4)), (3, 2, 2, bytearray(4)), (4, 2, 2, None), (5, 2, 2, None)], "image long, width int, height int, pixels binary")
+    assert sorted(map(tuple, media.members(images).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
