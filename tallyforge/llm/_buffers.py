@@ -1,12 +1,17 @@
 """Whole Arrow batches of texts as NumPy arrays: bytes, words and 64-bit hashes of word runs."""
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one step handles; a longer text makes a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one step handles; a longer text makes a step of its own. The arrays of a step
+#: take some hundred times as much.
+STEP_BYTES = 1 << 18
+#: Bytes from which on a word gets a digest instead of run_hashes: long enough for the sums modulo
+#: 2**64 of some regular patterns to cancel (from 1,024 elements on), too long for common words.
+LONG_WORD = 128
 
 U = np.uint64
 _ODD, _ODD2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -58,7 +63,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[starts:ends] for each pair; equal runs have equal hashes."""
+    """A 64-bit hash of values[starts:ends] for each pair; equal runs have equal hashes. Runs are to be
+    shorter than 1,024 elements: patterns of that length and more can cancel."""
     if not len(starts):
         return np.zeros(0, U)
     p, q = powers(len(values) + 1)
@@ -92,6 +98,9 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # of each row, and the total
         self.counts = np.diff(self.first)
         self.hashes = run_hashes(_byte_values[data], self.starts, self.ends)
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD):
+            digest = hashlib.blake2b(data[self.starts[k] : self.ends[k]].tobytes(), digest_size=8).digest()
+            self.hashes[k] = int.from_bytes(digest, "little")
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the k words from each start on, row of each start) for all starts of whole windows."""

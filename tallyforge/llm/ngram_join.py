@@ -6,12 +6,12 @@ elsewhere, and a pair counts only if it shares enough of them. The order is by h
 that crowd a tile put last. A tile is one such shingle and a band of set sizes, within which sizes
 differ by 1.25 times at most; the next lower band looks in too.
 
-First each document is checked against one candidate, the one that leads most of its tiles;
-that links most members of a group of copies without forming their pairs. In further rounds each
-is checked against the one outside its component whose hashed bitmap differs least, as long as
-that still links many. All pairs are then formed, but only between documents that are not yet in
-one component: the bitmaps bound the overlap from above, and pairs that pass get an exact
-intersection of their sorted arrays. Equal sets are one node throughout.
+First each document is checked against one candidate, the one that leads most of its tiles; that
+links most members of a group of copies without forming their pairs. Then each is checked against
+the nearest smaller and the nearest larger set by hashed bitmap, which leaves few components apart.
+All pairs are then formed, but only between documents that are not yet in one component: the
+bitmaps bound the overlap from above, and pairs that pass get an exact intersection of their
+sorted arrays. Equal sets are one node throughout.
 """
 
 from collections.abc import Iterator
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _buffers, _components, _scratch
-from tallyforge.llm.substring_dedup import BUCKETS, NO_ID, POSTINGS, Postings, partitions
+from tallyforge.llm.substring_dedup import BUCKETS, POSTINGS, Postings, partitions
 
 SHINGLE = 5
 #: Similarity at which two sets link, as a fraction.
@@ -32,13 +32,11 @@ NUMERATOR, DENOMINATOR = 4, 5
 CROWD, CROWDS = 1024, 1 << 18
 #: Bits of a signature, and members of a tile that are compared in one piece.
 BITS, BLOCK = 1024, 4096
-#: Rounds of nearest candidates at most, and the share of nodes that a round has to link for another
-#: one to follow. They decide the cost, never the result: all pairs that are left follow.
-ROUNDS, WORTH = 6, 0.01
-#: Ids up to which a broadcast replaces a shuffle of the texts (about 24 bytes each).
-BROADCAST_IDS = 500_000
-#: Signatures up to which a broadcast carries them to the tiles (about 200 bytes each).
-BROADCAST_SIGNATURES = 100_000
+TILE = ["tile", "d", "n", "leader", "size", "band", "blocks", "above"]
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
+#: Keys up to which a broadcast replaces a shuffle of the texts (about 24 bytes each).
+BROADCAST_KEYS = 500_000
 
 
 def sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -64,16 +62,16 @@ def sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def measured(rows: DataFrame) -> DataFrame:
-    """id, n, d (digest) of every row of id, text; 0 and null without words."""
+    """id, key, n, d (digest) of every row of id, key, text; 0 and null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            for k, h, digest in sets(batch, 1):
+            for k, h, digest in sets(batch, 2):
                 n[k], d[k] = len(h), digest
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d, pa.int64())], names=["id", "n", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(d, pa.int64())], names=["id", "key", "n", "d"])
 
-    return rows.mapInArrow(run, "id long, n long, d long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, d long")
 
 
 def least_of(n):
@@ -87,7 +85,11 @@ def first_of(n: int) -> int:
 
 
 def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
-    """tile, d, n, leader: first shingles that sets of fitting sizes share."""
+    """tile, d, n, leader, size, band, blocks, above: first shingles that sets of fitting sizes share.
+
+    size: members of the tile. A tile of more than BLOCK is compared by bands, each with the next
+    lower one, in as many blocks as its band (blocks) and the next higher one (above) make.
+    """
     buckets = partitions(rows)
     shared = rows.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if crowded is None else crowded)
 
@@ -97,7 +99,7 @@ def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
         ordered = last[rank]
         for batch in batches:
             seen, digests, sizes, firsts = set(), [], [], []
-            for _, h, d in sets(batch, 1):
+            for _, h, d in sets(batch, 2):
                 if d in seen:
                     continue
                 seen.add(d)
@@ -141,19 +143,23 @@ def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
         band = bands(n)
         order = np.lexsort((d, band, h))
         h, d, n, band = h[order], d[order], n[order], band[order]
-        head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (band[1:] != band[:-1])]))
-        leader = np.repeat(d[head], np.diff(np.append(head, len(h))))
+        tile = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        size = np.bincount(tile)[tile]
+        head = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (band[1:] != band[:-1])]))
+        own = np.diff(np.append(head, len(h)))
+        next_to = np.concatenate([[False], (tile[head][1:] == tile[head][:-1]) & (band[head][1:] == band[head][:-1] + 1)])
+        with_lower = -(-(own + np.where(next_to, np.roll(own, 1), 0)) // BLOCK)
+        higher = np.where(np.roll(next_to, -1), np.roll(with_lower, -1), 0)
+        columns = [h.view(np.int64), d, n, np.repeat(d[head], own), size, band, np.repeat(with_lower, own), np.repeat(higher, own)]
         for a in range(0, len(h), 20_000):
-            b = a + 20_000
-            yield pa.RecordBatch.from_arrays([pa.array(h[a:b].view(np.int64)), pa.array(d[a:b]), pa.array(n[a:b]), pa.array(leader[a:b])], names=["tile", "d", "n", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], names=TILE)
 
     spread = rows.mapInArrow(send, POSTINGS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return spread.mapInArrow(meet, "tile long, d long, n long, leader long")
+    return spread.mapInArrow(meet, ", ".join(f"{c} long" for c in TILE))
 
 
 def enough(found: DataFrame) -> DataFrame:
     """The tile rows of documents with as many as any link would take."""
-    found = _scratch.written(found, "all-tiles")
     smallest = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
     many = found.groupBy("d", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.floor(smallest / 10) + 1)
     return found.join(many.select("d"), "d", "left_semi")
@@ -174,17 +180,17 @@ def signature(h: np.ndarray) -> bytes:
 
 
 def content(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, n, bits, hashes of the sets of the wanted ids. Bits hold the parity of the shingles that
+    """d, n, bits, hashes of the sets of the wanted keys. Bits hold the parity of the shingles that
     fall on each, so two signatures differ in no more bits than their sets differ in shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(d, len(h), signature(h), h.tobytes()) for _, h, d in sets(batch, 1)]
+            out = [(d, len(h), signature(h), h.tobytes()) for _, h, d in sets(batch, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["d", "n", "bits", "hashes"])
 
-    if wanted.count() <= BROADCAST_IDS:
+    if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "d long, n long, bits binary, hashes binary")
+    return rows.join(wanted, "key", "left_semi").select("id", "key", "text").mapInArrow(run, "d long, n long, bits binary, hashes binary")
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -209,44 +215,47 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def compared(found: DataFrame, roots: DataFrame, held: DataFrame, mixed_only: bool) -> DataFrame:
+    """The tile rows in groups (tile, band, i, j) whose members are compared, with root, bits and block.
+
+    A group of a large tile has the members of one block, or those of two blocks, which are compared
+    across; probe marks members of the next lower band. mixed_only: without tiles in one component.
+    """
+    labelled = found.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
+    if mixed_only:
+        mixed = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
+        labelled = labelled.join(mixed, "tile", "left_semi")
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(False).alias("probe"), F.lit(1).cast("long").alias("of")))
+    by_band = F.array(F.struct("band", F.lit(False).alias("probe"), F.col("blocks").alias("of")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("probe"), F.col("above").alias("of")))
+    part = F.explode(F.when(F.col("size") <= BLOCK, whole).otherwise(F.filter(by_band, lambda x: x["of"] > 0))).alias("part")
+    dealt = labelled.join(held.select("d", "bits"), "d").select("tile", "d", "n", "root", "bits", part).select("*", "part.*").drop("part")
+    dealt = dealt.withColumn("block", F.pmod(F.hash("d"), F.col("of").cast("int"))).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("of") - 1).cast("int"))))
+    return dealt.select("tile", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d", "n", "root", "probe", "block", "bits")
+
+
 def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame, nearest: bool = False) -> DataFrame:
     """a, b: members of a tile in different components whose signatures allow a link.
 
-    nearest: for each member only that one whose signature differs least.
+    nearest: for each member only the smaller and the larger one whose signature differs least.
     """
-    labelled = found.select("tile", "d", "n").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
-    mixed = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
-    edge = F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9)
-    own = labelled.join(mixed, "tile", "left_semi").withColumn("band", edge)
-    both = own.withColumn("probe", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", F.col("band") + F.col("probe").cast("long"))
-    split = both.groupBy("tile", "band").agg(F.count("*").alias("size"), F.count_if(~F.col("probe")).alias("owned")).where("size > 1 and owned > 0")
-    split = split.select("tile", "band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.hash("d"), F.col("blocks"))
-    dealt = both.join(split, ["tile", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tile", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d", "n", "root", "probe", "block")
-    keys, deal = ["tile", "band", "i", "j"], max(BUCKETS, partitions(found))
-    bits = held.select("d", "bits")
-    if bits.count() <= BROADCAST_SIGNATURES:
-        spread = dealt.repartition(deal, *keys).join(F.broadcast(bits), "d")
-    else:
-        spread = dealt.join(bits, "d").repartition(deal, *keys)
-    spread = spread.select(*keys, "d", "n", "root", "probe", "block", "bits").sortWithinPartitions(*keys)
+    keys = ["tile", "band", "i", "j"]
+    spread = compared(found, roots, held, mixed_only=not nearest).repartition(max(BUCKETS, partitions(found)), *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 100_000:
+            if rows >= 20_000:
                 t = pa.Table.from_batches(held)
                 group, last = numbered(t), t.num_rows
                 cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
                 if cut:
-                    yield passed(t.slice(0, cut), group[:cut])
+                    yield from passed(t.slice(0, cut), group[:cut])
                 held, rows = t.slice(cut).to_batches(), last - cut
         if held:
             t = pa.Table.from_batches(held)
-            yield passed(t, numbered(t))
+            yield from passed(t, numbered(t))
 
     def numbered(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -255,95 +264,99 @@ def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame, nearest:
             new[1:] |= x[1:] != x[:-1]
         return np.cumsum(new)
 
-    def passed(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        """Pairs of all groups at once: each row with the next, the one after that, and so on."""
+    def passed(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of all groups: each row with those of its group that come after its component's."""
         i, j, d, n, root, block = (t.column(k).to_numpy() for k in ("i", "j", "d", "n", "root", "block"))
         probe = t.column("probe").to_numpy(zero_copy_only=False)
         body, at = _buffers.raw(t.column("bits").combine_chunks())
         marks = body.view(np.uint64).reshape(len(at) - 1, -1)
-        least, partner = np.full(len(d), BITS + 1), np.zeros(len(d), np.int64)
-        out, row, step = [], np.arange(len(d) - 1), 1
-        while len(row):
-            row = row[row + step < len(d)]
-            row = row[group[row] == group[row + step]]
-            a, b = row, row + step
-            fit = (root[a] != root[b]) & ~(probe[a] & probe[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+        order = np.lexsort((root, group))
+        new = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (root[order][1:] != root[order][:-1])])
+        size = np.zeros(len(d), np.int64)
+        size[order] = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        order = np.lexsort((root, size, group))  # the largest component of a group comes last
+        g, r = group[order], root[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])])
+        start = np.append(np.flatnonzero(new), len(d))[np.cumsum(new)]
+        todo = np.searchsorted(g, g, "right") - start
+        total = np.concatenate([[0], np.cumsum(todo)])
+        low, high = (np.full(len(d), BITS + 1), np.zeros(len(d), np.int64)), (np.full(len(d), BITS + 1), np.zeros(len(d), np.int64))
+        for x, y in _buffers.steps(total, PAIRS):
+            a, b = order[np.repeat(np.arange(x, y), todo[x:y])], order[_buffers.spans(start[x:y], todo[x:y])]
             small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            fit &= large * NUMERATOR <= small * DENOMINATOR
+            fit = (large * NUMERATOR <= small * DENOMINATOR) & ~(probe[a] & probe[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
             a, b = a[fit], b[fit]
-            if len(a):
-                # |A| + |B| - 2 |A and B| is at least the differing bits.
-                apart = np.bitwise_count(marks[a] ^ marks[b]).sum(1, dtype=np.int64)
-                both = (n[a] + n[b] - apart) // 2
-                fit = both * DENOMINATOR >= (n[a] + n[b] - both) * NUMERATOR
-                a, b, apart = a[fit], b[fit], apart[fit]
-                if nearest:  # a step has each row once at most on either side
-                    for x, y in ((a, b), (b, a)):
-                        better = apart < least[x]
-                        least[x[better]], partner[x[better]] = apart[better], d[y[better]]
-                    step += 1
-                    continue
-                out.append(np.stack([np.minimum(d[a], d[b]), np.maximum(d[a], d[b]), np.minimum(n[a], n[b])], 1))
-            step += 1
-        if nearest:
+            # |A| + |B| - 2 |A and B| is at least the differing bits.
+            apart = np.zeros(len(a), np.int64)
+            for k in range(marks.shape[1] if len(a) else 0):
+                apart += np.bitwise_count(marks[a, k] ^ marks[b, k])
+            both = (n[a] + n[b] - apart) // 2
+            fit = both * DENOMINATOR >= (n[a] + n[b] - both) * NUMERATOR
+            a, b, apart = a[fit], b[fit], apart[fit]
+            if not len(a):
+                continue
+            if nearest:
+                a, b = np.where(d[a] < d[b], a, b), np.where(d[a] < d[b], b, a)
+                for mine, other, (least, partner) in ((a, b, high), (b, a, low)):
+                    rank = np.lexsort((d[other], apart, mine))
+                    first = rank[np.concatenate([[True], mine[rank][1:] != mine[rank][:-1]])]
+                    first = first[apart[first] < least[mine[first]]]
+                    least[mine[first]], partner[mine[first]] = apart[first], d[other[first]]
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[a], d[b])), pa.array(np.maximum(d[a], d[b])), pa.array(np.minimum(n[a], n[b]))], names=["a", "b", "n"])
+        for least, partner in (low, high) if nearest else ():
             some = np.flatnonzero(least <= BITS)
             some = some[np.lexsort((partner[some], least[some], d[some]))]
             some = some[np.concatenate([[True], d[some][1:] != d[some][:-1]])[: len(some)]]
-            return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (d, partner, n, least)], names=["a", "b", "n", "times"])
-        p, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([*(pa.array(p[:, k]) for k in range(3)), pa.array(times)], names=["a", "b", "n", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (d, partner, least)], names=["a", "b", "n"])
 
-    pairs = spread.mapInArrow(compare, "a long, b long, n long, times long")
-    if nearest:  # times: bits that differ
-        best = pairs.groupBy("a").agg(F.min_by("b", F.struct("times", "b")).alias("b"))
-        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.groupBy("a", "b", "n").agg(F.sum("times").alias("times"))
-    return pairs.where(F.col("times") >= F.floor(F.col("n") / 10) + 1).select("a", "b")
+    pairs = spread.mapInArrow(compare, "a long, b long, n long")
+    if nearest:  # n: bits that differ
+        best = pairs.groupBy("a", F.col("b").__lt__(F.col("a")).alias("lower")).agg(F.min_by("b", F.struct("n", "b")).alias("b"))
+        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.groupBy("a", "b", "n").agg(F.count("*").alias("times")).where(F.col("times") >= F.floor(F.col("n") / 10) + 1).select("a", "b")
 
 
-def joined(roots: DataFrame, pairs: DataFrame, held: DataFrame) -> tuple[DataFrame, int]:
-    """(roots once those of the pairs that link are added, how many do)."""
-    links = _scratch.written(verified(_scratch.written(pairs, "pairs"), held), "links")
-    stars = roots.select(F.col("d").alias("a"), F.col("root").alias("b"))
-    linked = links.count()
-    return (_components.components(stars.union(links)) if linked else roots), linked
+def crowds(found: DataFrame) -> np.ndarray:
+    """The tiles with CROWD members or more, at most CROWDS of them, the largest last."""
+    crowded = found.where(F.col("size") >= CROWD).groupBy("tile").agg(F.first("size").alias("size")).orderBy(F.desc("size"), "tile").limit(CROWDS)
+    return np.array([r.tile for r in reversed(crowded.collect())], np.int64).view(np.uint64)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
-    Null and word-less texts have no shingles and link with nothing; a null id counts as larger
-    than all others and is a component's id only where no other is (then null); repeated rows
-    each give a row, in one component; other columns are ignored; an empty table gives an empty
-    result. Shingles are equal if their 64-bit hashes are.
+    Null and word-less texts have no shingles and link with nothing; ids may have any type that has
+    an order; a null id counts as larger than all others and is a component's id only where no other
+    is (then null); repeated rows each give a row, in one component; other columns are ignored; an
+    empty table gives an empty result. Shingles are equal if their 64-bit hashes are.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     all_sets = _scratch.written(measured(rows), "sets")
-    crowded = None
-    for _ in range(2):
-        found = _scratch.written(enough(tiles(rows, crowded)), "tiles")
-        crowds = found.groupBy("tile").count().where(F.col("count") >= CROWD).orderBy(F.desc("count"), "tile").limit(CROWDS)
-        late = np.array([r.tile for r in reversed(crowds.collect())], np.int64).view(np.uint64)
-        fresh = np.setdiff1d(late, crowded if crowded is not None else np.zeros(0, np.uint64))
-        if not len(fresh):
-            break
-        crowded = late if crowded is None else np.concatenate([fresh, crowded])[-CROWDS:]
+    found = _scratch.written(tiles(rows, None), "all-tiles")
+    crowded = crowds(found)
+    if len(crowded):
+        _scratch.free(found)
+        found = _scratch.written(tiles(rows, crowded), "all-tiles")
+    every, found = found, _scratch.written(enough(found), "tiles")
+    _scratch.free(every)
     votes = found.where("leader <> d").groupBy("d", "leader").count()
     best = votes.groupBy("d").agg(F.max_by("leader", F.struct("count", (-F.col("leader")).alias("low"))).alias("a")).select("a", F.col("d").alias("b"))
-    nodes = found.select("d").distinct()
-    wanted = all_sets.join(nodes, "d", "left_semi").groupBy("d").agg(F.min("id").alias("id")).select("id").distinct()
+    keys = all_sets.where("d is not null").groupBy("d").agg(F.min("key").alias("key"))
+    wanted = _scratch.written(keys.join(found.select("d").distinct(), "d", "left_semi").select("key").distinct(), "wanted")
     held = _scratch.written(content(rows, wanted).dropDuplicates(["d"]), "content")
-    roots = _components.components(_scratch.written(verified(best, held), "links"))
-    total = held.count()
-    for _ in range(ROUNDS):
-        roots, linked = joined(roots, bounded_pairs(found, roots, held, nearest=True), held)
-        if linked < WORTH * total:
-            break
-    roots, _ = joined(roots, bounded_pairs(found, roots, held), held)
-    members = all_sets.join(roots, "d", "left").withColumn("class", F.coalesce("root", "d"))
-    least = members.where("class is not null").groupBy("class").agg(F.min("id").alias("low"))
-    out = members.join(least, "class", "left")
-    kind = docs.schema[id_col].dataType
-    return out.select(
-        F.nullif("id", F.lit(NO_ID)).cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", "id"), F.lit(NO_ID)).cast(kind).alias("component_id")
-    )
+    led = _scratch.written(verified(best, held), "links")
+    near = _scratch.written(bounded_pairs(found, led.select(F.col("b").alias("d"), F.col("a").alias("root")), held, nearest=True), "pairs")
+    links = _scratch.written(verified(near, held), "links")
+    roots = _components.components(led.union(links))
+    rest = _scratch.written(bounded_pairs(found, roots, held), "pairs")
+    late = _scratch.written(verified(rest, held), "links")
+    if not late.isEmpty():
+        roots = _components.components(roots.select(F.col("d").alias("a"), F.col("root").alias("b")).union(late))
+    _scratch.free(found, held, near, rest)
+    nodes = keys.join(roots, "d", "left").select("d", F.coalesce("root", "d").alias("class"))
+    own = all_sets.where("d is not null").groupBy("d").agg(F.min("id").alias("low")).join(nodes, "d")
+    own = _scratch.written(own, "nodes")
+    least = own.groupBy("class").agg(F.min("low").alias("component"))
+    out = all_sets.join(own.join(least, "class").select("d", "component"), "d", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))

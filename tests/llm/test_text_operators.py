@@ -88,6 +88,18 @@ def test_near_copies_with_crowded_tiles(spark, monkeypatch):
     same(ngram_join.classes(docs).collect(), helpers.linked(pairs(docs)))
 
 
+def test_near_copies_of_regular_words_and_string_ids(spark):
+    bits = [bin(k).count("1") % 2 for k in range(1 << 12)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)  # Thue-Morse words cancel in sums modulo 2**64
+    tail = helpers.sentence(random.Random(3), 120)
+    rows = [("a", one), ("b", two), ("c", one), ("d", f"{one} {tail}"), ("é", f"{tail} x"), (None, f"{tail} y"), ("z", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(docs).collect()}
+    assert got == {"a": "a", "b": "b", "c": "a", "d": "d", "é": "d", None: "d", "z": "z"}
+    numbered = spark.createDataFrame([(k, t + " " + tail) for k, (_, t) in enumerate(rows[:3])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(numbered).collect()} == {0: 0, 1: 120, 2: 121}
+
+
 def test_repeats(spark):
     docs = helpers.awkward(spark)
     brute = helpers.without_repeats(pairs(docs))
