@@ -62,11 +62,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited crops of every image whose id is divisible by 20, against all images; and, without a
-    query, a row for each image with the representative under which the search lists it."""
+    """Edited crops of every image whose id is divisible by 20, against all images: a row for each
+    class of near-equal images that one is found in, and, without a query, a row for each image with
+    the representative of its class."""
     vectors = table(spark, sf_dir, "embeddings")
-    found = media.find_copies(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
-    return found.withColumn("representative", F.col("image")).unionByName(media.members(media.render(vectors)), allowMissingColumns=True)
+    found, members = media.search(media.render(vectors.where("vec_id % 20 = 0"), edited=True), media.render(vectors))
+    return found.withColumn("representative", F.col("image")).unionByName(members, allowMissingColumns=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

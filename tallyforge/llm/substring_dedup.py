@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm import _buffers
 
@@ -150,6 +151,13 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_ids(df: DataFrame, column: str) -> None:
+    """These operators order ids in arrays of 64-bit numbers."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{column} holds {kind.simpleString()}; whole numbers only (join on a number for each id instead)")
+
+
 def positions(cell: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.uint32) for x in cell]).astype(np.int64) if cell else np.zeros(0, np.int64)
 
@@ -192,6 +200,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, key, text of every row, dealt by key; key, cells: starts of the windows to remove)."""
+    whole_ids(docs, id_col)
     n, dealt = partitions(docs), max(BUCKETS, partitions(docs))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
@@ -211,8 +220,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows are judged on the input. A text that loses no word stays as it is; the kept words of
     others are joined by one space. digests: instead of text, kept_sha256 of the kept words
     joined by one space. Null text has no words and stays null; rows with a null id count as
-    larger than all others; rows that share an id are never compared with each other, and
-    repeated rows each give a row. Other columns are ignored. Two windows are equal if their
+    larger than all others; other ids are whole numbers (else TypeError); rows that share an id are
+    never compared with each other, and repeated rows each give a row. Other columns are ignored. Two windows are equal if their
     64-bit hashes are.
     """
 

@@ -1,25 +1,29 @@
 """URL filters by a path-template tree for each host, in DataFrame functions.
 
-Nodes are rows (host, path so far, segment) with counts. Segments that are numbers, hashes or
-long mixed ids stand for their kind from the start; below a node with many children they become
-a wildcard. Branches of a node whose children look alike and whose labels don't differ
-significantly are merged. A template is rejected by its smoothed share of blocked labels, drawn
-towards its host's and that towards all labels' share.
+Nodes are rows (host, path so far, segment) with counts. Segments that are numbers, hashes or long
+mixed ids stand for their kind from the start. From the root down, segments that are rare within
+their node become a wildcard, unless their labels set them apart from their siblings. From the
+leaves up, branches of a node are merged that a chi-square test can't tell from the pooled
+distribution of their family (the siblings with the same most frequent child) and whose labels don't
+differ from the family's. A template is rejected by its smoothed share of blocked labels, drawn
+towards its host's, that towards the share of the same path on all hosts, and that towards all
+labels' share. Each level is one written table, so plans stay as small for deep urls as for short.
 """
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _scratch
 from tallyforge.llm.decontaminate import LOWER, UPPER
 
-#: Children from which on a node's segments become a wildcard, and levels of the tree: what lies
-#: deeper is one last segment.
-CHILDREN, LEVELS = 20, 6
-#: Labels that a parent's share weighs, the z value beyond which branches differ, and the share
-#: of blocked labels from which a template is rejected.
+#: Share of a node's urls, and urls, that a segment needs to stay, and the z value of its labels
+#: against its siblings' from which on it stays with a smaller share.
+SHARE, SUPPORT, APART = 0.02, 3, 3.0
+#: Levels of the tree; what lies deeper is one last segment of its own.
+LEVELS = 12
+#: Labels that a parent's share weighs, the z value beyond which branches differ (in labels, and in
+#: children by a normal approximation of chi-square), and the share of blocked labels from which a
+#: template is rejected.
 WEIGHT, DIFFERENT, REJECT = 2.0, 1.96, 0.5
 #: Rules that a call takes: they become one expression.
 RULES = 1000
@@ -60,8 +64,70 @@ def shape(path: Column) -> Column:
         )
 
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    cut = F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS - 1), F.array(F.lit("<more>")))).otherwise(parts)
-    return F.transform(cut, kind)
+    kinds = F.transform(parts, kind)
+    deep = F.concat(F.slice(kinds, 1, LEVELS - 1), F.array(F.array_join(F.slice(kinds, LEVELS, 1 << 20), "/")))
+    return F.when(F.size(parts) > LEVELS, deep).otherwise(kinds)
+
+
+def label_gap(a: Column, b: Column, all_a: Column, all_b: Column) -> Column:
+    """z value of a part's blocked share against that of the rest; 0 where one has no labels."""
+    own, rest_b = a + b, all_b - b
+    rest = all_a + all_b - own
+    pool = all_b / (own + rest)
+    error = F.sqrt(pool * (1 - pool) * (1 / own + 1 / rest))
+    return F.when((own > 0) & (rest > 0), F.when(error > 0, F.abs(b / own - rest_b / rest) / error)).otherwise(0.0)
+
+
+def at_level(tree: DataFrame, k: int) -> DataFrame:
+    """tree with up (the path above level k, null for shorter paths) and segment."""
+    deep = F.size("t") >= k
+    return tree.withColumn("up", F.when(deep, F.array_join(F.slice("t", 1, k - 1), "/"))).withColumn("segment", F.when(deep, F.get("t", F.lit(k - 1))))
+
+
+def renamed(tree: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """tree (of at_level) with segments of level k as names (host, up, segment, name) has them."""
+    named = tree.join(names, ["host", "up", "segment"], "left")
+    swap = F.concat(F.slice("t", 1, k - 1), F.array("name"), F.slice("t", k + 1, LEVELS))
+    return named.withColumn("t", F.when(F.col("name").isNotNull(), swap).otherwise(F.col("t"))).drop("up", "segment", "name")
+
+
+def generalised(tree: DataFrame, k: int) -> DataFrame:
+    """tree with the variable segments of level k as *."""
+    cut = at_level(tree, k)
+    own = cut.where("up is not null").groupBy("host", "up", "segment").agg(*(F.sum(c).alias(c) for c in "nab"))
+    node = own.groupBy("host", "up").agg(*(F.sum(c).alias(f"all_{c}") for c in "nab"))
+    z = F.coalesce(label_gap(F.col("a"), F.col("b"), F.col("all_a"), F.col("all_b")), F.lit(0.0))
+    stays = (F.col("n") >= SUPPORT) & ((F.col("n") >= SHARE * F.col("all_n")) | (z >= APART))
+    names = own.join(node, ["host", "up"]).where(~stays).select("host", "up", "segment", F.lit("*").alias("name"))
+    return renamed(cut, names, k)
+
+
+def merged(tree: DataFrame, k: int) -> DataFrame:
+    """tree with the mergeable segments of level k under one name, {their family}."""
+    cut = at_level(tree, k)
+    below = F.coalesce(F.get("t", F.lit(k)), F.lit("."))
+    node, of_family = ["host", "up"], ["host", "up", "family"]
+    child = cut.where("up is not null").groupBy(*node, "segment", below.alias("below")).agg(*(F.sum(c).alias(c) for c in "nab"))
+    branch = child.groupBy(*node, "segment").agg(*(F.sum(c).alias(c) for c in "nab"), F.min_by("below", F.struct(-F.col("n"), "below")).alias("family"))
+    family = branch.groupBy(*of_family).agg(F.count("*").alias("branches"), *(F.sum(c).alias(f"all_{c}") for c in "nab"))
+    told = branch.join(family, of_family).where("branches > 1")
+    parts = child.select(*node, "segment", "below", F.col("n").alias("part")).join(told, [*node, "segment"])
+    pooled = parts.groupBy(*of_family, "below").agg(F.sum("part").alias("pooled"))
+    expected = F.col("n") * F.col("pooled") / F.col("all_n")
+    # Children that a branch lacks add what is expected of them: n in total, less those it has.
+    cell = (F.col("part") - expected) * (F.col("part") - expected) / expected - expected
+    tested = parts.join(pooled, [*of_family, "below"]).groupBy(*of_family, "segment", "n", "a", "b", "all_a", "all_b").agg((F.sum(cell) + F.col("n")).alias("chi"))
+    kinds = pooled.groupBy(*of_family).agg((F.count("*") - 1).alias("free"))
+    alike = F.col("chi") <= F.col("free") + DIFFERENT * F.sqrt(2 * F.col("free")) + 1e-9
+    gap = F.coalesce(label_gap(F.col("a"), F.col("b"), F.col("all_a"), F.col("all_b")), F.lit(0.0))
+    names = tested.join(kinds, of_family).where(alike & (gap < DIFFERENT)).select(*node, "segment", F.concat(F.lit("{"), "family", F.lit("}")).alias("name"))
+    return renamed(cut, names, k)
+
+
+def shares(labelled: DataFrame, keys: list[str], prior: Column, name: str) -> DataFrame:
+    """keys and name: the blocked share of the labels (a, b) by keys, drawn towards prior (a column of the same rows)."""
+    got = labelled.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.avg(prior).alias("_prior"))
+    return got.select(*keys, ((F.col("b") + WEIGHT * F.col("_prior")) / (F.col("a") + F.col("b") + WEIGHT)).alias(name))
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -71,50 +137,30 @@ def templates(labelled: DataFrame) -> DataFrame:
     """
     paths = labelled.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("b"))
     tree = _scratch.written(paths.withColumn("t", F.col("shape")), "paths")
-    depth = tree.agg(F.max(F.size("t"))).first()[0] or 0
-    for k in range(1, depth + 1):  # root to leaf: nodes with many children get a wildcard below
-        at = F.array_join(F.slice("t", 1, k - 1), "/")
-        own = tree.where(F.size("t") >= k).select("host", at.alias("up"), F.element_at("t", k).alias("segment")).distinct()
-        wide = own.groupBy("host", "up").agg(F.count("*").alias("children")).where(F.col("children") > CHILDREN).select("host", "up", F.lit(True).alias("wide"))
-        tree = tree.withColumn("up", at).join(wide, ["host", "up"], "left")
-        tree = tree.withColumn("t", F.when(F.col("wide") & (F.size("t") >= k), F.concat(F.slice("t", 1, k - 1), F.array(F.lit("*")), F.slice("t", k + 1, LEVELS))).otherwise(F.col("t"))).drop("up", "wide")
-    for k in range(depth, 0, -1):  # leaf to root: branches that look alike and are labelled alike
-        tree = merged(tree, k)
-    out = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/")))
+    every = tree.agg(F.max(F.size("t")).alias("depth"), F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    depth = every.depth or 0
+    for k in range(1, depth + 1):
+        tree, old = _scratch.written(generalised(tree, k), "level"), tree
+        _scratch.free(old)
+    tree = tree.withColumn("path", F.concat(F.lit("/"), F.array_join("t", "/")))
+    for k in range(depth, 0, -1):
+        tree = _scratch.written(merged(tree, k), "level")
+    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/")))
+    overall = ((every.b or 0) + WEIGHT * 0.5) / ((every.a or 0) + (every.b or 0) + WEIGHT)
+    of_path = shares(tree, ["path"], F.lit(overall), "path_share")
+    out = _scratch.written(tree.join(of_path, "path").select("host", "shape", "template", "n", "a", "b", "path_share"), "paths")
+    # Paths weigh in a template by their urls.
+    weighed = out.withColumn("weighed", F.col("path_share") * F.col("n"))
+    pooled = weighed.groupBy("host", "template").agg(F.sum("a").alias("n_allow"), F.sum("b").alias("n_block"), (F.sum("weighed") / F.sum("n")).alias("path_share"))
     hosts = out.groupBy("host").agg(F.sum("a").alias("host_a"), F.sum("b").alias("host_b"))
-    every = labelled.agg(F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("b")).first()
-    prior = (every.b + WEIGHT * 0.5) / (every.a + every.b + WEIGHT)
-    of_host = hosts.select("host", ((F.col("host_b") + WEIGHT * prior) / (F.col("host_a") + F.col("host_b") + WEIGHT)).alias("host_share"))
-    pooled = out.groupBy("host", "template").agg(F.sum("a").alias("n_allow"), F.sum("b").alias("n_block")).join(of_host, "host")
-    share = (F.col("n_block") + WEIGHT * F.col("host_share")) / (F.col("n_allow") + F.col("n_block") + WEIGHT)
-    return out.select("host", "shape", "template").join(pooled.withColumn("share", share), ["host", "template"]).select("host", "shape", "template", "n_allow", "n_block", "share")
-
-
-def merged(tree: DataFrame, k: int) -> DataFrame:
-    """tree with the mergeable segments of level k under one name, {kind of branch}."""
-    up, segment = F.array_join(F.slice("t", 1, k - 1), "/"), F.element_at("t", k)
-    below = F.coalesce(F.get("t", F.lit(k)), F.lit("."))
-    nodes = tree.where(F.size("t") >= k).select("host", up.alias("up"), segment.alias("segment"), below.alias("below"), "n", "a", "b")
-    child = nodes.groupBy("host", "up", "segment", "below").agg(*(F.sum(c).alias(c) for c in "nab"))
-    branch = child.groupBy("host", "up", "segment").agg(
-        *(F.sum(c).alias(c) for c in "nab"), F.collect_list(F.struct("below", "n")).alias("parts")
-    )  # as many parts as a node has children at most
-    eighths = F.transform("parts", lambda x: F.concat(x["below"], F.lit(":"), F.round(8 * x["n"] / F.col("n")).cast("string")))
-    branch = branch.withColumn("look", F.xxhash64(F.array_join(F.array_sort(eighths), " "))).drop("parts")
-    group = branch.groupBy("host", "up", "look").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.count("*").alias("branches"))
-    own, rest_b = F.col("a") + F.col("b"), F.col("all_b") - F.col("b")
-    rest = F.col("all_a") + F.col("all_b") - own
-    pool = F.col("all_b") / (own + rest)
-    error = F.sqrt(pool * (1 - pool) * (1 / own + 1 / rest))
-    apart = F.when((own > 0) & (rest > 0) & (error > 0), F.abs(F.col("b") / own - rest_b / rest) / error).otherwise(0.0)
-    alike = branch.join(group, ["host", "up", "look"]).where((F.col("branches") > 1) & (apart < DIFFERENT))
-    names = alike.select("host", "up", "segment", F.concat(F.lit("{"), F.hex("look"), F.lit("}")).alias("name"))
-    named = tree.withColumn("up", up).withColumn("segment", F.get("t", F.lit(k - 1))).join(names, ["host", "up", "segment"], "left")
-    return named.withColumn("t", F.when(F.col("name").isNotNull(), F.concat(F.slice("t", 1, k - 1), F.array("name"), F.slice("t", k + 1, LEVELS))).otherwise(F.col("t"))).drop("up", "segment", "name")
+    near = pooled.join(hosts, "host")
+    host_share = (F.col("host_b") + WEIGHT * F.col("path_share")) / (F.col("host_a") + F.col("host_b") + WEIGHT)
+    share = (F.col("n_block") + WEIGHT * host_share) / (F.col("n_allow") + F.col("n_block") + WEIGHT)
+    return out.select("host", "shape", "template").join(near.select("host", "template", "n_allow", "n_block", share.alias("share")), ["host", "template"]).select("host", "shape", "template", "n_allow", "n_block", "share")
 
 
 def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, template, blocked_share of every row.
+    """page_id, host, path, rule, verdict, template, n_allow, n_block, blocked_share of every row.
 
     A rule's verdict holds where one fits; other urls get their template's: block from REJECT on.
     Null urls and urls without :// have an empty host and path; repeated rows each give a row; a
@@ -127,4 +173,4 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     found = _scratch.written(templates(ruled), "templates")
     out = ruled.join(found, ["host", "shape"], "left")
     verdict = F.coalesce("label", F.when(F.col("share") >= REJECT, "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", F.col("share").alias("blocked_share"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "n_allow", "n_block", F.col("share").alias("blocked_share"))

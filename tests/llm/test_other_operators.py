@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -25,13 +26,48 @@ def test_urls_and_rules(spark):
     assert url_filters.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_urls_against_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["Example.org", "www.example.ORG", "x.com", "a.b.com", "plain.net", "example.com.net", "ORG", "com"]
+    words = ["en", "es", "fr", "de", "1", "12", "a-b", "20240101", "deadbeef0123", "P9"]
+    rows = []
+    for k in range(400):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 14))]
+        url = f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}" + "".join(f"/{p}" for p in parts) + rng.choice(["", "/", "?q=/de/", "#://x"])
+        rows.append((k, url))
+    rows += rows[:5] + [(500, None), (501, "no/scheme"), (None, "http://x.com/de/1"), (502, "")]
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' host", "'y' template", "1 n"), RULES).collect()
+    assert len(got) == len(rows)
+    counts: dict = {}
+    for r in got:
+        label = RULES.get(r.rule)
+        old = counts.get((r.host, r.template), (0, 0))
+        counts[r.host, r.template] = (old[0] + (label == "allow"), old[1] + (label == "block"))
+    due = []
+    for k, url in rows:
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host = helpers.lower(re.split("[/?#]", rest)[0])
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fits = [r for r in RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        due.append((k, host, path, max(fits, key=len, default=None)))
+    assert sorted(map(repr, due)) == sorted(repr(tuple(r)[:4]) for r in got)
+    assert all((r.n_allow, r.n_block) == counts[r.host, r.template] and r.verdict == (RULES.get(r.rule) or ("block" if r.blocked_share >= 0.5 else "allow")) for r in got)
+
+
 def test_templates_generalise_and_reject(spark):
     rows = [("h.com", ["shop", f"item-{k}"], "block" if k % 10 else "allow") for k in range(40)] + [("h.com", ["news", "<number>"], "allow")] * 12 + [("h.com", ["blog", "<number>"], None)] * 3
+    rows += [("wide.com", [f"section{k}", "<number>", *["deep"] * 9, f"x{k % 2}"], "block" if k == 5 else "allow") for k in range(21) for _ in range(30)]
+    rows += [("new.net", ["shop", f"item-{k}"], None) for k in range(30)] + [("new.net", ["news", "<number>"], None)] * 4
     found = url_filters.templates(spark.createDataFrame(rows, "host string, shape array<string>, label string")).collect()
-    by = {tuple(r["shape"]): r for r in found}
-    assert by[("shop", "item-3")].template == by[("shop", "item-9")].template and by[("shop", "item-3")].template.endswith("/*")
-    assert by[("shop", "item-3")].share > 0.8 and by[("news", "<number>")].share < 0.2
-    assert by[("news", "<number>")].template == by[("blog", "<number>")].template  # children alike, labels don't differ
+    by = {(r["host"], *r["shape"]): r for r in found}
+    item = by["h.com", "shop", "item-3"]
+    assert item.template == by["h.com", "shop", "item-9"].template and item.template.endswith("/*") and (item.n_allow, item.n_block) == (4, 36)
+    assert item.share > 0.8 and by["h.com", "news", "<number>"].share < 0.2
+    assert by["h.com", "news", "<number>"].template == by["h.com", "blog", "<number>"].template  # children alike, labels don't differ
+    wide = {k: by["wide.com", f"section{k}", "<number>", *["deep"] * 9, f"x{k % 2}"] for k in range(21)}
+    assert wide[5].share > 0.8 and all(r.share < 0.2 for k, r in wide.items() if k != 5)  # well-supported sections stay
+    assert wide[3].template == wide[7].template != wide[4].template  # merged where children are alike
+    assert by["new.net", "shop", "item-2"].share > 0.5 > by["new.net", "news", "<number>"].share  # no labels of its own
 
 
 def test_toxicity(spark):
