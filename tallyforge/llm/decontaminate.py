@@ -8,6 +8,8 @@ windows themselves, so a hash never decides a hit.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm import _scratch
+
 #: Words of a window.
 WINDOW = 10
 #: Fixed value: a word is a run of these characters once A-Z are lower case.
@@ -101,21 +103,22 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     are ignored; repeated benchmark rows count once; repeated documents each give a row; a null
     id stays null; other columns are ignored; empty tables give no hits or an empty result.
     """
-    windows = benchmark_windows(benchmark, item_col, item_text_col).cache()
+    windows = _scratch.written(benchmark_windows(benchmark, item_col, item_text_col), "windows")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    scanned = rows.select("id", "key", scan(rows, windows, "text").alias("found"))
-    each = scanned.select("id", "key", "found.n_words", F.posexplode_outer("found.hits").alias("k", "hit"))
-    each = each.select("id", "key", "n_words", "k", F.col("hit.at").alias("at"), F.col("hit.size").alias("size"), F.col("hit.window").alias("window"))
+    scanned = _scratch.written(rows.select("id", "key", scan(rows, windows, "text").alias("found")).select("id", "key", "found.*"), "scanned")
+    # Rows without a window that passes stay out of both joins' keys.
+    some = scanned.where(F.size("hits") > 0).select("id", "key", "hits").dropDuplicates(["id", "key"])
+    each = some.select("id", "key", F.explode("hits").alias("hit")).select("id", "key", "hit.*")
     held = windows.select(F.col("size").alias("s"), F.col("window").alias("wd"), "items")
     if windows.count() <= BROADCAST_WINDOWS:
         held = F.broadcast(held)
-    matched = each.join(held, (F.col("s") == F.col("size")) & (F.col("wd") == F.col("window")), "left")
-    hit = F.when(F.col("items").isNotNull(), F.struct("at", "size"))
-    grouped = matched.groupBy("id", "key", "n_words").agg(
-        F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("copies"), F.sort_array(F.collect_set(hit)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    matched = each.join(held, (F.col("s") == F.col("size")) & (F.col("wd") == F.col("window")))
+    grouped = matched.groupBy(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")).agg(
+        F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
-    out = grouped.select(F.col("id").alias(id_col), "key", "n_words", covered(F.col("spans")).alias("n_hit"), "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return out.select(id_col, "key", "n_words", "n_hit", "spans", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    out = scanned.join(grouped, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    spans, items = F.coalesce("spans", F.array().cast("array<struct<at:int,size:int>>")), F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(F.col("id").alias(id_col), "key", "n_words", covered(spans).alias("n_hit"), spans.alias("spans"), items.alias("items"), F.col("spans").isNotNull().alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

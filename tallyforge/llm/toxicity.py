@@ -14,12 +14,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm import _buffers, _scratch
 
@@ -33,6 +33,8 @@ FOLDS, HELD_OUT = 5, 0
 PARTS = 3
 #: Words among which one of the lexicon makes a score of a half, where nothing is learned.
 LEXICON_WORDS = 100
+#: Columns that this module adds to a caller's, under names that a caller's won't have.
+X, SCORE = "_tf_x", "_tf_score"
 #: Words on either side of a telling word in which second-person words count.
 NEAR = 5
 
@@ -210,10 +212,11 @@ def learn_units(labelled: DataFrame) -> Units:
     return units
 
 
-def with_features(rows: DataFrame, units: Units, keep: list[str]) -> DataFrame:
-    """The columns to keep and NAMES, from rows that have them and text."""
+def with_features(rows: DataFrame, units: Units, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns to keep and X, an array of NAMES of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(units)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    at_text = keep.index(text_col) if text_col in keep else len(keep)
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(X, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,10 +224,10 @@ def with_features(rows: DataFrame, units: Units, keep: list[str]) -> DataFrame:
             for a, b in _buffers.steps(offsets):
                 at = offsets[a : b + 1]
                 x = features(data[at[0] : at[-1]], at - at[0], shared.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*keep, *NAMES])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32)), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), lists], names=[*keep, X])
 
-    at_text = keep.index("text") if "text" in keep else len(keep)
-    return rows.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, ", ".join([kinds, *(f"{c} double" for c in NAMES)]))
+    return rows.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
 
 
 @dataclass
@@ -234,21 +237,23 @@ class Model:
     calibration: object = None
     lexicon: bool = False
 
-    def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        """keep and score of rows that have keep and text."""
+    def score(self, rows: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+        """keep and SCORE of rows."""
         if self.trees is None and not self.lexicon:
-            return rows.select(*keep, F.lit(0.0).alias("score"))
+            return rows.select(*keep, F.lit(0.0).alias(SCORE))
+        made = with_features(rows, self.units, keep, text_col)
         if self.trees is None:
-            hits = F.expm1("fixed_count") + F.expm1("hidden_count")
-            rate = hits * F.least(F.lit(1.0), LEXICON_WORDS / F.greatest(F.lit(1.0), F.expm1("log_words")))
-            return with_features(rows, self.units, keep).select(*keep, F.round(1 - F.pow(F.lit(0.5), rate), 9).alias("score"))
-        ready = VectorAssembler(inputCols=NAMES, outputCol="features").transform(with_features(rows, self.units, keep))
-        out = self.calibration.transform(margin(self.trees.transform(ready)).drop("prediction"))
-        return out.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
+            fixed, hidden, size = (F.expm1(F.get(X, F.lit(NAMES.index(c)))) for c in ("fixed_count", "hidden_count", "log_words"))
+            rate = (fixed + hidden) * F.least(F.lit(1.0), LEXICON_WORDS / F.greatest(F.lit(1.0), size))
+            return made.select(*keep, F.round(1 - F.pow(F.lit(0.5), rate), 9).alias(SCORE))
+        out = self.calibration.transform(margin(self.trees, made, keep))
+        return out.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), SCORE)).alias(SCORE))
 
 
-def margin(predicted: DataFrame) -> DataFrame:
-    return predicted.select(*(c for c in predicted.columns if c not in ("features", "rawPrediction", "probability")), vector_to_array("probability")[1].alias("features"))
+def margin(trees, made: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and _tf_margin (the trees' probability) of rows with X."""
+    judged = trees.transform(made.withColumn("_tf_vector", array_to_vector(X)))
+    return judged.select(*keep, vector_to_array("_tf_probability")[1].alias("_tf_margin"))
 
 
 def fold(id_col: str) -> Column:
@@ -264,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, TRAINING_ROWS / max(1, known.count()))
     taken = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(id_col).alias("label_id"), "toxic")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), F.col("id") == F.col("label_id"))
-    rows = _scratch.written(rows.select("id", "text", "toxic").repartition(8), "labelled")
+    rows = _scratch.written(rows.select("id", "text", "toxic").dropDuplicates(["id", "text"]).repartition(8), "labelled")
     ids = rows.select("id", "toxic").distinct()
     seen = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     if any(seen.get(toxic, 0) < 2 for toxic in (0, 1)):
@@ -273,19 +278,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _scratch.written(rows.join(F.broadcast(ids.select("id", part)), "id"), "parts")
     judged = [grown(rows.where(F.col("part") != k), rows.where(F.col("part") == k))[2] for k in range(PARTS)]
     units, trees, _ = grown(rows)
-    return Model(units, trees, IsotonicRegression(labelCol="toxic", featuresCol="features").fit(reduce(DataFrame.union, judged)))
+    return Model(units, trees, IsotonicRegression(labelCol="toxic", featuresCol="_tf_margin", predictionCol=SCORE).fit(reduce(DataFrame.union, judged)))
 
 
 def grown(learned: DataFrame, others: DataFrame | None = None) -> tuple[Units, object, DataFrame | None]:
-    """Units and trees from the rows learned, and toxic and features (the margin) of the others."""
+    """Units and trees from the rows learned, and toxic and the margin of the others."""
     units = learn_units(learned)
-    assembler = VectorAssembler(inputCols=NAMES, outputCol="features")
-    ready = _scratch.written(assembler.transform(with_features(learned, units, ["toxic"])).select("toxic", "features"), "features")
-    trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, subsamplingRate=1.0, checkpointInterval=-1).fit(ready)
+    ready = with_features(learned, units, ["toxic"]).select("toxic", array_to_vector(X).alias("_tf_vector"))
+    grower = GBTClassifier(labelCol="toxic", featuresCol="_tf_vector", predictionCol="_tf_prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, subsamplingRate=1.0, checkpointInterval=-1)
+    trees = grower.setRawPredictionCol("_tf_raw").setProbabilityCol("_tf_probability").fit(_scratch.written(ready, "features"))
     if others is None:
         return units, trees, None
-    judged = margin(trees.transform(assembler.transform(with_features(others, units, ["toxic"])).select("toxic", "features"))).drop("prediction")
-    return units, trees, _scratch.written(judged, "judged")
+    return units, trees, _scratch.written(margin(trees, with_features(others, units, ["toxic"]), ["toxic"]), "judged")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,12 +301,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = model.score(rows, ["id"])
-    return out.select(F.col("id").alias(id_col), (fold("id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias(id_col), (fold("id") == HELD_OUT).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score below 0.5, all their columns unchanged."""
+    """The documents that score below 0.5, all their columns unchanged, whatever their names (but for
+    those that begin with _tf_). Nulls, repeated rows and empty tables: as score() has them."""
     model = fit(docs, labels, id_col, text_col)
-    rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    kept = model.score(rows, rows.columns).where("score < 0.5").select(*rows.columns)
-    return kept.withColumnRenamed("text", text_col) if text_col != "text" else kept
+    return model.score(docs, docs.columns, text_col).where(F.col(SCORE) < 0.5).select(*docs.columns)

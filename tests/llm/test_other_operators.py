@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyforge.llm import media, queries, toxicity, url_filters, warc
 from tests.llm import helpers
@@ -89,8 +90,10 @@ def test_toxicity(spark):
     assert got.count() == 1503 and all(0 <= r.score <= 1 for r in rows.values())
     held = [(rows[k].predicted, y) for k, y in labels if rows[k].held_out]
     assert np.mean([p == y for p, y in held]) > 0.93
-    kept = toxicity.remove_toxic(d, lab)
-    assert kept.columns == d.columns and kept.count() == sum(r.predicted == 0 for r in got.collect())
+    names = {c: "x" for c in (*toxicity.NAMES, "features", "prediction", "probability", "rawPrediction", "score", "id")}
+    clashing = d.select("doc_id", "text", *(F.lit(v).alias(c) for c, v in names.items()))
+    kept = toxicity.remove_toxic(clashing, lab)
+    assert kept.columns == clashing.columns and kept.count() == sum(r.predicted == 0 for r in got.collect())
     assert toxicity.score(d.limit(0), lab).count() == 0
     assert toxicity.score(d, lab.limit(0)).where("predicted = 1").count() == 0
 
