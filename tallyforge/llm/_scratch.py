@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Files of a table for each core of the cluster, at most: a small table that comes in thousands of
 #: partitions would otherwise cost more in opening files than in rows.
-FILES_EACH = 8
+FILES_EACH = 3
+
+#: Bytes of an Arrow batch at most, in a session that allows more: a batch of whole texts is held by
+#: the JVM and by a Python worker, in and out, for each core.
+BATCH_BYTES = 4 << 20
 
 _own: dict[str, str] = {}
 
@@ -30,6 +34,14 @@ def folder(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(conf.get(key).rstrip("b"))
+    if not 0 < held <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def path(spark: SparkSession, name: str) -> str:
     """A fresh path under folder()."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -331,6 +331,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     is (then null); repeated rows each give a row, in one component; other columns are ignored; an
     empty table gives an empty result. Shingles are equal if their 64-bit hashes are.
     """
+    _scratch.small_batches(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     all_sets = _scratch.written(measured(rows), "sets")
     found = _scratch.written(tiles(rows, None), "all-tiles")

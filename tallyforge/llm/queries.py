@@ -83,6 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_image_copies": op10_image_copies,
 }
 
+#: Words between blanks, in DuckDB; replaces {w} with the text.
+SQL_RUNS = r"regexp_extract_all({w}, '[^\x20\x09-\x0D]+')"
+SQL_LOWER = "translate(coalesce({w}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 #: Words of a text once A-Z are lower case, in DuckDB; replaces {w} with the text.
 SQL_WORDS = r"regexp_extract_all(translate(coalesce({w}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -109,4 +113,39 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
         FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)""",
+    "op6_ngram_join": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, {SQL_RUNS.format(w=SQL_LOWER.format(w="text"))} AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM docs),
+        item AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+            FROM item a JOIN item b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (na + nb - common)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS d, doc_id AS r FROM sets UNION SELECT reach.d, edges.b FROM reach JOIN edges ON reach.r = edges.a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id
+        FROM sets JOIN (SELECT d, min(r) AS low FROM reach GROUP BY d) ON d = doc_id""",
+    "op7_warc": """
+        WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        named AS (
+            SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM bodies),
+        bits AS (
+            SELECT *, list_reduce(list_transform(range(0, 8), lambda k: list_reduce(list_transform(range(0, 4), lambda j:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) >> CAST(15 - 5 * j AS BIGINT)) & 31 AS BIGINT) + 1, 1)), lambda x, y: x || y)), lambda x, y: x || y) AS digest FROM named)
+        SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to FROM bits""",
+    "op8_substring_dedup": f"""
+        WITH docs AS (SELECT doc_id, {SQL_RUNS.format(w="coalesce(text, '')")} AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM docs WHERE len(w) >= 50),
+        windows AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS win FROM places),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS pos
+            FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY win) AS low FROM windows) WHERE doc_id > low),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm import _buffers
+from tallyforge.llm import _buffers, _scratch
 
 WINDOW, PERIOD = 50, 31
 #: A perfect difference set modulo 31.
@@ -200,6 +200,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, key, text of every row, dealt by key; key, cells: starts of the windows to remove)."""
+    _scratch.small_batches(docs)
     whole_ids(docs, id_col)
     n, dealt = partitions(docs), max(BUCKETS, partitions(docs))
     rows = docs.select(

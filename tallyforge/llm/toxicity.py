@@ -264,6 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from the labelled documents outside fold 0. Null ids and labels are left out, the
     largest of several labels counts. With fewer than two ids of either label the model scores
     by the fixed lexicon; without a toxic one, which leaves open what is meant by toxic, with 0."""
+    _scratch.small_batches(docs)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     known = known.where(fold(id_col) != HELD_OUT)
     share = min(1.0, TRAINING_ROWS / max(1, known.count()))
