@@ -110,3 +110,8 @@ def calendar(first: Column, last: Column, source: DataFrame) -> DataFrame:
 
 def empty_calendar(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "date date, annee int, mois int, nom_mois string, annee_mois string, trimestre string, jour int, jour_semaine int")
+
+
+def like_date(kind: Column, s: Column) -> Column:
+    """Whether a cell is a date, or a text that gives one; a bare number isn't."""
+    return F.coalesce((kind == "d") | ((kind == "s") & to_date(s).isNotNull()), F.lit(False))

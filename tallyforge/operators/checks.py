@@ -101,11 +101,11 @@ def shared_contracts(frame: DataFrame, names: int = 5) -> DataFrame:
     """files, n_contracts, first names, banque (of the first contract): contracts that several files hold, by set of files."""
     keep = frame.where(F.col("num_contrat").isNotNull())
     files = keep.groupBy("num_contrat").agg(F.sort_array(F.collect_set("source_file")).alias("files"), F.min_by("banque", F.struct("source_file", "source_row")).alias("banque")).where(F.size("files") > 1)
-    least = files.withColumn("place", F.row_number().over(W.partitionBy("files").orderBy("num_contrat")))
-    return least.groupBy("files").agg(
-        F.count("*").alias("n_contracts"), F.min_by("banque", "num_contrat").alias("banque"),
-        F.sort_array(F.collect_list(F.when(F.col("place") <= names, F.col("num_contrat")))).alias("contracts"),
-    )
+    # Counts combine before the shuffle, and so does the limit to the first names of each set of files.
+    counts = files.groupBy("files").agg(F.count("*").alias("n_contracts"), F.min_by("banque", "num_contrat").alias("banque"))
+    first = files.withColumn("place", F.row_number().over(W.partitionBy("files").orderBy("num_contrat"))).where(F.col("place") <= names)
+    listed = first.groupBy("files").agg(F.sort_array(F.collect_list("num_contrat")).alias("contracts"))
+    return counts.join(listed, "files").select("files", "n_contracts", "banque", "contracts")
 
 
 def duplicates_across_files(frame: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def duplicates_across_files(frame: DataFrame) -> DataFrame:
 def all_checks(frame: DataFrame, fields: list[str], by_format: dict[str, list[str]] | None = None) -> DataFrame:
     """The flags of every check, in order of severity, code and file."""
     parts = [required(frame, fields, by_format), premium(frame), period_agreement(frame), period_coverage(frame), lag(frame), duplicates_in_file(frame), duplicates_across_files(frame)]
-    return reduce(DataFrame.unionByName, parts)
+    return severity_order(reduce(DataFrame.unionByName, parts))
 
 
 def severity_order(flags: DataFrame) -> DataFrame:

@@ -1,21 +1,25 @@
 """Aggregates over fact tables, flags and mappings."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEASURES = ("prime_nette", "frais", "prime_totale", "capital_assure")
 
 
+def cents(x: Column) -> Column:
+    return F.rint(x * 100) / 100
+
+
 def reconciliation(frame: DataFrame) -> DataFrame:
     """Rows, files, totals and derived premiums by bank and month; null keys are a group of their own."""
-    totals = [F.coalesce(F.sum(m), F.lit(0)).cast("double").alias(f"{m}_total") for m in MEASURES if m in frame.columns]
+    totals = [cents(F.coalesce(F.sum(m), F.lit(0)).cast("double")).alias(f"{m}_total") for m in MEASURES if m in frame.columns]
     return frame.groupBy("banque", "mois_reception").agg(
         F.count("*").alias("lignes"), F.count_distinct("source_file").alias("fichiers"), *totals, F.count_if(F.col("prime_totale_source") == "derived").alias("primes_calculees")
     )
 
 
 def status(frame: DataFrame) -> DataFrame:
-    return frame.groupBy("banque", "produit_code").agg(F.count("*").alias("lignes"), F.count_distinct("mois_reception").alias("mois"), F.coalesce(F.sum("prime_totale"), F.lit(0)).cast("double").alias("prime_totale"))
+    return frame.groupBy("banque", "produit_code").agg(F.count("*").alias("lignes"), F.count_distinct("mois_reception").alias("mois"), cents(F.coalesce(F.sum("prime_totale"), F.lit(0)).cast("double")).alias("prime_totale"))
 
 
 def flag_counts(flags: DataFrame) -> DataFrame:

@@ -170,3 +170,16 @@ def test_short_headers_meet_every_alias(spark):
     got = {names[r.col]: (r.canonical, r.score, [x["name"] for x in r.suggestions or []]) for r in resolve.fuzzy(headers, table).collect()}
     assert got["prmie"] == (None, 80.0, ["prime"]) and got["tuax"] == (None, 75.0, ["taux"]) and got["cl no"] == ("no cl", 95.0, ["no cl"])
     assert got["prime"][0] == "prime" and got["zzz"] == got[""] == (None, None, [])
+
+
+def test_rows_conserved_and_gates(spark):
+    from tallyforge.operators import audit
+    from tallyforge.plans import catalogue_run
+
+    rows = catalogue_run.rows_conserved(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.kept + r.dropped == r.due for r in rows)
+    flags = spark.createDataFrame([("error",), ("info",)], "severity string")
+    fine = spark.createDataFrame([("frais", ["odd"], "seed")], "canonical string, warnings array<string>, method string")
+    assert audit.gate(flags, fine) == "errors" and audit.gate(flags, fine, allow_errors=True) == "review"
+    assert audit.gate(flags.where("severity = 'info'"), fine, allow_review=True) is None
+    assert audit.only(fine.withColumn("path", F.lit("a")), spark.createDataFrame([("b",)], "path string")).count() == 0

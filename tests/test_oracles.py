@@ -7,6 +7,7 @@ from glob import glob
 import duckdb
 import pytest
 
+from tallyforge.plans import catalogue_run  # noqa: F401  adds its queries
 from tallyforge.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
