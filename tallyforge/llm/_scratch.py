@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Files of a table for each core of the cluster, at most: a small table that comes in thousands of
 #: partitions would otherwise cost more in opening files than in rows.
-FILES_EACH = 3
+FILES_EACH = 8
 
 #: Bytes of an Arrow batch at most, in a session that allows more: a batch of whole texts is held by
 #: the JVM and by a Python worker, in and out, for each core.
