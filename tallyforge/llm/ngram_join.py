@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _buffers, _components, _scratch
-from tallyforge.llm.substring_dedup import BUCKETS, POSTINGS, Postings, partitions
+from tallyforge.llm.substring_dedup import BUCKETS, POSTINGS, Postings, partitions, pieces, unpacked
 
 SHINGLE = 5
 #: Similarity at which two sets link, as a fraction.
@@ -119,18 +119,18 @@ def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            for b, ids, keys, which, hashes, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket and held:
-                    yield from found(held)
+                    for d, n, h, _ in pieces(held):
+                        yield from found(h, d, n)
                     held = []
                 bucket = b
-                which = np.frombuffer(which, np.uint32)
-                held.append((np.frombuffer(hashes, np.uint64), np.frombuffer(ids, np.int64)[which], np.frombuffer(keys, np.int64)[which]))
+                held.append(unpacked(*parts))
         if held:
-            yield from found(held)
+            for d, n, h, _ in pieces(held):
+                yield from found(h, d, n)
 
-    def found(held: list) -> Iterator[pa.RecordBatch]:
-        h, d, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    def found(h: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((d, n, h))
         h, d, n = h[order], d[order], n[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])  # equal sets of several steps

@@ -27,6 +27,8 @@ COVER = (0, 1, 3, 8, 12, 18)
 #: Buckets of hashes at least. A document gets a row of findings from each bucket that has some,
 #: so with few, the rows of a document would grow with the buckets rather than with its findings.
 BUCKETS = 64
+#: Postings of a bucket that are compared at once; those of one hash stay together.
+PIECE, SAMPLED = 1 << 16, 64
 #: Stands for a null id: larger than any other.
 NO_ID = (1 << 63) - 1
 
@@ -45,9 +47,10 @@ class Postings:
         self.rows.append((bucket, self.ids[docs].tobytes(), self.keys[docs].tobytes(), own.astype(np.uint32).tobytes(), hashes.tobytes(), at.astype(np.uint32).tobytes()))
 
     def send(self, which: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        """Buckets are ranges of hashes, and each row is sorted by hash, as pieces() wants it."""
+        order = np.argsort(hashes)
+        bucket = ((hashes[order] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        ends = np.searchsorted(bucket, np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(ends)):
             part = order[ends[b] : ends[b + 1]]
             self.add(int(b), which[part], hashes[part], at[part])
@@ -63,6 +66,23 @@ class Postings:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in POSTINGS.split(", ")])
 
 
+def unpacked(*cells: bytes) -> tuple[np.ndarray, ...]:
+    """ids, keys, which, hashes, at of a row of POSTINGS."""
+    return tuple(np.frombuffer(x, k) for x, k in zip(cells, (np.int64, np.int64, np.uint32, np.uint64, np.uint32), strict=True))
+
+
+def pieces(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, keys, hashes, at) of the unpacked rows of a bucket, by ranges of hashes with about PIECE
+    postings: beside the rows themselves, only one range at a time takes memory."""
+    some = np.sort(np.concatenate([h[k % SAMPLED :: SAMPLED] for k, (_, _, _, h, _) in enumerate(held)]))
+    bounds = np.unique(some[max(1, PIECE // SAMPLED) :: max(1, PIECE // SAMPLED)])
+    cuts = [np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]]) for _, _, _, h, _ in held]
+    for k in range(len(bounds) + 1):
+        part = [(ids[which[c[k] : c[k + 1]]], keys[which[c[k] : c[k + 1]]], h[c[k] : c[k + 1]], at[c[k] : c[k + 1]]) for (ids, keys, which, h, at), c in zip(held, cuts, strict=True) if c[k] < c[k + 1]]
+        if part:
+            yield tuple(np.concatenate(x) for x in zip(*part, strict=True))
+
+
 def groups(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (hash, id); of each place in that order the smallest and the largest id of its hash."""
     order = np.lexsort((ids, hashes))
@@ -119,21 +139,24 @@ def reduced(postings: DataFrame, keep) -> DataFrame:
                     yield from found(held)
                     held = []
                 bucket = b
-                kinds = (np.int64, np.int64, np.uint32, np.uint64, np.uint32)
-                ids, keys, which, hashes, at = (np.frombuffer(x, k) for x, k in zip(parts, kinds, strict=True))
+                row = unpacked(*parts)
+                ids, keys, which, hashes, at = row
                 if len(hashes):
-                    held.append((ids[which], keys[which], hashes, at))
+                    held.append(row)
                 else:
                     yield by_document(ids[which], keys[which], at)
         if held:
             yield from found(held)
 
     def found(held: list) -> Iterator[pa.RecordBatch]:
-        ids, keys, hashes, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, low, high = groups(hashes, ids)
-        order = order[keep(low, high, ids[order])]
-        if len(order):
-            yield by_document(ids[order], keys[order], at[order])
+        kept = []
+        for ids, keys, hashes, at in pieces(held):
+            order, low, high = groups(hashes, ids)
+            order = order[keep(low, high, ids[order])]
+            kept.append((ids[order], keys[order], at[order]))
+        ids, keys, at = (np.concatenate(x) for x in zip(*kept, strict=True))
+        if len(ids):
+            yield by_document(ids, keys, at)
 
     def by_document(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((at, keys))

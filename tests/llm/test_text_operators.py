@@ -202,3 +202,28 @@ def test_license_windows_against_brute_force(spark):
 
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+@pytest.mark.parametrize("most", [64, 256, 1 << 16])
+def test_pieces_of_a_bucket(monkeypatch, most):
+    """Every posting comes in one piece, all of a hash in the same one; a very common hash stays whole."""
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "PIECE", most)
+    rng, held, expected = np.random.default_rng(5), [], []
+    for k in range(40):
+        n = int(rng.integers(1, 300))
+        ids = np.arange(1000 * k, 1000 * k + 9)
+        hashes = np.where(rng.random(n) < 0.3, 77, rng.integers(0, 500, n)).astype(np.uint64)
+        out = substring_dedup.Postings(ids, -ids, 1)
+        which, at = rng.integers(0, 9, n), rng.integers(0, 50, n)
+        out.send(which, hashes, at)
+        ((_, *cells),) = out.rows
+        held.append(substring_dedup.unpacked(*cells))
+        expected += zip(ids[which].tolist(), (-ids[which]).tolist(), hashes.tolist(), at.tolist(), strict=True)
+    got, seen = [], set()
+    for ids, keys, hashes, at in substring_dedup.pieces(held):
+        assert not seen & set(hashes.tolist())
+        seen |= set(hashes.tolist())
+        got += zip(ids.tolist(), keys.tolist(), hashes.tolist(), at.tolist(), strict=True)
+    assert sorted(got) == sorted(expected)
