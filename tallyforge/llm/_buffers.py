@@ -1,7 +1,9 @@
 """Whole Arrow batches of texts as NumPy arrays: bytes, words and 64-bit hashes of word runs."""
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,31 @@ STEP_BYTES = 1 << 18
 #: 2**64 of some regular patterns to cancel (from 1,024 elements on), too long for common words.
 LONG_WORD = 128
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """run, whose worker gives free memory back to the system once a task ends: workers outlive their
+    tasks, and what they keep would add to the needs of the next stage's."""
+
+    @functools.wraps(run)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return each
+
+
+def release() -> None:
+    """Gives free memory of Arrow's pool and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 U = np.uint64
 _ODD, _ODD2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 

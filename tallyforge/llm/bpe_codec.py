@@ -387,7 +387,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", vocab_file: str | None
                     held, size = [], 0
         yield from merged()
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_buffers.tidy(run), "word binary, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -432,7 +432,7 @@ def encode(docs: DataFrame, vocab_file: str | None = None, lexicon: Lexicon | No
     names = [id_col, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])]
     kind = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {rest}")
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(_buffers.tidy(run), f"`{id_col}` {kind}, n_tokens long, {rest}")
 
 
 def decode(encoded: DataFrame, vocab_file: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -451,4 +451,4 @@ def decode(encoded: DataFrame, vocab_file: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(id_col, ids_col).mapInArrow(_buffers.tidy(run), f"`{id_col}` {kind}, text string")

@@ -71,7 +71,7 @@ def measured(rows: DataFrame) -> DataFrame:
                 n[k], d[k] = len(h), digest
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(d, pa.int64())], names=["id", "key", "n", "d"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, d long")
+    return rows.mapInArrow(_buffers.tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, key long, n long, d long")
 
 
 def least_of(n):
@@ -154,8 +154,8 @@ def tiles(rows: DataFrame, crowded: np.ndarray | None) -> DataFrame:
         for a in range(0, len(h), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in columns], names=TILE)
 
-    spread = rows.mapInArrow(send, POSTINGS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return spread.mapInArrow(meet, ", ".join(f"{c} long" for c in TILE))
+    spread = rows.mapInArrow(_buffers.tidy(send), POSTINGS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return spread.mapInArrow(_buffers.tidy(meet), ", ".join(f"{c} long" for c in TILE))
 
 
 def enough(found: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def content(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
-    return rows.join(wanted, "key", "left_semi").select("id", "key", "text").mapInArrow(run, "d long, n long, bits binary, hashes binary")
+    return rows.join(wanted, "key", "left_semi").select("id", "key", "text").mapInArrow(_buffers.tidy(run), "d long, n long, bits binary, hashes binary")
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
     one = held.select(F.col("d").alias("a"), F.col("hashes").alias("x"))
     two = held.select(F.col("d").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_buffers.tidy(run), "a long, b long")
 
 
 def compared(found: DataFrame, roots: DataFrame, held: DataFrame, mixed_only: bool) -> DataFrame:
@@ -310,7 +310,7 @@ def bounded_pairs(found: DataFrame, roots: DataFrame, held: DataFrame, nearest:
             some = some[np.concatenate([[True], d[some][1:] != d[some][:-1]])[: len(some)]]
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (d, partner, least)], names=["a", "b", "n"])
 
-    pairs = spread.mapInArrow(compare, "a long, b long, n long")
+    pairs = spread.mapInArrow(_buffers.tidy(compare), "a long, b long, n long")
     if nearest:  # n: bits that differ
         best = pairs.groupBy("a", F.col("b").__lt__(F.col("a")).alias("lower")).agg(F.min_by("b", F.struct("n", "b")).alias("b"))
         return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

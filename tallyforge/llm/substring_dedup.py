@@ -121,7 +121,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 out.send(row[part], hashes[part], at[part])
                 yield out.batch()
 
-    return reduced(docs.mapInArrow(send, POSTINGS), lambda low, high, ids: low != high)
+    return reduced(docs.mapInArrow(_buffers.tidy(send), POSTINGS), lambda low, high, ids: low != high)
 
 
 def reduced(postings: DataFrame, keep) -> DataFrame:
@@ -167,7 +167,7 @@ def reduced(postings: DataFrame, keep) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(keys[head]), blobs], names=["id", "key", "at"])
 
     spread = postings.repartition(partitions(postings), "bucket").sortWithinPartitions("bucket")
-    return spread.mapInArrow(compare, FOUND)
+    return spread.mapInArrow(_buffers.tidy(compare), FOUND)
 
 
 def partitions(df: DataFrame) -> int:
@@ -218,7 +218,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
                 out.send(row[part], hashes[part], at[part])
                 yield out.batch()
 
-    return reduced(docs.mapInArrow(send, POSTINGS), lambda low, high, ids: ids > low)
+    return reduced(docs.mapInArrow(_buffers.tidy(send), POSTINGS), lambda low, high, ids: ids > low)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = "kept_sha256" if digests else "text"
     rows, cells = repeats(docs, id_col, text_col)
     joined = rows.join(cells.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "cells")
-    out = joined.mapInArrow(run, f"id long, n_words long, n_removed long, {name} string")
+    out = joined.mapInArrow(_buffers.tidy(run), f"id long, n_words long, n_removed long, {name} string")
     kind = docs.schema[id_col].dataType
     return out.select(F.nullif("id", F.lit(NO_ID)).cast(kind).alias(id_col), "n_words", "n_removed", name)
 
@@ -293,6 +293,6 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     texts.append(b" ".join([data[words.starts[w] : words.ends[w]] for w in np.flatnonzero(~gone[lo:hi]) + lo]).decode())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], names=["_tf_key", "_tf_text"])
 
-    new = changed.mapInArrow(run, "_tf_key long, _tf_text string")
+    new = changed.mapInArrow(_buffers.tidy(run), "_tf_key long, _tf_text string")
     joined = docs.join(new, key == F.col("_tf_key"), "left")
     return joined.select(*(F.coalesce("_tf_text", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm import _buffers
+
 #: The library's mark for a space. A text that holds it literally is encoded whole.
 MARK = "▁"
 #: Bytes of distinct pieces in one call of the library.
@@ -143,5 +145,5 @@ def count_tokens(docs: DataFrame, model_file: str | None = None, limit: int = 40
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    out = texts.mapInArrow(_buffers.tidy(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

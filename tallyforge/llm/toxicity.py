@@ -200,7 +200,7 @@ def learn_units(labelled: DataFrame) -> Units:
                     )
 
     total = labelled.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    counted = labelled.select("text", "toxic").mapInArrow(run, "kind int, unit long, bad long, good long").groupBy("kind", "unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = labelled.select("text", "toxic").mapInArrow(_buffers.tidy(run), "kind int, unit long, bad long, good long").groupBy("kind", "unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = ((F.col("bad") + 0.5) / (total.bad + 1.0)) / ((F.col("good") + 0.5) / (total.good + 1.0))
     best = counted.where(F.col("bad") >= UNIT_ROWS).withColumn("w", F.log(ratio)).where(F.col("w") >= float(np.log(UNIT_RATIO))).orderBy((F.col("w") * F.col("bad")).desc(), "kind", "unit").limit(UNITS)
     units = Units()
@@ -227,7 +227,7 @@ def with_features(rows: DataFrame, units: Units, keep: list[str], text_col: str
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES), dtype=np.int32)), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), lists], names=[*keep, X])
 
-    return rows.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(run, schema)
+    return rows.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(_buffers.tidy(run), schema)
 
 
 @dataclass

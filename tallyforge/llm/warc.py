@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import _scratch
+from tallyforge.llm import _buffers, _scratch
 
 #: Bytes of an archive, of a gap that is read rather than skipped, and of one read at most
 #: (a longer record is read by itself).
@@ -119,7 +119,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "pa
         if out:
             out.close()
 
-    index = with_types(pages, least_bytes, id_col, url_col, html_col).mapInArrow(run, schema)
+    index = with_types(pages, least_bytes, id_col, url_col, html_col).mapInArrow(_buffers.tidy(run), schema)
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
 
@@ -190,7 +190,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 names=["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
             )
 
-    return spread.mapInArrow(run, f"id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
+    return spread.mapInArrow(_buffers.tidy(run), f"id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary")
 
 
 def archive_folder(spark: SparkSession) -> str:
