@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dates
 from tallyforge.operators import audit, detect, facts, formats, products, resolve
-from tallyforge.plans.catalogue import query, sheets
+from tallyforge.plans import consolidate
+from tallyforge.plans.catalogue import GRID_SQL, grid, query, sheets
 from tallyforge.plans.sales import sales, table
 
 FIELDS = [("num_contrat", "string"), ("prime_totale", "double"), ("capital_assure", "double"), ("frais", "double")]
@@ -154,3 +155,41 @@ def rows_conserved(spark, sf_dir):
     cells, found = sheets(spark, sf_dir)
     extent = detect.extents(cells, found)
     return audit.conserved(detect.block(cells, extent), detect.dropped_rows(cells, found, extent), extent)
+
+
+#: Sheets with f % 4 = 0 have no total premium, those with f % 5 = 0 spell the net premium otherwise.
+def run_over_grid(spark, sf_dir) -> consolidate.Run:
+    f = F.col("file_id")
+    cells = grid(spark, sf_dir).where(~((f % 4 == 0) & (F.col("col") == 5) & (F.col("kind") == "n")))
+    cells = cells.withColumn("s", F.when((F.col("s") == "Prime nette") & (f % 5 == 0), "Prime nettes").otherwise(F.col("s")))
+    files = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("file_id"), F.concat(F.lit("in/"), F.col("c_custkey").cast("string"), F.lit(".xlsx")).alias("path"), F.lit("Ventes").alias("sheet"),
+        F.col("c_mktsegment").alias("bank"), F.lit("ade").alias("produit"), F.lit("2024-03").alias("period"), F.lit(None).cast("string").alias("source_format"),
+    )
+    named = [("n contrat", "num_contrat"), ("date d effet", "date_effet"), ("prime nette", "prime_nette"), ("frais", "frais"), ("prime totale", "prime_totale")]
+    aliases = spark.createDataFrame([("seed", None, a, c) for a, c in named], "tier string, scope string, alias string, canonical string")
+    fields = [("num_contrat", "identifier"), ("date_effet", "date"), ("prime_nette", "money"), ("frais", "money"), ("prime_totale", "money"), ("agence", "text")]
+    return consolidate.consolidate(cells, files, aliases, fields, {"prime_totale": RULES["prime_totale"]}, "2025-01-31T00:00:00")
+
+
+@query(
+    f"""WITH {GRID_SQL} SELECT 'in/' || f || '.xlsx' AS source_file, CAST(f % 3 + i + 3 AS INTEGER) AS source_row, 'C-' || o_orderkey AS num_contrat, CAST(o_orderdate AS DATE) AS date_effet,
+        CAST(o_totalprice AS DOUBLE) AS prime_nette, 5.0::DOUBLE AS frais, CAST(round((o_totalprice + 5) * 100) AS BIGINT) AS total_cents, CASE WHEN f % 4 = 0 THEN 'derived' ELSE 'reported' END AS prime_totale_source,
+        CAST(NULL AS VARCHAR) AS agence, c_mktsegment AS banque, '2024-03' AS mois_reception, 2024 AS annee FROM o JOIN customer ON c_custkey = f"""
+)
+def consolidated_facts(spark, sf_dir):
+    """The whole run: tables found in sheets, columns resolved, values typed, totals derived, constants joined."""
+    out = run_over_grid(spark, sf_dir).facts
+    cents = F.rint(F.col("prime_totale") * 100).cast("long").alias("total_cents")
+    return out.select("source_file", "source_row", "num_contrat", "date_effet", "prime_nette", "frais", cents, "prime_totale_source", "agence", "banque", "mois_reception", "annee")
+
+
+@query(
+    """SELECT f AS file_id, header, canonical, CASE WHEN header = 'Prime nettes' THEN 'fuzzy' ELSE 'seed' END AS method, true AS won
+       FROM (SELECT DISTINCT o_custkey AS f FROM orders),
+         LATERAL (SELECT unnest(['N° Contrat', 'Date d''effet', CASE WHEN f % 5 = 0 THEN 'Prime nettes' ELSE 'Prime nette' END, 'Frais', 'Prime totale']) AS header,
+                         unnest(['num_contrat', 'date_effet', 'prime_nette', 'frais', 'prime_totale']) AS canonical)
+       WHERE header <> 'Prime totale' OR f % 4 <> 0"""
+)
+def consolidated_mappings(spark, sf_dir):
+    return run_over_grid(spark, sf_dir).mappings.select("file_id", "header", "canonical", "method", "won")
