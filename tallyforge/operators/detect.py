@@ -1,4 +1,4 @@
-"""Tables in untyped sheets, by group-bys and windows over cells.
+"""Tables in untyped sheets, by group-bys over cells and windows over rows.
 
 cells: file_id, sheet, row, col (from 1), kind ('n' number, 's' text, 'b' boolean, 'd' date,
 't' time), s (text), n (number), d (date). A file here is one sheet of a workbook that has been
@@ -18,7 +18,7 @@ NUMBER_TEXT = r"^[\s(+\-]*[0-9][0-9\s.,]*\s*(%|€|\$|£|(?i)(da|dzd|dt|tnd|eur|
 DATE_TEXT = r"^[0-9]{1,4}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}$|^[0-9]{1,2}[\- /.]+[^0-9\s]{3,}[\- /.]+[0-9]{2,4}$"
 #: Weights of a header row's shares.
 WEIGHTS = {"vocab": 3.0, "label": 1.2, "unique": 0.8, "width": 1.0, "below_fill": 1.5, "below_data": 1.0, "wordy": -2.0}
-BELOW_ROWS, WORDY, ANCHOR, SPARSE = 7, 5, 0.9, 0.4
+BELOW_ROWS, WORDY, ANCHOR, SPARSE, LEAD_COLUMNS, SECOND_DATA = 7, 5, 0.9, 0.4, 3, 0.3
 
 
 @dataclass(frozen=True)
@@ -36,37 +36,44 @@ def filled(cells: DataFrame) -> DataFrame:
     return cells.withColumn("shown", shown).where((F.col("shown") != "") | F.col("kind").isin("b", "t")).withColumns({"norm": text.normalize_header(F.col("shown")), "data": F.coalesce(data, F.lit(False))})
 
 
-def header_scores(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """file_id, row, score of the rows that can be headers. cells: of filled(); vocabulary: norm (distinct)."""
+def header_candidates(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """file_id, row, score, end of the rows that can be headers; end: the last row of the header, two where
+    the row repeats labels or has gaps that the next one fills, and the next one isn't data.
+
+    A sheet's first rows (header_search_rows and a few below) become one array of row records, and all
+    that concerns them is worked out within it. cells: of filled(); vocabulary: norm."""
     words = vocabulary.select("norm").distinct().withColumn("known", F.lit(1))
-    top = cells.where(F.col("row") <= settings.header_search_rows).join(words, "norm", "left")
-    stats = top.groupBy("file_id", "row").agg(
-        F.count("*").alias("n"), F.count_if("data").alias("data"), F.count("known").alias("vocab"), F.count_distinct("norm").alias("unique"),
-        F.count_if(F.size(F.split("norm", " ")) > WORDY).alias("wordy"),
+    top = cells.where(F.col("row") <= settings.header_search_rows + BELOW_ROWS).join(words, "norm", "left")
+    records = top.groupBy("file_id", "row").agg(
+        F.count("*").alias("n"), F.count_if("data").alias("data"), F.count("known").alias("vocab"), F.size(F.collect_set("norm")).alias("unique"),
+        F.count_if(F.size(F.split("norm", " ")) > WORDY).alias("wordy"), F.collect_list("col").alias("cols"), F.collect_list(F.when(F.col("data"), F.col("col"))).alias("data_cols"),
     )
-    width = stats.groupBy("file_id").agg(F.max("n").alias("width"))
-    h = top.select("file_id", F.col("row").alias("head"), "col")
-    # A band of seven rows: the cell's row takes part in the seven header rows above it.
-    b = cells.where(F.col("row") <= settings.header_search_rows + BELOW_ROWS).select("file_id", "col", "row", "data", F.explode(F.sequence(F.greatest(F.lit(1), F.col("row") - BELOW_ROWS), F.col("row") - 1)).alias("head")).where("row > head")
-    below = h.join(b, ["file_id", "col", "head"]).groupBy("file_id", "head", "row").agg(F.count("*").alias("hits"), F.count_if("data").alias("hit_data"))
-    sums = below.groupBy("file_id", F.col("head").alias("row")).agg(F.avg("hits").alias("hits"), F.avg("hit_data").alias("hit_data"))
-    n = F.col("n")
-    share = {"vocab": F.col("vocab") / n, "label": 1 - F.col("data") / n, "unique": F.col("unique") / n, "width": n / F.col("width"), "below_fill": F.col("hits") / n, "below_data": F.col("hit_data") / n, "wordy": F.col("wordy") / n}
+    sheets = records.groupBy("file_id").agg(F.collect_list(F.struct(*records.columns[1:])).alias("rows"))
+    first = F.filter("rows", lambda r: r["row"] <= settings.header_search_rows)
+    heads = sheets.select("file_id", "rows", F.array_max(F.transform(first, lambda r: r["n"])).alias("width"), F.explode(F.filter(first, lambda r: r["n"] >= 2)).alias("h"))
+    h, shared = F.col("h"), lambda cols: F.size(F.array_intersect(cols, F.col("h.cols"))).cast("double")
+    near = F.filter("rows", lambda r: (r["row"] > F.col("h.row")) & (r["row"] <= F.col("h.row") + BELOW_ROWS))
+    hits = F.filter(F.transform(near, lambda r: F.struct(shared(r["cols"]).alias("all"), shared(r["data_cols"]).alias("data"))), lambda x: x["all"] > 0)
+    mean = lambda part: F.aggregate("hits", F.lit(0.0), lambda s, x: s + x[part]) / F.size("hits")
+    lower = F.get(F.filter("rows", lambda r: r["row"] == F.col("h.row") + 1), F.lit(0))
+    scored = heads.withColumns({"hits": hits, "lower": lower}).where(F.size("hits") > 0)
+    n = h["n"]
+    share = {"vocab": h["vocab"] / n, "label": 1 - h["data"] / n, "unique": h["unique"] / n, "width": n / F.col("width"), "below_fill": mean("all") / n, "below_data": mean("data") / n, "wordy": h["wordy"] / n}
     score = sum((F.lit(w) * share[k] for k, w in WEIGHTS.items()), F.lit(0.0))
-    return stats.where("n >= 2").join(width, "file_id").join(sums, ["file_id", "row"]).select("file_id", "row", score.alias("score"))
+    incomplete = (n > h["unique"]) | (F.size(F.array_except(F.col("lower.cols"), h["cols"])) > 0)
+    two = F.coalesce(incomplete & (F.col("lower.data") / F.col("lower.n") < SECOND_DATA), F.lit(False))
+    return scored.select("file_id", h["row"].alias("row"), score.alias("score"), (h["row"] + two.cast("int")).alias("end"))
+
+
+def header_scores(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """file_id, row, score of the rows that can be headers."""
+    return header_candidates(cells, vocabulary, settings).select("file_id", "row", "score")
 
 
 def headers(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """file_id, header_row, header_end, score: the best row, the first of equal ones; two rows where the
-    upper repeats labels or has gaps that the lower fills, and the lower isn't data."""
-    best = header_scores(cells, vocabulary, settings).groupBy("file_id").agg(F.min_by("row", F.struct(-F.col("score"), "row")).alias("header_row"), F.max("score").alias("score"))
-    near = cells.join(best, "file_id").where((F.col("row") - F.col("header_row")).isin(0, 1))
-    upper = near.where("row = header_row")
-    repeated = upper.groupBy("file_id").agg((F.count("*") - F.count_distinct("norm")).alias("repeated"))
-    lower = near.where("row = header_row + 1").join(upper.select("file_id", "col", F.lit(True).alias("above")), ["file_id", "col"], "left")
-    second = lower.groupBy("file_id").agg(F.count_if(F.col("above").isNull()).alias("gaps"), (F.count_if("data") / F.count("*")).alias("data_share"))
-    two = ((F.col("repeated") > 0) | (F.col("gaps") > 0)) & (F.col("data_share") < 0.3)
-    return best.join(repeated, "file_id").join(second, "file_id", "left").select("file_id", "header_row", (F.col("header_row") + F.coalesce(two, F.lit(False)).cast("int")).alias("header_end"), "score")
+    """file_id, header_row, header_end, score: the best row, the first of equal ones, with a second one where it needs that."""
+    best = header_candidates(cells, vocabulary, settings).groupBy("file_id").agg(F.min_by(F.struct("row", "end", "score"), F.struct(-F.col("score"), "row")).alias("b"))
+    return best.select("file_id", F.col("b.row").alias("header_row"), F.col("b.end").alias("header_end"), F.col("b.score").alias("score"))
 
 
 def header_labels(cells: DataFrame, found: DataFrame) -> DataFrame:
@@ -83,52 +90,98 @@ def is_terminator(norm: Column, settings: Settings) -> Column:
     return norm.rlike("^(" + "|".join(settings.terminators) + ")( |$)")
 
 
-def body_cells(cells: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The cells below the header with filled (of their row), before (the last row above that isn't blank)
-    and cut (the first row beyond the table). Everything is a window within a file: one shuffle."""
-    below = cells.select("file_id", "row", "col", "norm").join(found.select("file_id", "header_end"), "file_id").where("row > header_end")
-    file, row = W.partitionBy("file_id"), W.partitionBy("file_id", "row")
-    first_col = F.min("col").over(file)
-    lead = F.first("norm").over(row.orderBy("col").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    led = F.min("col").over(row) <= F.col("from") + 2
-    before = F.coalesce(F.max("row").over(file.orderBy("row").rangeBetween(W.unboundedPreceding, -1)), F.col("header_end"))
-    rows = below.withColumn("from", first_col).withColumns({"filled": F.count("*").over(row), "stop": is_terminator(lead, settings) & led, "before": before})
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """file_id, row, filled, first_col, lead (norm of the first filled cell), cols: one record for each
+    row that isn't blank. What follows reads these, which are far fewer than cells; row records given
+    here are returned as they are. cells: of filled()."""
+    if "lead" in cells.columns:
+        return cells
+    own = cells.groupBy("file_id", "row").agg(F.count("*").cast("int").alias("filled"), F.min(F.struct("col", "norm")).alias("first"), F.sort_array(F.collect_list("col")).alias("cols"))
+    return own.select("file_id", "row", "filled", F.col("first.col").alias("first_col"), F.col("first.norm").alias("lead"), "cols")
+
+
+def body_rows(cells: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows below the header with before (the last row above that isn't blank), ended (at or beyond
+    the end of the table) and stop_at (where the table ends, on the rows that end it): one window over
+    the rows of a sheet. A line ends it by its first filled cell, if that is one of the first three columns."""
+    rows = sheet_rows(cells).join(found.select("file_id", "header_end"), "file_id").where("row > header_end")
+    order = W.partitionBy("file_id").orderBy("row")
+    placed = rows.withColumn("before", F.coalesce(F.lag("row").over(order), F.col("header_end")))
+    stop = is_terminator(F.col("lead"), settings) & (F.col("first_col") <= LEAD_COLUMNS)
     gap = F.col("row") - F.col("before") > settings.blank_run
-    ends = F.least(F.min(F.when(F.col("stop"), F.col("row"))).over(file), F.min(F.when(gap, F.col("before") + 1)).over(file))
-    return rows.withColumn("cut", F.coalesce(ends, F.max("row").over(file) + 1)).select("file_id", "row", "col", "header_end", "filled", "before", "cut")
+    marked = placed.withColumn("stop_at", F.when(gap, F.col("before") + 1).when(stop, F.col("row")))
+    return marked.withColumn("ended", F.max(F.col("stop_at").isNotNull()).over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def complete(anchors: Column, least: Column) -> tuple[Column, Column]:
+    """Whether a row fills every column that nearly all rows fill, and whether it isn't far emptier than most."""
+    return F.size(F.array_except(anchors, "cols")) == 0, F.col("filled") >= least
 
 
 def extents(cells: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """file_id, data_start, data_end, cut (first row beyond): up to a terminator or a run of blank rows,
-    then without the last rows that lack a column which nearly all rows fill, or are far emptier than most."""
-    file = W.partitionBy("file_id")
-    kept = body_cells(cells, found, settings).where("row < cut")
-    sized = kept.withColumns({"body": F.max("row").over(file) - F.col("header_end"), "cells": F.count("*").over(file), "in_col": F.count("*").over(W.partitionBy("file_id", "col"))})
-    anchored = sized.withColumn("anchor", F.col("in_col") >= ANCHOR * F.col("body"))
-    wanted = F.size(F.collect_set(F.when(F.col("anchor"), F.col("col"))).over(file))  # a sheet's columns are few
-    judged = anchored.withColumns({"anchors": wanted, "held": F.count_if("anchor").over(W.partitionBy("file_id", "row"))})
-    good = (F.col("held") == F.col("anchors")) & (F.col("filled") >= F.greatest(F.lit(2.0), SPARSE * F.col("cells") / F.col("body")))
-    out = judged.groupBy("file_id").agg((F.first("header_end") + 1).alias("data_start"), F.max(F.when(good, F.col("row"))).alias("data_end"), F.first("cut").alias("cut"))
-    return out.where("data_end is not null")
+    """file_id, data_start, data_end, cut (first row beyond), anchors, least: up to a terminator or a run
+    of blank rows, then without the last rows that lack a column which nearly all rows fill (anchors), or
+    have fewer than `least` cells. cells: of filled(), or their row records."""
+    body = body_rows(cells, found, settings)
+    kept = body.where(~F.col("ended"))
+    ends = body.groupBy("file_id").agg(F.first("header_end").alias("header_end"), F.coalesce(F.min("stop_at"), F.max("row") + 1).alias("cut"), F.max(F.when(~F.col("ended"), F.col("row"))).alias("last"), F.sum(F.when(~F.col("ended"), F.col("filled"))).alias("cells"))
+    size = F.col("last") - F.col("header_end")
+    sized = ends.where("last is not null").select("file_id", "header_end", "cut", size.alias("size"), F.greatest(F.lit(2.0), SPARSE * F.col("cells") / size).alias("least"))
+    columns = kept.select("file_id", F.explode("cols").alias("col")).groupBy("file_id", "col").agg(F.count("*").alias("n"))
+    anchored = columns.join(sized, "file_id").where(F.col("n") >= ANCHOR * F.col("size")).groupBy("file_id").agg(F.sort_array(F.collect_list("col")).alias("anchors"))  # a sheet's columns are few
+    known = sized.join(anchored, "file_id", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<int>")))
+    whole, dense = complete(F.col("anchors"), F.col("least"))
+    last = kept.drop("header_end").join(known, "file_id").where(whole & dense).groupBy("file_id").agg(F.max("row").alias("data_end"))
+    return known.join(last, "file_id").select("file_id", (F.col("header_end") + 1).alias("data_start"), "data_end", "cut", "anchors", "least")
 
 
 def dropped_rows(cells: DataFrame, found: DataFrame, extent: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """file_id, row, reason of the rows outside the table, and blank ones within."""
-    lines = cells.select("file_id", "row").distinct()
-    placed = lines.join(found, "file_id").join(extent, "file_id", "left")
-    reason = F.when(F.col("row") < F.col("header_row"), "above the header row").when(F.col("row") >= F.col("cut"), "beyond the end of the table").when(F.col("row") > F.col("data_end"), "incomplete record")
+    """file_id, row, reason of the rows outside the table, and blank ones within. A sheet with a header
+    and no record beneath has all its rows below reported."""
+    rows = sheet_rows(cells)
+    placed = rows.join(found.select("file_id", "header_row", "header_end"), "file_id").join(extent.select("file_id", "data_end", "cut", "anchors"), "file_id", "left")
+    lacks = F.size(F.array_except("anchors", "cols")) > 0
+    reason = (
+        F.when(F.col("row") < F.col("header_row"), "above the header row")
+        .when(F.col("row") >= F.col("cut"), "beyond the end of the table")
+        .when((F.col("row") > F.col("data_end")) & lacks, "missing identifying columns")
+        .when(F.col("row") > F.col("data_end"), "too sparse to be a record")
+        .when(F.col("cut").isNull() & (F.col("row") > F.col("header_end")), "no record beneath the header")
+    )
     outside = placed.select("file_id", "row", reason.alias("reason")).where("reason is not null")
-    gaps = body_cells(cells, found, settings).join(extent.select("file_id", "data_end"), "file_id").where("row <= data_end and row - before > 1").select("file_id", "before", "row").distinct()
+    gaps = body_rows(rows, found, settings).join(extent.select("file_id", "data_end"), "file_id").where("row <= data_end and row - before > 1")
     blank = gaps.select("file_id", F.explode(F.sequence(F.col("before") + 1, F.col("row") - 1)).alias("row"), F.lit("blank row inside table").alias("reason"))
     return outside.unionByName(blank)
 
 
+def filled_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame) -> DataFrame:
+    """labels and every column that the block fills, with fill: its share of the block's rows."""
+    rows = sheet_rows(cells).join(extent.select("file_id", "data_start", "data_end"), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end")))
+    fill = rows.select("file_id", F.explode("cols").alias("col"), (F.col("data_end") - F.col("data_start") + 1).alias("rows")).groupBy("file_id", "col").agg((F.count("*") / F.first("rows")).alias("fill"))
+    own = labels.join(extent.select("file_id"), "file_id", "left_semi")  # a sheet without a block has no columns to judge
+    return fill.join(own, ["file_id", "col"], "full")
+
+
 def selected_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """labels of the columns that stay, with fill (share of the block's rows): not empty, and filled enough if they have no name."""
-    rows = F.col("data_end") - F.col("data_start") + 1
-    fill = cells.select("file_id", "row", "col").join(extent, "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).groupBy("file_id", "col").agg((F.count("*") / F.first(rows)).alias("fill"))
-    named = fill.join(labels, ["file_id", "col"], "left")
-    return named.where((F.coalesce("normalized", F.lit("")) != "") | (F.col("fill") >= settings.min_column_fill))
+    named = F.coalesce("normalized", F.lit("")) != ""
+    return filled_columns(cells, labels, extent).where(F.col("fill").isNotNull() & (named | (F.col("fill") >= settings.min_column_fill)))
+
+
+def dropped_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """file_id, col, letter, header, reason of the columns that selected_columns() leaves out."""
+    every = filled_columns(cells, labels, extent)
+    named = F.coalesce("normalized", F.lit("")) != ""
+    reason = F.when(F.col("fill").isNull(), "empty in data block").when(~named & (F.col("fill") < settings.min_column_fill), F.format_string("no header and only %d%% filled", F.rint(F.col("fill") * 100).cast("int")))
+    return every.select("file_id", "col", text.column_letter(F.col("col")).alias("letter"), F.coalesce("header", F.lit("")).alias("header"), reason.alias("reason")).where("reason is not null")
+
+
+def notes(files: DataFrame, cells: DataFrame, found: DataFrame, extent: DataFrame) -> DataFrame:
+    """file_id, note of the sheets that give no table, and why. files: file_id of all sheets that were read."""
+    seen = lambda t, name: t.select("file_id").distinct().withColumn(name, F.lit(True))
+    joined = files.select("file_id").distinct().join(seen(cells, "any"), "file_id", "left").join(seen(found, "head"), "file_id", "left").join(seen(extent, "body"), "file_id", "left")
+    note = F.when(F.col("any").isNull(), "sheet is empty").when(F.col("head").isNull(), "no plausible header row found").when(F.col("body").isNull(), "header found but no data rows beneath it")
+    return joined.select("file_id", note.alias("note")).where("note is not null")
 
 
 def block(cells: DataFrame, extent: DataFrame) -> DataFrame:

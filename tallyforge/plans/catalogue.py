@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates, numbers, text
 from tallyforge.operators import checks, detect, facts, metrics, paths, resolve
 from tallyforge.plans.sales import REQUIRED, SQL, sales, table
+from tallyforge.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -398,9 +399,16 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(filled cells, headers), kept: each of the steps behind reads both several times."""
-    cells = detect.filled(grid(spark, sf_dir)).persist()
-    return cells, detect.headers(cells, vocabulary(spark)).persist()
+    """(filled cells, headers), written: each of the steps behind reads both several times."""
+    cells = tables.written(detect.filled(grid(spark, sf_dir)), "cells")
+    return cells, tables.written(detect.headers(cells, vocabulary(spark)), "headers")
+
+
+def sheet_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(filled cells, row records, headers, extents), all written."""
+    cells, found = sheets(spark, sf_dir)
+    rows = tables.written(detect.sheet_rows(cells), "rows")
+    return cells, rows, found, tables.written(detect.extents(rows, found), "extents")
 
 
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 3 AS INTEGER) AS header_row, CAST(f % 3 + 3 AS INTEGER) AS header_end FROM o GROUP BY f")
@@ -410,7 +418,7 @@ def header_row_score(spark, sf_dir):
 
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 4 AS INTEGER) AS data_start, CAST(f % 3 + 3 + max(k) AS INTEGER) AS data_end FROM o GROUP BY f")
 def table_extent(spark, sf_dir):
-    return detect.extents(*sheets(spark, sf_dir)).select("file_id", "data_start", "data_end")
+    return sheet_tables(spark, sf_dir)[3].select("file_id", "data_start", "data_end")
 
 
 @query(
@@ -420,8 +428,8 @@ def table_extent(spark, sf_dir):
         UNION ALL SELECT f, CAST(f % 3 + k + 7 AS INTEGER), 'beyond the end of the table' FROM h"""
 )
 def dropped_rows(spark, sf_dir):
-    cells, found = sheets(spark, sf_dir)
-    return detect.dropped_rows(cells, found, detect.extents(cells, found).persist())
+    _, rows, found, extent = sheet_tables(spark, sf_dir)
+    return detect.dropped_rows(rows, found, extent)
 
 
 @query(
@@ -429,8 +437,8 @@ def dropped_rows(spark, sf_dir):
        FROM (SELECT DISTINCT o_custkey FROM orders)"""
 )
 def column_selection(spark, sf_dir):
-    cells, found = sheets(spark, sf_dir)
-    kept = detect.selected_columns(cells, detect.header_labels(cells, found), detect.extents(cells, found))
+    cells, rows, found, extent = sheet_tables(spark, sf_dir)
+    kept = detect.selected_columns(rows, detect.header_labels(cells, found), extent)
     return kept.select("file_id", "col", "normalized", "fill")
 
 
@@ -439,8 +447,7 @@ def column_selection(spark, sf_dir):
        FROM orders GROUP BY ALL"""
 )
 def column_profile(spark, sf_dir):
-    cells, found = sheets(spark, sf_dir)
-    extent = detect.extents(cells, found).persist()
+    cells, _, _, extent = sheet_tables(spark, sf_dir)
     rows = extent.select("file_id", (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("rows"))
     data = detect.block(cells, extent).where("col = 3").withColumns({"shown": F.col("n").cast("string"), "number": F.col("n"), "date": F.col("d")})
     return resolve.profiles(data, rows).select("file_id", "total", "non_blank", "numeric_ratio", "unique_ratio", "min_value", "max_value")

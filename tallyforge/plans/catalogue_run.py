@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates
 from tallyforge.operators import audit, detect, facts, formats, products, resolve
 from tallyforge.plans import consolidate
-from tallyforge.plans.catalogue import GRID_SQL, grid, query, sheets
+from tallyforge.plans.catalogue import GRID_SQL, grid, query, sheet_tables
 from tallyforge.plans.sales import sales, table
 
 FIELDS = [("num_contrat", "string"), ("prime_totale", "double"), ("capital_assure", "double"), ("frais", "double")]
@@ -149,12 +149,11 @@ def date_likeness(spark, sf_dir):
     return cells.select("doc_id", dates.like_date(F.col("kind"), F.col("s")).alias("like_date"))
 
 
-@query()
+@query(f"WITH {GRID_SQL} SELECT f AS file_id, count(*) AS kept, CAST(0 AS BIGINT) AS dropped, count(*) AS due FROM o GROUP BY f")
 def rows_conserved(spark, sf_dir):
-    """Of every sheet: rows kept, dropped within the table, and what they must add up to (tested without SQL)."""
-    cells, found = sheets(spark, sf_dir)
-    extent = detect.extents(cells, found)
-    return audit.conserved(detect.block(cells, extent), detect.dropped_rows(cells, found, extent), extent)
+    """Of every sheet: rows kept, dropped within the table, and what they must add up to."""
+    cells, rows, found, extent = sheet_tables(spark, sf_dir)
+    return audit.conserved(detect.block(cells, extent), detect.dropped_rows(rows, found, extent), extent)
 
 
 #: Sheets with f % 4 = 0 have no total premium, those with f % 5 = 0 spell the net premium otherwise.

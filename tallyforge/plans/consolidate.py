@@ -1,12 +1,12 @@
 """The composed run: cells of sheets become a product's facts, with what was mapped and what was left out."""
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import checks, coerce, detect, facts, products, resolve
+from tallyforge.sources.tables import written
 
 #: Which typed value a field's type takes, and its Spark type.
 VALUES = {"identifier": ("text_value", "string"), "text": ("text_value", "string"), "category": ("text_value", "string"), "period": ("text_value", "string"), "money": ("number_value", "double"), "percent": ("number_value", "double"), "integer": ("number_value", "long"), "date": ("date_value", "date")}
@@ -25,14 +25,6 @@ class Run:
         return checks.required(self.facts, required)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: several steps read it, and each would carry its whole plan."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
-    return df.checkpoint()
-
-
 def mapped(labels: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """labels (file_id, col, header, normalized, leaf) with canonical, method, confidence, suggestions and
     won: by equal aliases, else by near ones; of the columns that claim a field one wins.
@@ -68,11 +60,12 @@ def consolidate(cells: DataFrame, files: DataFrame, aliases: DataFrame, fields:
     rules: how a field derives from others. A sheet without a table gives no facts and all its rows
     from the header on as dropped ones; an empty table of cells gives empty results.
     """
-    held = cut(detect.filled(cells))
-    found = cut(detect.headers(held, aliases.select(F.col("alias").alias("norm")), settings))
-    extent = cut(detect.extents(held, found, settings))
-    columns = cut(detect.selected_columns(held, detect.header_labels(held, found), extent, settings))
-    mappings = cut(mapped(columns, files, aliases))
+    held = written(detect.filled(cells), "cells")
+    lines = written(detect.sheet_rows(held), "rows")
+    found = written(detect.headers(held, aliases.select(F.col("alias").alias("norm")), settings), "headers")
+    extent = written(detect.extents(lines, found, settings), "extents")
+    columns = detect.selected_columns(lines, detect.header_labels(held, found), extent, settings)
+    mappings = written(mapped(columns, files, aliases), "mappings")
     kinds = F.create_map(*(F.lit(x) for f in fields for x in f))
     chosen = mappings.where("won").select("file_id", "col", F.col("canonical").alias("field"), F.element_at(kinds, F.col("canonical")).alias("type")).where("type is not null")
     values = detect.block(held, extent).join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d")
@@ -81,4 +74,4 @@ def consolidate(cells: DataFrame, files: DataFrame, aliases: DataFrame, fields:
         rows = facts.fill(rows, name, ways)
     own = rows.join(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet")), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
     full = products.with_provenance(products.with_constants(own, files), [f for f, _ in fields], ingested_at)
-    return Run(full, mappings, detect.dropped_rows(held, found, extent, settings))
+    return Run(full, mappings, detect.dropped_rows(lines, found, extent, settings))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates, numbers, text
 from tallyforge.operators import checks, detect, facts, paths, resolve
 from tallyforge.plans.warehouse import Warehouse
-from tallyforge.sources import workbooks
+from tallyforge.sources import tables, workbooks
 
 
 def one(spark, value, f, kind="string"):
@@ -183,3 +183,57 @@ def test_rows_conserved_and_gates(spark):
     assert audit.gate(flags, fine) == "errors" and audit.gate(flags, fine, allow_errors=True) == "review"
     assert audit.gate(flags.where("severity = 'info'"), fine, allow_review=True) is None
     assert audit.only(fine.withColumn("path", F.lit("a")), spark.createDataFrame([("b",)], "path string")).count() == 0
+
+
+def sheet(spark, lines, file_id="f"):
+    """Filled cells of a sheet given as lists of values; None is blank."""
+    cells = []
+    for r, line in enumerate(lines, 1):
+        for c, v in enumerate(line, 1):
+            if v is not None:
+                number = isinstance(v, int | float)
+                cells.append((file_id, r, c, "n" if number else "s", None if number else v, float(v) if number else None, None))
+    return detect.filled(spark.createDataFrame(cells, "file_id string, row int, col int, kind string, s string, n double, d date"))
+
+
+def found_in(spark, lines, words=("contrat", "prime", "nette", "totale", "frais")):
+    cells = sheet(spark, lines)
+    found = tables.written(detect.headers(cells, spark.createDataFrame([(w,) for w in words], "norm string")), "found")
+    return cells, found, tables.written(detect.extents(cells, found), "extent")
+
+
+def test_two_header_rows_and_trimmed_rows(spark):
+    lines = [["Contrat", "Prime", "Prime", "Vide", None], [None, "Nette", "Totale", None, None], *[[f"C{k}", 10 + k, 20 + k, None, None] for k in range(30)]]
+    lines[10][4] = "once"  # a column without a name, filled in one of 30 rows
+    lines += [[None, 5, 6, None, None], ["C99", None, None, None, None]]
+    cells, found, extent = found_in(spark, lines, ("contrat", "prime", "vide"))
+    assert (found.first().header_row, found.first().header_end) == (1, 2)
+    labels = detect.header_labels(cells, found)
+    assert {r.col: (r.normalized, r.leaf) for r in labels.collect()} == {1: ("contrat", "contrat"), 2: ("prime nette", "nette"), 3: ("prime totale", "totale"), 4: ("vide", "vide")}
+    e = extent.first()
+    assert (e.data_start, e.data_end, e.anchors) == (3, 32, [1, 2, 3])
+    dropped = {r.row: r.reason for r in detect.dropped_rows(cells, found, extent).collect()}
+    assert dropped == {33: "missing identifying columns", 34: "missing identifying columns"}
+    assert sorted(r.col for r in detect.selected_columns(cells, labels, extent).collect()) == [1, 2, 3]
+    gone = {r.col: (r.letter, r.header, r.reason) for r in detect.dropped_columns(cells, labels, extent).collect()}
+    assert gone == {4: ("D", "Vide", "empty in data block"), 5: ("E", "", "no header and only 3% filled")}
+
+
+def test_ends_of_tables(spark):
+    body = [["Contrat", "Prime", "Frais", "Nette"], *[[f"C{k}", 1, 2, 3] for k in range(6)]]
+    ends = lambda more: found_in(spark, body + more)[2].first().data_end
+    assert ends([["Total", 6, 12, 18]]) == ends([[None, None, "TOTAL", 9]]) == ends([["total general", 1, 1, 1]]) == 7
+    assert ends([["C9", "total", 2, 3]]) == 8 and ends([["totalement", 1, 2, 3]]) == 8  # not the first filled cell, not a whole word
+    assert found_in(spark, [[None, *r] for r in body] + [[None, None, None, "Total", 9]])[2].first().cut == 9  # in the fourth column: no end by itself
+    assert ends([[], ["C9", 1, 2, 3]]) == 9 and ends([[], [], ["C9", 1, 2, 3]]) == 7
+    cells, found, extent = found_in(spark, body + [[], ["C9", 1, 2, 3], ["x", None, None, None]])
+    assert {r.row: r.reason for r in detect.dropped_rows(cells, found, extent).collect()} == {8: "blank row inside table", 10: "too sparse to be a record"}  # with the blank row no column fills nine tenths
+
+
+def test_sheets_without_tables(spark):
+    cells, found, extent = found_in(spark, [["Contrat", "Prime"], ["Total", 3]])
+    assert extent.count() == 0 and {r.row: r.reason for r in detect.dropped_rows(cells, found, extent).collect()} == {2: "no record beneath the header"}
+    lone = sheet(spark, [["alone"]], "lone")
+    files = spark.createDataFrame([("f",), ("lone",), ("none",)], "file_id string")
+    told = detect.notes(files, cells.union(lone), found, extent)
+    assert {r.file_id: r.note for r in told.collect()} == {"f": "header found but no data rows beneath it", "lone": "no plausible header row found", "none": "sheet is empty"}
