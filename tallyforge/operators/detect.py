@@ -176,6 +176,14 @@ def dropped_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame, sett
     return every.select("file_id", "col", text.column_letter(F.col("col")).alias("letter"), F.coalesce("header", F.lit("")).alias("header"), reason.alias("reason")).where("reason is not null")
 
 
+def uncached_columns(cells: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """file_id, col, label of the columns with formulas below the header that have no value; the column's
+    letter where it has no header. cells: as the reader gives them, since these cells show nothing."""
+    below = cells.where(F.col("is_formula") & ~F.col("cached")).select("file_id", "row", "col").join(found.select("file_id", "header_end"), "file_id").where("row > header_end")
+    named = below.select("file_id", "col").distinct().join(labels.select("file_id", "col", "header"), ["file_id", "col"], "left")
+    return named.select("file_id", "col", F.coalesce(F.nullif("header", F.lit("")), text.column_letter(F.col("col"))).alias("label"))
+
+
 def notes(files: DataFrame, cells: DataFrame, found: DataFrame, extent: DataFrame) -> DataFrame:
     """file_id, note of the sheets that give no table, and why. files: file_id of all sheets that were read."""
     seen = lambda t, name: t.select("file_id").distinct().withColumn(name, F.lit(True))

@@ -58,13 +58,24 @@ def file_status(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(known, "path", "left").select("path", "content_hash", status.alias("status"))
 
 
+def ranged(frame: DataFrame, *order: Column) -> DataFrame:
+    """frame dealt by ranges of the order, with _task: the number of the range."""
+    return frame.repartitionByRange(*order).withColumn("_task", F.spark_partition_id())
+
+
+def numbered(ranges: DataFrame, limit: int, *order: Column, by: str | None = None) -> DataFrame:
+    """ranges of ranged() with part: rows in order, `limit` to a part, each value of `by` for itself.
+    Ranges are numbered by their own counts, so no task holds all rows of a group."""
+    group = [by] if by else []
+    sizes = ranges.groupBy(*group, "_task").agg(F.count("*").alias("_n"))
+    before = sizes.select(*group, "_task", (F.sum("_n").over(W.partitionBy(*group).orderBy("_task")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy(*group, "_task").orderBy(*order)) + F.col("_before")
+    return ranges.join(F.broadcast(before), [*group, "_task"]).withColumn("part", (F.floor((place - 1) / limit) + 1).cast("int")).drop("_task", "_before")
+
+
 def part_numbers(frame: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """frame with part: rows in order, `limit` to a part. Ranges are numbered by their own counts, so no task holds all rows."""
-    sorted_ = frame.repartitionByRange(*order).withColumn("_task", F.spark_partition_id())
-    sizes = sorted_.groupBy("_task").agg(F.count("*").alias("_n"))
-    before = sizes.select("_task", (F.sum("_n").over(W.orderBy("_task")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_task").orderBy(*order)) + F.col("_before")
-    return sorted_.join(F.broadcast(before), "_task").withColumn("part", (F.floor((place - 1) / limit) + 1).cast("int")).drop("_task", "_before")
+    """frame with part: rows in order, `limit` to a part."""
+    return numbered(ranged(frame, *order), limit, *order)
 
 
 def sparse_union(*frames: DataFrame) -> DataFrame:
