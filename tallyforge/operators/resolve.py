@@ -1,58 +1,63 @@
 """Headers to fields: dictionaries first, then similarity, then conflicts and checks on content."""
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ACCEPT, SUGGEST, TOP_ALIASES, TOP_FIELDS = 92.0, 70.0, 10, 3
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """0 to 100: shared matching runs of two normalised texts, also of their sorted words, less the
-    more their lengths differ."""
-    from difflib import SequenceMatcher
+from tallyforge.functions import similarity
 
-    def one(x: str, y: str) -> float:
-        if not x or not y:
-            return 0.0
-        plain = SequenceMatcher(None, x, y, autojunk=False).ratio()
-        words = SequenceMatcher(None, " ".join(sorted(x.split())), " ".join(sorted(y.split())), autojunk=False).ratio()
-        return 100.0 * max(plain, 0.95 * words)
-
-    return pd.Series([one(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+ACCEPT, SUGGEST, TOP_ALIASES, TOP_FIELDS = 92.0, 70.0, 10, 3
 
 
 def exact(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     """headers with canonical, method and confidence where an alias is equal.
 
     headers: file_id, col, normalized, leaf, produit, bank. aliases: tier, scope, alias, canonical;
-    tiers in order: product, bank, global, seed; scope: the product or bank, else null. The whole
-    header is looked up in every tier before its last part is. A header without spaces also meets
-    aliases without theirs, last.
+    tiers in order: product and bank (scope names the one or the other), global, seed. The whole header
+    is looked up in every tier before its last part is. What no tier has may be an alias of the seed
+    but for spaces.
     """
     ranks = {"product": 0, "bank": 1, "global": 2, "seed": 3}
     rank = F.element_at(F.create_map(*(F.lit(x) for p in ranks.items() for x in p)), F.col("tier"))
     table = aliases.select("scope", "alias", "canonical", "tier", rank.alias("rank"))
-    loose = table.where("tier = 'seed'").select("scope", F.replace("alias", F.lit(" "), F.lit("")).alias("alias"), "canonical", F.lit("seed_loose").alias("tier"), F.lit(4).alias("rank"))
-    table = table.unionByName(loose)
-    keys = headers.select("file_id", "col", "produit", "bank", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("normalized").alias("alias")), F.struct(F.lit(1).alias("part"), F.col("leaf").alias("alias")))).alias("k")).select("file_id", "col", "produit", "bank", "k.*")
-    squeezed = keys.select("file_id", "col", "produit", "bank", "part", F.replace("alias", F.lit(" "), F.lit("")).alias("alias"))
-    hits = keys.union(squeezed).where("alias <> ''").distinct().join(table, "alias").where(F.col("scope").isNull() | (F.col("scope") == F.col("produit")) | (F.col("scope") == F.col("bank")))
+    squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    loose = table.where("tier = 'seed'").select("scope", squeezed(F.col("alias")).alias("alias"), "canonical", F.lit("seed_loose").alias("tier"), F.lit(4).alias("rank"))
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.col("normalized").alias("alias")), F.struct(F.lit(1).alias("part"), F.col("leaf").alias("alias")))
+    keys = headers.select("file_id", "col", "produit", "bank", F.explode(parts).alias("k")).select("file_id", "col", "produit", "bank", "k.*").where("alias <> ''")
+    held = F.when(F.col("tier") == "product", F.col("scope") == F.col("produit")).when(F.col("tier") == "bank", F.col("scope") == F.col("bank")).otherwise(F.col("scope").isNull())
+    hits = keys.join(table, "alias").where(held).unionByName(keys.withColumn("alias", squeezed(F.col("alias"))).join(loose, "alias").where(held))
     best = hits.groupBy("file_id", "col").agg(F.min_by(F.struct("canonical", "tier"), F.struct("part", "rank", "canonical")).alias("m"))
     return headers.join(best, ["file_id", "col"], "left").select(*headers.columns, F.col("m.canonical").alias("canonical"), F.col("m.tier").alias("method"), F.when(F.col("m").isNotNull(), 1.0).alias("confidence"))
 
 
-def fuzzy(unresolved: DataFrame, aliases: DataFrame) -> DataFrame:
-    """file_id, col, canonical, score, suggestions of headers that no alias equals.
+def near_pairs(names: DataFrame, aliases: DataFrame, floor: float = SUGGEST) -> DataFrame:
+    """normalized, alias, score of all pairs of distinct texts that score `floor` or more.
 
-    Distinct headers are scored against every alias: the table of aliases is small and is broadcast.
-    """
-    names = unresolved.where("normalized <> ''").select("normalized").distinct()
-    pairs = names.crossJoin(F.broadcast(aliases.select("alias", "canonical").distinct()))
-    scored = pairs.withColumn("score", similarity("normalized", "alias")).where(F.col("score") >= SUGGEST)
+    names: normalized; aliases: alias. Pairs are met by the first elements of both (a pair once, by the
+    first that it shares), and those whose lengths or common characters can't reach the floor go before
+    any is scored, so what is scored is what scoring all pairs would keep and little more."""
+    share = floor / 100
+    chars = similarity.characters
+
+    def prepared(t: DataFrame, name: str) -> DataFrame:
+        words = similarity.sorted_words(F.col(name))
+        own = t.select(name).where(f"{name} <> ''").distinct().select(name, chars(F.col(name)).alias("chars"), chars(words).alias("words"))
+        return own.withColumn("parts", similarity.elements(F.col("chars"))).withColumn("first", similarity.prefix(F.col("parts"), share))
+
+    left = prepared(names, "normalized").select("normalized", F.struct("chars", "words", "parts", "first").alias("a"), F.explode("first").alias("part"))
+    known = prepared(aliases, "alias").withColumns({"mask": similarity.masks(F.col("chars")), "words_mask": similarity.masks(F.col("words"))})
+    right = known.select("alias", F.struct("mask", "words_mask", "parts", "first").alias("b"), F.explode("first").alias("part"))
+    met = left.join(right, "part").where(F.get(F.array_intersect("a.first", "b.first"), F.lit(0)) == F.col("part"))
+    least = F.ceil(share * (F.size("a.parts") + F.size("b.parts")) / 2 - 1e-9)
+    near = met.where((F.least(F.size("a.parts"), F.size("b.parts")) >= least) & (F.size(F.array_intersect("a.parts", "b.parts")) >= least))
+    score = similarity.score(F.col("b.mask"), F.col("b.words_mask"), F.size("b.parts"), F.col("a.chars"), F.col("a.words"))
+    return near.select("normalized", "alias", score.alias("score")).where(F.col("score") >= floor)
+
+
+def fuzzy(unresolved: DataFrame, aliases: DataFrame) -> DataFrame:
+    """file_id, col, canonical, score, suggestions of headers that no alias equals: of the nearest
+    aliases the best of each field, and that of the best field where it is near enough."""
+    scored = near_pairs(unresolved, aliases).join(aliases.select("alias", "canonical").distinct(), "alias")
     near = scored.withColumn("k", F.row_number().over(W.partitionBy("normalized").orderBy(F.desc("score"), "alias"))).where(F.col("k") <= TOP_ALIASES)
     fields = near.groupBy("normalized", "canonical").agg(F.max("score").alias("score"))
     top = fields.withColumn("k", F.row_number().over(W.partitionBy("normalized").orderBy(F.desc("score"), "canonical"))).where(F.col("k") <= TOP_FIELDS)

@@ -5,43 +5,91 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, coerce, detect, facts, products, resolve
+from tallyforge.functions import dates, numbers
+from tallyforge.operators import audit, checks, coerce, detect, facts, formats, products, resolve
 from tallyforge.sources.tables import written
 
 #: Which typed value a field's type takes, and its Spark type.
 VALUES = {"identifier": ("text_value", "string"), "text": ("text_value", "string"), "category": ("text_value", "string"), "period": ("text_value", "string"), "money": ("number_value", "double"), "percent": ("number_value", "double"), "integer": ("number_value", "long"), "date": ("date_value", "date")}
 
 
+#: What the checks read; a product without one of these has nulls for it.
+CHECKED = {"banque": "string", "mois_reception": "string", "num_contrat": "string", "date_effet": "date", "prime_nette": "double", "frais": "double", "prime_totale": "double", "prime_totale_source": "string", "source_format": "string"}
+
+
 @dataclass
 class Run:
-    """facts, mappings (a row for each column of a table) and dropped (rows, with reasons)."""
+    """facts, mappings (a row for each column of a table), dropped (rows, with reasons), dropped_columns
+    (likewise) and notes (sheets without a table)."""
 
     facts: DataFrame
     mappings: DataFrame
     dropped: DataFrame
+    dropped_columns: DataFrame
+    notes: DataFrame
 
-    def flags(self, required: list[str]) -> DataFrame:
-        """Required fields that are missing from rows of the facts."""
-        return checks.required(self.facts, required)
+    def flags(self, required: list[str], by_format: dict[str, list[str]] | None = None) -> DataFrame:
+        """The flags of all checks over the facts."""
+        lacking = {c: F.lit(None).cast(t) for c, t in CHECKED.items() if c not in self.facts.columns}
+        return checks.all_checks(self.facts.withColumns(lacking), [f for f in required if f in self.facts.columns], by_format)
 
+    def gate(self, required: list[str], allow_errors: bool = False, allow_review: bool = False) -> str | None:
+        """Why the run must not be committed, or None."""
+        return audit.gate(self.flags(required), self.mappings, allow_errors, allow_review)
 
-def mapped(labels: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """labels (file_id, col, header, normalized, leaf) with canonical, method, confidence, suggestions and
-    won: by equal aliases, else by near ones; of the columns that claim a field one wins.
 
-    files: file_id, produit, bank. A file without an entry meets the aliases that hold for all."""
-    heads = labels.select("file_id", "col", "header", "normalized", "leaf").join(files.select("file_id", "produit", "bank"), "file_id", "left")
-    known = resolve.exact(heads, aliases)
-    general = aliases.where(F.col("scope").isNull())
+@dataclass
+class Words:
+    """How headers become fields. aliases: tier, scope, alias, canonical. dictionaries: source_format,
+    alias, canonical; a file with a format has its dictionary alone. overrides: normalized, field.
+    expected: canonical, mostly, min_value_due, max_value_due, min_unique, max_unique."""
+
+    aliases: DataFrame
+    dictionaries: DataFrame | None = None
+    overrides: DataFrame | None = None
+    expected: DataFrame | None = None
+
+
+def mapped(labels: DataFrame, files: DataFrame, words: Words) -> DataFrame:
+    """labels (file_id, col, header, normalized, leaf) with canonical, method, confidence, suggestions
+    (names) and won: by their format's dictionary or by equal aliases, else by near ones, then as
+    somebody chose; of the columns that claim a field one wins.
+
+    files: file_id, produit, bank, source_format. A file without an entry meets the aliases that hold for all."""
+    heads = labels.select("file_id", "col", "header", "normalized", "leaf").join(files.select("file_id", "produit", "bank", "source_format"), "file_id", "left")
+    known = resolve.exact(heads.where("source_format is null") if words.dictionaries is not None else heads, words.aliases)
+    general = words.aliases.where(F.col("scope").isNull())
     near = resolve.fuzzy(known.where("canonical is null").select("file_id", "col", "normalized"), general).select("file_id", "col", F.col("canonical").alias("_near"), "score", "suggestions")
     both = known.join(near, ["file_id", "col"], "left")
     found = both.select(
         "file_id", "col", "header", "normalized", F.coalesce("canonical", "_near").alias("canonical"),
-        F.coalesce("method", F.when(F.col("_near").isNotNull(), "fuzzy")).alias("method"), F.coalesce("confidence", F.when(F.col("_near").isNotNull(), F.col("score") / 100)).alias("confidence"), "suggestions",
+        F.coalesce("method", F.when(F.col("_near").isNotNull(), "fuzzy")).alias("method"), F.coalesce("confidence", F.when(F.col("_near").isNotNull(), F.col("score") / 100)).alias("confidence"),
+        F.transform("suggestions", lambda x: x["name"]).alias("suggestions"),
     )
+    if words.dictionaries is not None:
+        own = formats.dictionary(heads.where("source_format is not null"), words.dictionaries)
+        sure = F.when(F.col("canonical").isNotNull(), 1.0).alias("confidence")
+        found = found.unionByName(own.select("file_id", "col", "header", "normalized", "canonical", "method", sure, F.lit(None).cast("array<string>").alias("suggestions")))
+    if words.overrides is not None:
+        found = resolve.override(found, words.overrides)
     return resolve.settle(found)
 
 
+def judged(mappings: DataFrame, block: DataFrame, extent: DataFrame, expected: DataFrame | None) -> DataFrame:
+    """mappings with warnings: what a column holds against what its field expects, and fields lost to
+    another column (which then has none). block: the data rows' cells."""
+    if expected is None:
+        held = mappings.withColumn("warnings", F.lit(None).cast("array<string>"))
+    else:
+        number = F.coalesce("n", numbers.to_number(F.col("s"), F.lit(",")))
+        cells = block.select("file_id", "col", "shown", number.alias("number"), F.coalesce("d", dates.to_date(F.col("s"))).alias("date"))
+        profile = resolve.profiles(cells, extent.select("file_id", (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("rows")))
+        named = profile.join(mappings.where("canonical is not null").select("file_id", "col", "canonical"), ["file_id", "col"])
+        told = resolve.content_warnings(named, expected).select("file_id", "col", "warnings")
+        held = mappings.join(told, ["file_id", "col"], "left")
+    return audit.losers(held)
+
+
 def records(values: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     """file_id, row and a column for each field (name, type) of typed values; a field that no column of a file has is null."""
 
@@ -52,26 +100,35 @@ def records(values: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     return values.groupBy("file_id", "row").agg(*(value(*f) for f in fields))
 
 
-def consolidate(cells: DataFrame, files: DataFrame, aliases: DataFrame, fields: list[tuple[str, str]], rules: products.Rules, ingested_at: str, settings: detect.Settings = detect.Settings()) -> Run:
+def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fields: list[tuple[str, str]], rules: products.Rules, ingested_at: str, settings: detect.Settings = detect.Settings()) -> Run:
     """One product's run over sheets.
 
     cells: as in detect, one chosen sheet a file. files: file_id, path, sheet, bank, produit, period,
-    source_format. aliases: tier, scope, alias, canonical. fields: (name, type) in the facts' order;
-    rules: how a field derives from others. A sheet without a table gives no facts and all its rows
-    from the header on as dropped ones; an empty table of cells gives empty results.
+    source_format. words: how headers resolve, or the aliases alone. fields: (name, type) in the
+    facts' order; rules: how a field derives from others. A sheet without a table gives no facts, a note
+    and all its rows below the header as dropped ones; an empty table of cells gives empty results.
     """
+    words = words if isinstance(words, Words) else Words(words)
     held = written(detect.filled(cells), "cells")
     lines = written(detect.sheet_rows(held), "rows")
-    found = written(detect.headers(held, aliases.select(F.col("alias").alias("norm")), settings), "headers")
+    found = written(detect.headers(held, vocabulary(words), settings), "headers")
     extent = written(detect.extents(lines, found, settings), "extents")
-    columns = detect.selected_columns(lines, detect.header_labels(held, found), extent, settings)
-    mappings = written(mapped(columns, files, aliases), "mappings")
+    labels = detect.header_labels(held, found)
+    columns = detect.selected_columns(lines, labels, extent, settings)
+    block = detect.block(held, extent)
+    mappings = written(judged(mapped(columns, files, words), block, extent, words.expected), "mappings")
     kinds = F.create_map(*(F.lit(x) for f in fields for x in f))
     chosen = mappings.where("won").select("file_id", "col", F.col("canonical").alias("field"), F.element_at(kinds, F.col("canonical")).alias("type")).where("type is not null")
-    values = detect.block(held, extent).join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d")
+    values = block.join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d")
     rows = records(coerce.typed(values), fields)
     for name, ways in rules.items():
         rows = facts.fill(rows, name, ways)
     own = rows.join(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet")), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
     full = products.with_provenance(products.with_constants(own, files), [f for f, _ in fields], ingested_at)
-    return Run(full, mappings, detect.dropped_rows(lines, found, extent, settings))
+    return Run(full, mappings, detect.dropped_rows(lines, found, extent, settings), detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent))
+
+
+def vocabulary(words: Words) -> DataFrame:
+    """norm: every alias that a header may be."""
+    own = words.aliases.select(F.col("alias").alias("norm"))
+    return own if words.dictionaries is None else own.union(words.dictionaries.select("alias"))
