@@ -35,7 +35,12 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def to_date(c: Column) -> Column:
     """The date a text gives, day first unless a year of four digits leads; null if there is none."""
-    text = clean_spaces(c)
+    return date_of(clean_spaces(c))
+
+
+def date_of(text: Column) -> Column:
+    """to_date() of a text whose blanks are clean: a column of its own keeps the generated code short,
+    since the text is named here a dozen times."""
     parts = r"^([0-9]{1,4})[/\-.]([0-9]{1,2})[/\-.]([0-9]{2,4})$"
     a, b, e = (F.regexp_extract(text, parts, k) for k in (1, 2, 3))
     named = r"^([0-9]{1,2})[\- /.]+([^0-9\s/.\-]+)\.?[\- /.]+([0-9]{2,4})$"

@@ -1,6 +1,6 @@
 """Number parsing: separators are voted on by column, never by cell."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import clean_spaces, to_text, without_currency
@@ -30,15 +30,26 @@ def separator_vote(c: Column) -> Column:
 
 def decimal_separator(c: Column) -> Column:
     """The majority of a group's votes; a comma where they are even or none."""
-    vote = separator_vote(c)
+    return majority(separator_vote(c))
+
+
+def majority(vote: Column) -> Column:
     return F.when(F.count_if(vote == ",") >= F.count_if(vote == "."), ",").otherwise(".")
 
 
 def to_number(c: Column, separator: Column) -> Column:
     """The number a text holds, by its column's separator; in brackets it is negative; null if none."""
     text = to_text(c)
-    n = bare_number(text)
-    point = F.when(separator == ",", F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(n, F.lit(","), F.lit("")))
+    return signed(text, with_point(bare_number(text), separator))
+
+
+def with_point(n: Column, separator: Column) -> Column:
+    """Digits with a point for the separator and without the marks between groups."""
+    return F.when(separator == ",", F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(n, F.lit(","), F.lit("")))
+
+
+def signed(text: Column, point: Column) -> Column:
+    """The value of digits with_point(); of several points the last one counts. text: what they stood in."""
     dots = F.length(point) - F.length(F.replace(point, F.lit(".")))
     whole = F.substring_index(point, ".", -1)
     single = F.when(dots > 1, F.concat(F.replace(F.substring(point, F.lit(1), F.length(point) - F.length(whole) - 1), F.lit("."), F.lit("")), F.lit("."), whole)).otherwise(point)
@@ -46,6 +57,13 @@ def to_number(c: Column, separator: Column) -> Column:
     return F.when(text.rlike(r"^\(.*\)$"), -F.abs(value)).otherwise(value)
 
 
+def number_column(frame: DataFrame, name: str, text: str, separator: str) -> DataFrame:
+    """frame with to_number() of a text column without outer blanks, a column for each step: the generated
+    code of one expression that names its parts many times outgrows what the JVM compiles."""
+    steps = frame.withColumn("_bare", bare_number(F.nullif(text, F.lit("")))).withColumn("_point", with_point(F.col("_bare"), F.col(separator)))
+    return steps.withColumn(name, signed(F.col(text), F.col("_point"))).drop("_bare", "_point")
+
+
 def to_integer(x: Column) -> Column:
     return F.rint(x).cast("bigint")
 

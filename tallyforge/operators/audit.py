@@ -18,9 +18,13 @@ def only(files: DataFrame, wanted: DataFrame | None) -> DataFrame:
     return files if wanted is None else files.join(wanted.select("path").distinct(), "path", "left_semi")
 
 
+def for_review() -> Column:
+    """Whether a column has no field, has warnings, or was named by a model."""
+    return F.col("canonical").isNull() | (F.size(F.coalesce("warnings", F.array().cast("array<string>"))) > 0) | F.coalesce(F.col("method").isin("model", "model-table"), F.lit(False))
+
+
 def needs_review(mappings: DataFrame) -> DataFrame:
-    """Columns without a field, with warnings, or that a model named."""
-    return mappings.where(F.col("canonical").isNull() | (F.size(F.coalesce("warnings", F.array().cast("array<string>"))) > 0) | F.col("method").isin("model", "model-table"))
+    return mappings.where(for_review())
 
 
 def read_files(files: DataFrame) -> DataFrame:

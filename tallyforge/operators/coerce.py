@@ -21,22 +21,24 @@ def report(rows: DataFrame, by: str, raw: Column, value: Column, shown: Column,
 
 def votes(cells: DataFrame) -> DataFrame:
     """file_id, field, separator, percent: one decision for each column. cells: file_id, field, s (text) and n (number)."""
-    return cells.groupBy("file_id", "field").agg(numbers.decimal_separator(F.col("s")).alias("separator"), numbers.is_percent(F.coalesce("s", F.col("n").cast("string"))).alias("percent"))
+    voted = cells.select("file_id", "field", numbers.separator_vote(F.col("s")).alias("vote"), F.coalesce("s", F.col("n").cast("string")).alias("said"))
+    return voted.groupBy("file_id", "field").agg(numbers.majority(F.col("vote")).alias("separator"), numbers.is_percent(F.col("said")).alias("percent"))
 
 
 def typed(cells: DataFrame) -> DataFrame:
     """cells with text_value, number_value and date_value by their field's type. cells: file_id, row, field, type, kind, s, n, d."""
-    decided = cells.join(votes(cells), ["file_id", "field"])
-    number = F.coalesce("n", numbers.to_number(F.col("s"), F.col("separator")))
-    rescaled = F.when((F.col("type") == "percent") & F.col("percent"), number / 100).otherwise(number)
-    whole = F.when(F.col("type") == "integer", numbers.to_integer(rescaled).cast("double")).otherwise(rescaled)
-    date = F.coalesce(F.col("d"), F.when(F.col("n").isNotNull(), dates.serial_date(F.col("n"))), dates.to_date(F.col("s")))
-    name = F.when(F.col("kind") == "n", text.identifier_of_number(F.col("n"))).when(F.col("kind") == "s", text.identifier_of_text(F.col("s")))
-    plain = F.coalesce(text.to_text(F.col("s")), F.when(F.col("kind") == "n", text.identifier_of_number(F.col("n"))), F.col("d").cast("string"))
-    kind = F.col("type")
-    return decided.select(
+    # A column for each step: an expression named several times would be written out as often in the generated code.
+    kind, text_kind = F.col("type"), F.col("kind") == "s"
+    decided = cells.join(votes(cells), ["file_id", "field"]).withColumns({"_clean": text.clean_spaces(F.col("s")), "_amount": kind.isin("money", "percent", "integer") & (F.col("kind") != "b")})
+    read = numbers.number_column(decided, "_read", "_clean", "separator").withColumn("_number", F.when(F.col("_amount"), F.coalesce("n", "_read")))
+    scaled = read.withColumn("_scaled", F.when((kind == "percent") & F.col("percent"), F.col("_number") / 100).otherwise(F.col("_number")))
+    whole = F.when(kind == "integer", numbers.to_integer(F.col("_scaled")).cast("double")).otherwise(F.col("_scaled"))
+    date = F.coalesce(F.col("d"), F.when(F.col("n").isNotNull(), dates.serial_date(F.col("n"))), dates.date_of(F.col("_clean")))
+    name = F.when(F.col("kind") == "n", text.identifier_of_number(F.col("n"))).when(text_kind, text.identifier_of_text(F.col("_clean")))
+    plain = F.coalesce(F.nullif("_clean", F.lit("")), F.when(F.col("kind") == "n", text.identifier_of_number(F.col("n"))), F.col("d").cast("string"))
+    return scaled.select(
         *cells.columns,
         F.when(kind == "identifier", name).when(kind.isin("text", "category", "period"), plain).alias("text_value"),
-        F.when(kind.isin("money", "percent", "integer") & (F.col("kind") != "b"), whole).alias("number_value"),
+        whole.alias("number_value"),
         F.when((kind == "date") & (F.col("kind") != "b"), date).alias("date_value"),
     )

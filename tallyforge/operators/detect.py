@@ -20,6 +20,8 @@ DATE_TEXT = r"^[0-9]{1,4}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}$|^[0-9]{1,2}[\- /.]+[^
 WEIGHTS = {"vocab": 3.0, "label": 1.2, "unique": 0.8, "width": 1.0, "below_fill": 1.5, "below_data": 1.0, "wordy": -2.0}
 BELOW_ROWS, WORDY, ANCHOR, SPARSE, LEAD_COLUMNS, SECOND_DATA = 7, 5, 0.9, 0.4, 3, 0.3
 
+BLANK = "blank row inside table"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -150,7 +152,7 @@ def dropped_rows(cells: DataFrame, found: DataFrame, extent: DataFrame, settings
     )
     outside = placed.select("file_id", "row", reason.alias("reason")).where("reason is not null")
     gaps = body_rows(rows, found, settings).join(extent.select("file_id", "data_end"), "file_id").where("row <= data_end and row - before > 1")
-    blank = gaps.select("file_id", F.explode(F.sequence(F.col("before") + 1, F.col("row") - 1)).alias("row"), F.lit("blank row inside table").alias("reason"))
+    blank = gaps.select("file_id", F.explode(F.sequence(F.col("before") + 1, F.col("row") - 1)).alias("row"), F.lit(BLANK).alias("reason"))
     return outside.unionByName(blank)
 
 

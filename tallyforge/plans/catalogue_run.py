@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates
-from tallyforge.operators import audit, detect, facts, formats, products, resolve
+from tallyforge.operators import audit, detect, facts, formats, products, resolve, shift
 from tallyforge.plans import consolidate
 from tallyforge.plans.catalogue import GRID_SQL, grid, query, sheet_tables
 from tallyforge.plans.sales import sales, table
@@ -192,3 +192,29 @@ def consolidated_facts(spark, sf_dir):
 )
 def consolidated_mappings(spark, sf_dir):
     return run_over_grid(spark, sf_dir).mappings.select("file_id", "header", "canonical", "method", "won")
+
+
+#: An order is a table and its lines are columns, in plans that move each field one column on.
+SHIFT_SQL = """m AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHEN l_quantity >= 5 THEN 'f' || l_linenumber END AS canonical, CAST(l_tax * 100 AS BIGINT) % 3 AS was FROM lineitem),
+       p AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHEN l_linenumber > 1 THEN 'f' || (l_linenumber - 1) END AS field, 1 - l_discount AS sure, CAST(l_discount * 100 AS BIGINT) % 2 AS told FROM lineitem WHERE l_returnflag <> 'R')"""
+
+
+@query(
+    f"""WITH {SHIFT_SQL},
+        b AS (SELECT m.file_id, m.col, canonical, was, field, told, sure, coalesce(sure >= 0.945 AND field IS DISTINCT FROM canonical, false) AS changed FROM m LEFT JOIN p ON m.file_id = p.file_id AND m.col = p.col),
+        c AS (SELECT *, CASE WHEN changed THEN field ELSE canonical END AS claim FROM b),
+        s AS (SELECT file_id, count(*) FILTER (changed) AS changes, count(claim) AS claims, count(DISTINCT claim) AS different, sum(CASE WHEN canonical IS NOT NULL THEN was ELSE 0 END) AS before,
+                sum(CASE WHEN changed THEN told WHEN canonical IS NOT NULL THEN was ELSE 0 END) AS after, count(canonical) AS fields FROM c GROUP BY file_id),
+        o AS (SELECT file_id, count(*) AS offers, min(sure) AS least FROM p GROUP BY file_id),
+        h AS (SELECT s.file_id FROM s JOIN o ON s.file_id = o.file_id WHERE changes > 0 AND claims = different AND (after < before OR (before = 0 AND offers >= fields AND least >= 0.895)))
+        SELECT c.file_id, c.col, CASE WHEN changed AND h.file_id IS NOT NULL THEN field ELSE canonical END AS canonical, changed AND h.file_id IS NOT NULL AS planned FROM c LEFT JOIN h ON c.file_id = h.file_id"""
+)
+def shift_plan(spark, sf_dir):
+    """Plans over whole tables: accepted where they are complete, unique and safer."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("col"), "l_quantity", "l_tax", "l_discount", "l_returnflag")
+    told = lambda n: F.array_repeat(F.lit("odd"), n.cast("int"))
+    cents = lambda c: F.rint(F.col(c) * 100).cast("int")
+    name = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    mappings = lines.select("file_id", "col", F.when(F.col("l_quantity") >= 5, name(F.col("col"))).alias("canonical"), F.lit("seed").alias("method"), F.lit(1.0).alias("confidence"), told(cents("l_tax") % 3).alias("warnings"))
+    given = lines.where("l_returnflag <> 'R'").select("file_id", "col", F.when(F.col("col") > 1, name(F.col("col") - 1)).alias("field"), (1 - cents("l_discount") / 100 + 0.005).alias("confidence"), told(cents("l_discount") % 2).alias("warnings"))
+    return shift.accept(mappings, given, floor=0.95).select("file_id", "col", "canonical", "planned")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, numbers
 from tallyforge.operators import audit, checks, coerce, detect, facts, formats, products, resolve
+from tallyforge.plans.warehouse import Warehouse
+from tallyforge.sources import tables
 from tallyforge.sources.tables import written
 
 #: Which typed value a field's type takes, and its Spark type.
@@ -27,15 +29,29 @@ class Run:
     dropped: DataFrame
     dropped_columns: DataFrame
     notes: DataFrame
+    #: Of all tables: columns, to_review, lines (from the first data row to the last) and blank ones
+    #: among them, counted while the tables were written.
+    counts: dict[str, int]
 
     def flags(self, required: list[str], by_format: dict[str, list[str]] | None = None) -> DataFrame:
         """The flags of all checks over the facts."""
         lacking = {c: F.lit(None).cast(t) for c, t in CHECKED.items() if c not in self.facts.columns}
         return checks.all_checks(self.facts.withColumns(lacking), [f for f in required if f in self.facts.columns], by_format)
 
-    def gate(self, required: list[str], allow_errors: bool = False, allow_review: bool = False) -> str | None:
-        """Why the run must not be committed, or None."""
-        return audit.gate(self.flags(required), self.mappings, allow_errors, allow_review)
+    def commit(self, warehouse: Warehouse, product: str, required: list[str], allow_errors: bool = False, allow_review: bool = False, **delivery) -> dict[str, int | str | None]:
+        """Appends the facts, if neither error flags nor columns to review stand against it (refused says
+        which, and nothing is written then). delivery: as of Warehouse.append().
+
+        Returns the counts of severities, columns and rows; all of them come from passes that the
+        run makes anyway: conserved says whether the data lines are the facts' rows and the blank lines."""
+        flags, said = tables.observed(self.flags(required), "flags", **{k: F.count_if(F.col("severity") == k) for k in ("error", "warning", "info")})
+        counts = self.counts | said
+        refused = "errors" if said["error"] and not allow_errors else "review" if self.counts["to_review"] and not allow_review else None
+        tables.free(flags)
+        if refused:
+            return counts | {"refused": refused, "written": 0, "replaced": 0}
+        done = warehouse.append(product, self.facts, **delivery)
+        return counts | done | {"refused": None, "conserved": done["written"] + counts["blank"] == counts["lines"]}
 
 
 @dataclass
@@ -112,11 +128,13 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
     held = written(detect.filled(cells), "cells")
     lines = written(detect.sheet_rows(held), "rows")
     found = written(detect.headers(held, vocabulary(words), settings), "headers")
-    extent = written(detect.extents(lines, found, settings), "extents")
+    extent, spans = tables.observed(detect.extents(lines, found, settings), "extents", lines=F.coalesce(F.sum(F.col("data_end") - F.col("data_start") + 1), F.lit(0)))
     labels = detect.header_labels(held, found)
     columns = detect.selected_columns(lines, labels, extent, settings)
     block = detect.block(held, extent)
-    mappings = written(judged(mapped(columns, files, words), block, extent, words.expected), "mappings")
+    told = judged(mapped(columns, files, words), block, extent, words.expected)
+    mappings, named = tables.observed(told, "mappings", columns=F.count("*"), to_review=F.count_if(audit.for_review()))
+    dropped, left = tables.observed(detect.dropped_rows(lines, found, extent, settings), "dropped", blank=F.count_if(F.col("reason") == detect.BLANK))
     kinds = F.create_map(*(F.lit(x) for f in fields for x in f))
     chosen = mappings.where("won").select("file_id", "col", F.col("canonical").alias("field"), F.element_at(kinds, F.col("canonical")).alias("type")).where("type is not null")
     values = block.join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d")
@@ -125,7 +143,7 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
         rows = facts.fill(rows, name, ways)
     own = rows.join(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet")), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
     full = products.with_provenance(products.with_constants(own, files), [f for f, _ in fields], ingested_at)
-    return Run(full, mappings, detect.dropped_rows(lines, found, extent, settings), detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent))
+    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left)
 
 
 def vocabulary(words: Words) -> DataFrame:

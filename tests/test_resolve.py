@@ -71,3 +71,43 @@ def test_tiers_and_scopes(spark, header, leaf, produit, bank, canonical, method)
     h = spark.createDataFrame([(1, 1, header, leaf, produit, bank)], "file_id int, col int, normalized string, leaf string, produit string, bank string")
     r = resolve.exact(h, spark.createDataFrame(ALIASES, "tier string, scope string, alias string, canonical string")).first()
     assert (r.canonical, r.method, r.confidence) == (canonical, method, 1.0 if canonical else None)
+
+
+EXPECTED = "canonical string, mostly string, min_value_due double, max_value_due double, min_unique double, max_unique double"
+PROFILE = "file_id string, col int, total long, non_blank long, numeric_ratio double, date_ratio double, unique_ratio double, min_value double, max_value double, mean_length double"
+
+
+def test_shifted_headers(spark):
+    from tallyforge.operators import shift
+
+    kinds = {"id": (0.0, 0.0), "date": (0.0, 1.0), "money": (1.0, 0.0)}
+    tables = {"fine": ["id", "date", "money"], "right": [None, "id", "date", "money"], "left": ["date", "money", "id"], "lone": ["money"]}
+    profile = [(f, k, 9, 9, *kinds[x], 1.0, None, None, 5.0) for f, cols in tables.items() for k, x in enumerate(cols, 1) if x]
+    fields = {"fine": ["id", "date", "money"], "right": ["id", "date", "money"], "left": ["id", "date", "money"], "lone": ["money"]}
+    mappings = spark.createDataFrame([(f, k, x, "seed", 1.0) for f, names in fields.items() for k, x in enumerate(names, 1)] + [("right", 4, None, None, None)], "file_id string, col int, canonical string, method string, confidence double")
+    profiles = spark.createDataFrame(profile, PROFILE)
+    expected = spark.createDataFrame([("id", "identifier", None, None, None, None), ("date", "date", None, None, None, None), ("money", "numeric", None, None, None, None)], EXPECTED)
+    plan = shift.proposals(mappings, profiles, expected)
+    assert sorted((r.file_id, r.col, r.field, r.confidence) for r in plan.where("field is not null").collect()) == [("right", 2, "id", 1.0), ("right", 3, "date", 1.0), ("right", 4, "money", 1.0)]
+    told = resolve.content_warnings(profiles.join(mappings, ["file_id", "col"]), expected).select("file_id", "col", "warnings")
+    done = shift.accept(mappings.join(told, ["file_id", "col"], "left"), plan).collect()
+    assert sorted((r.col, r.canonical, r.method) for r in done if r.file_id == "right" and r.canonical) == [(2, "id", "model-table"), (3, "date", "model-table"), (4, "money", "model-table")]
+    assert all(not r.planned for r in done if r.file_id != "right") and {r.canonical for r in done if r.file_id == "left"} == {"id", "date", "money"}
+
+
+@pytest.mark.parametrize(
+    "offers,accepted",
+    [
+        ([(1, "b", 0.8, []), (2, "a", 0.8, [])], True), ([(1, "b", 0.8, [])], False), ([(1, "b", 0.6, []), (2, "a", 0.8, [])], False), ([(1, "c", 0.8, ["x"])], False), ([(1, "c", 0.8, [])], True),
+        ([(1, "zz", 0.9, [])], False), ([(1, None, 0.9, [])], True), ([(9, "c", 0.9, [])], False), ([(1, "a", 0.9, [])], False), ([], False), ([(1, "c", 0.8, []), (1, "b", 0.7, [])], True),
+    ],
+)
+def test_plans_that_hold(spark, offers, accepted):
+    from tallyforge.operators import shift
+
+    m = spark.createDataFrame([("f", 1, "a", "seed", 1.0, ["x"]), ("f", 2, "b", "seed", 1.0, [])], "file_id string, col int, canonical string, method string, confidence double, warnings array<string>")
+    p = spark.createDataFrame([("f", *o) for o in offers], "file_id string, col int, field string, confidence double, warnings array<string>")
+    assert any(r.planned for r in shift.accept(m, p, ["a", "b", "c"]).collect()) == accepted
+    sure = m.withColumn("warnings", resolve.F.array().cast("array<string>"))
+    both = spark.createDataFrame([("f", 1, "b", 0.95, []), ("f", 2, "a", 0.95 if accepted else 0.85, [])], p.schema)
+    assert any(r.planned for r in shift.accept(sure, both).collect()) == accepted  # nothing was wrong: only a plan that is sure of all
