@@ -195,8 +195,9 @@ def consolidated_mappings(spark, sf_dir):
 
 
 #: An order is a table and its lines are columns, in plans that move each field one column on.
-SHIFT_SQL = """m AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHEN l_quantity >= 5 THEN 'f' || l_linenumber END AS canonical, CAST(l_tax * 100 AS BIGINT) % 3 AS was FROM lineitem),
-       p AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHEN l_linenumber > 1 THEN 'f' || (l_linenumber - 1) END AS field, 1 - l_discount AS sure, CAST(l_discount * 100 AS BIGINT) % 2 AS told FROM lineitem WHERE l_returnflag <> 'R')"""
+SHIFT_SQL = """lines AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax, min(l_discount) AS l_discount, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL),
+       m AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHEN l_quantity >= 5 THEN 'f' || l_linenumber END AS canonical, CAST(l_tax * 100 AS BIGINT) % 3 AS was FROM lines),
+       p AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHEN l_linenumber > 1 THEN 'f' || (l_linenumber - 1) END AS field, 1 - l_discount AS sure, CAST(l_discount * 100 AS BIGINT) % 2 AS told FROM lines WHERE l_returnflag <> 'R')"""
 
 
 @query(
@@ -211,7 +212,7 @@ SHIFT_SQL = """m AS (SELECT l_orderkey AS file_id, l_linenumber AS col, CASE WHE
 )
 def shift_plan(spark, sf_dir):
     """Plans over whole tables: accepted where they are complete, unique and safer."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("col"), "l_quantity", "l_tax", "l_discount", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("col")).agg(*(F.min(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount", "l_returnflag")))  # numbers repeat within an order
     told = lambda n: F.array_repeat(F.lit("odd"), n.cast("int"))
     cents = lambda c: F.rint(F.col(c) * 100).cast("int")
     name = lambda k: F.concat(F.lit("f"), k.cast("string"))
