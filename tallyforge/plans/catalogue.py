@@ -557,16 +557,16 @@ def unresolved_frequency(spark, sf_dir):
 
 
 @query(
-    """SELECT 'root/' || CASE c_custkey % 3 WHEN 0 THEN 'CNEP 2025' WHEN 1 THEN 'bnp_paribas' ELSE 'cnepx' END || '/SAHTI/' || c_custkey || '_mars_2024.xlsx' AS path,
-       CASE c_custkey % 3 WHEN 0 THEN 'CNEP' WHEN 1 THEN 'BNPPED' END AS bank, CASE c_custkey % 3 WHEN 1 THEN NULL ELSE 'sahti' END AS produit, '2024-03' AS period,
+    """SELECT 'root/' || CASE c_custkey % 3 WHEN 0 THEN 'NORDIA 2025' WHEN 1 THEN 'sud_maritime' ELSE 'nordiax' END || '/SERENA/' || c_custkey || '_mars_2024.xlsx' AS path,
+       CASE c_custkey % 3 WHEN 0 THEN 'NORDIA' WHEN 1 THEN 'SUDMAR' END AS bank, CASE c_custkey % 3 WHEN 1 THEN NULL ELSE 'serena' END AS produit, '2024-03' AS period,
        CASE WHEN c_custkey % 3 = 2 THEN 'no known bank in the path' END AS error FROM customer"""
 )
 def path_metadata(spark, sf_dir):
     k = F.col("c_custkey")
-    folder = F.when(k % 3 == 0, "CNEP 2025").when(k % 3 == 1, "bnp_paribas").otherwise("cnepx")
-    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("root/"), folder, F.lit("/SAHTI/"), k.cast("string"), F.lit("_mars_2024.xlsx")).alias("path"))
-    tokens = spark.createDataFrame([("cnep", "CNEP"), ("cnep banque", "CNEP"), ("bnp paribas", "BNPPED"), ("bnp", "BNPPED")], "token string, code string")
-    words = spark.createDataFrame([("sahti", "sahti", ["CNEP", None])], "token string, produit string, partners array<string>")
+    folder = F.when(k % 3 == 0, "NORDIA 2025").when(k % 3 == 1, "sud_maritime").otherwise("nordiax")
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("root/"), folder, F.lit("/SERENA/"), k.cast("string"), F.lit("_mars_2024.xlsx")).alias("path"))
+    tokens = spark.createDataFrame([("nordia", "NORDIA"), ("nordia banque", "NORDIA"), ("sud maritime", "SUDMAR"), ("sud", "SUDMAR")], "token string, code string")
+    words = spark.createDataFrame([("serena", "serena", ["NORDIA", None])], "token string, produit string, partners array<string>")
     found = paths.describe(files, tokens, words.withColumn("partners", F.array_compact("partners")))
     return found.select("path", "bank", "produit", "period", "error")
 

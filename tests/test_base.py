@@ -37,7 +37,7 @@ def test_dates(spark, raw, out):
     assert one(spark, raw, dates.to_date) == out
 
 
-@pytest.mark.parametrize("name,year,month,method", [("x_202503.xlsx", 2025, 3, "digits"), ("03-2025 x.xlsx", 2025, 3, "digits"), ("SAHTI_Mars_2025.xlsx", 2025, 3, "name"), ("janvier mars 2025.xlsx", 2025, None, "unresolved"), ("x.xlsx", None, None, "unresolved"), ("juin.xlsx", None, 6, "unresolved")])
+@pytest.mark.parametrize("name,year,month,method", [("x_202503.xlsx", 2025, 3, "digits"), ("03-2025 x.xlsx", 2025, 3, "digits"), ("SERENA_Mars_2025.xlsx", 2025, 3, "name"), ("janvier mars 2025.xlsx", 2025, None, "unresolved"), ("x.xlsx", None, None, "unresolved"), ("juin.xlsx", None, 6, "unresolved")])
 def test_periods(spark, name, year, month, method):
     got = one(spark, name, lambda c: dates.resolve_period(c, F.lit(None)))
     assert (got.year, got.method) == (year, method) and (month is None or method == "unresolved" or got.month == month)
@@ -53,7 +53,7 @@ FACTS = "banque string, mois_reception string, num_contrat string, date_effet da
 
 
 def frame(spark, *changes):
-    rows = [["CNEP", "2025-01", f"C{k}", dt.date(2025, 1, 5), 10.0, 1.0, 11.0, "reported", None, "a.xlsx", k] for k in range(3)]
+    rows = [["NORDIA", "2025-01", f"C{k}", dt.date(2025, 1, 5), 10.0, 1.0, 11.0, "reported", None, "a.xlsx", k] for k in range(3)]
     for k, column, value in changes:
         rows[k][column] = value
     return spark.createDataFrame([tuple(r) for r in rows], FACTS)
@@ -71,10 +71,10 @@ def test_one_defect_each(spark, changes, code):
 def test_workbook_to_table(spark, tmp_path):
     day = dt.date(2025, 1, 2)
     rows = [["Etat des ventes du mois de janvier 2025", None], [], [None, "Contrat", "Date effet", "Prime"], *[[None, f"C-{k}", day, 10.5 + k] for k in range(5)], [None, "TOTAL", None, 60], [], [], [None, None, None, None, 3]]
-    (tmp_path / "CNEP").mkdir()
-    workbooks.write({"Param": [["x"]], "Ventes": rows}, tmp_path / "CNEP" / "v_202501.xlsx")
-    (tmp_path / "CNEP" / "bad.xlsx").write_text("not a workbook")
-    (tmp_path / "CNEP" / "~$lock.xlsx").write_text("")
+    (tmp_path / "NORDIA").mkdir()
+    workbooks.write({"Param": [["x"]], "Ventes": rows}, tmp_path / "NORDIA" / "v_202501.xlsx")
+    (tmp_path / "NORDIA" / "bad.xlsx").write_text("not a workbook")
+    (tmp_path / "NORDIA" / "~$lock.xlsx").write_text("")
     cells = workbooks.read(workbooks.find(spark, str(tmp_path), content=True)).persist()
     assert cells.where("error is not null").count() == 1 and cells.select("path").distinct().count() == 2
     good = cells.where("error is null")
@@ -92,12 +92,12 @@ def test_workbook_to_table(spark, tmp_path):
 
 def test_warehouse_replaces_by_file(spark, tmp_path):
     w = Warehouse(spark, f"file://{tmp_path}/w")
-    rows = [("a", 1, "h1", 1.0, "CNEP", dt.date(2025, 1, 1)), ("b", 1, "h2", 2.0, None, dt.date(2025, 2, 1))]
+    rows = [("a", 1, "h1", 1.0, "NORDIA", dt.date(2025, 1, 1)), ("b", 1, "h2", 2.0, None, dt.date(2025, 2, 1))]
     schema = "source_file string, source_row int, row_hash string, v double, banque string, date_effet date"
     first = spark.createDataFrame(rows, schema)
     assert w.append("p", first) == {"written": 2, "replaced": 0}
     assert w.append("p", first) == {"written": 2, "replaced": 2} and w.read("p").count() == 2
-    new = spark.createDataFrame([("a", 1, "h3", 5.0, "CNEP", dt.date(2025, 1, 1)), ("a", 2, "h4", 6.0, "CNEP", dt.date(2025, 1, 3))], schema)
+    new = spark.createDataFrame([("a", 1, "h3", 5.0, "NORDIA", dt.date(2025, 1, 1)), ("a", 2, "h4", 6.0, "NORDIA", dt.date(2025, 1, 3))], schema)
     assert w.append("p", new, dry_run=True)["written"] == 2 and w.read("p").count() == 2
     w.append("p", new)
     assert sorted(r.v for r in w.read("p").collect()) == [2.0, 5.0, 6.0]
@@ -108,7 +108,7 @@ def test_warehouse_replaces_by_file(spark, tmp_path):
     changed = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "path string, content_hash string")
     assert {r.path: r.status for r in w.pending(changed).collect()} == {"a": "unchanged", "b": "changed", "c": "new"}
     w.extracts("p")
-    w.dimensions({"CNEP": "CNEP Banque"}, [("p", "P")])
+    w.dimensions({"NORDIA": "NORDIA Banque"}, [("p", "P")])
     assert spark.read.parquet(f"{w.root}/dim_date").count() == 59 and w.products() == ["p"]
 
 
@@ -125,18 +125,18 @@ def test_entry_imports():
 
 def test_products_of_paths(spark):
     long_name = "assurance des emprunteurs pour le credit immobilier"
-    words = spark.createDataFrame([("sahti", "sahti", ["CNEP"]), (long_name, "ade", []), ("visa", "visa", None), ("ctp", "ctp", []), ("vie", "vie", ["BNA"])], "token string, produit string, partners array<string>")
-    tokens = spark.createDataFrame([("cnep", "CNEP"), ("bnp paribas", "BNPPED")], "token string, code string")
+    words = spark.createDataFrame([("serena", "serena", ["NORDIA"]), (long_name, "ade", []), ("visa", "visa", None), ("ctp", "ctp", []), ("vie", "vie", ["BNA"])], "token string, produit string, partners array<string>")
+    tokens = spark.createDataFrame([("nordia", "NORDIA"), ("sud maritime", "SUDMAR")], "token string, code string")
     due = {
-        "root/cnepx/SAHTI/1_mars_2024.xlsx": (None, "sahti", "name"),
-        "root/bnp_paribas/SAHTI/2_mars_2024.xlsx": ("BNPPED", None, "unresolved"),
-        "root/CNEP 2025/SAHTI/3_mars_2024.xlsx": ("CNEP", "sahti", "name"),
-        "SAHTI/x/CNEP 2025/4_mars_2024.xlsx": ("CNEP", "sahti", "name"),
-        f"root/bnp_paribas/{long_name}/5_mars_2024.xlsx": ("BNPPED", "ade", "name"),
-        "root/bnp_paribas/Visa/6_mars_2024.xlsx": ("BNPPED", "visa", "name"),
-        "root/bnp_paribas/visas/7_mars_2024.xlsx": ("BNPPED", None, "unresolved"),
+        "root/nordiax/SERENA/1_mars_2024.xlsx": (None, "serena", "name"),
+        "root/sud_maritime/SERENA/2_mars_2024.xlsx": ("SUDMAR", None, "unresolved"),
+        "root/NORDIA 2025/SERENA/3_mars_2024.xlsx": ("NORDIA", "serena", "name"),
+        "SERENA/x/NORDIA 2025/4_mars_2024.xlsx": ("NORDIA", "serena", "name"),
+        f"root/sud_maritime/{long_name}/5_mars_2024.xlsx": ("SUDMAR", "ade", "name"),
+        "root/sud_maritime/Visa/6_mars_2024.xlsx": ("SUDMAR", "visa", "name"),
+        "root/sud_maritime/visas/7_mars_2024.xlsx": ("SUDMAR", None, "unresolved"),
         "root/vie/ctp/8_mars_2024.xlsx": (None, None, "ambiguous"),
-        "root/CNEP/vie/9_mars_2024.xlsx": ("CNEP", None, "unresolved"),
+        "root/NORDIA/vie/9_mars_2024.xlsx": ("NORDIA", None, "unresolved"),
     }
     got = paths.describe(spark.createDataFrame([(p,) for p in due], "path string"), tokens, words).collect()
     assert {r.path: (r.bank, r.produit, r.produit_method) for r in got} == due
@@ -156,8 +156,8 @@ def test_path_metadata_of_low_ids(spark, tmp_path):
     due = con.execute(f"SELECT path, bank, produit, period, error FROM ({sql})").fetchall()
     assert sorted(map(repr, map(tuple, QUERIES["path_metadata"](spark, str(tmp_path)).collect()))) == sorted(map(repr, due)) and len(due) == 1200
     files = con.execute(f"SELECT path, bank, produit, period, error FROM ({sql})").fetchall()
-    tokens = spark.createDataFrame([("cnep", "CNEP"), ("bnp paribas", "BNPPED")], "token string, code string")
-    words = spark.createDataFrame([("sahti", "sahti", ["CNEP"])], "token string, produit string, partners array<string>")
+    tokens = spark.createDataFrame([("nordia", "NORDIA"), ("sud maritime", "SUDMAR")], "token string, code string")
+    words = spark.createDataFrame([("serena", "serena", ["NORDIA"])], "token string, produit string, partners array<string>")
     got = paths.describe(spark.createDataFrame([(r[0],) for r in files], "path string"), tokens, words).select("path", "bank", "produit", "period", "error").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, files)) and len(files) == 1200
 
