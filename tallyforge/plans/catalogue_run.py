@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates
-from tallyforge.operators import audit, detect, facts, formats, products, resolve, shift
+from tallyforge.operators import audit, detect, facts, formats, products, resolve, review, shift
 from tallyforge.plans import consolidate
 from tallyforge.plans.catalogue import GRID_SQL, grid, query, sheet_tables
 from tallyforge.plans.sales import sales, table
@@ -128,6 +128,78 @@ def audit_summary(spark, sf_dir):
     return audit.summary(files, mappings, o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("path"))).drop("error")
 
 
+def review_files(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("file_id"), F.concat(F.lit("in/"), k.cast("string"), F.lit(".xlsx")).alias("path"), F.lit("Ventes").alias("sheet"), F.col("c_mktsegment").alias("bank"), F.when(k % 4 != 0, "ade").alias("produit"),
+        F.lit("folder").alias("produit_method"), F.when(k % 6 != 0, "2024-03").alias("period"), F.lit("name").alias("period_method"), F.when(k % 11 == 0, "unreadable").alias("error"),
+    )
+
+
+def review_claims(spark, sf_dir):
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("file_id"), F.col("o_orderpriority").alias("header"), F.when(k % 5 == 0, "").otherwise(F.lower("o_orderpriority")).alias("normalized"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("canonical"),
+        F.when(k % 3 == 0, "fuzzy").otherwise("seed").alias("method"), F.when(k % 3 == 0, 0.954).otherwise(1.0).alias("confidence"), F.lit(None).cast("string").alias("reason"), F.when(k % 7 == 0, F.array(F.lit("odd"), F.lit("few"))).otherwise(none).alias("warnings"), F.when(k % 7 == 1, F.array("o_orderstatus")).alias("suggestions"),
+    )
+
+
+REVIEW_FILE = "c_custkey || '.xlsx' AS fichier, c_mktsegment AS banque"
+
+
+@query(
+    f"""SELECT {REVIEW_FILE}, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'ade' END AS produit, 'folder' AS produit_detecte, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '2024-03' END AS mois_reception, 'name' AS periode_source, 'Ventes' AS feuille,
+        CASE WHEN n > 0 THEN 1 END AS ligne_entete, CASE WHEN n > 0 THEN 2 END AS premiere_ligne, 1 + n AS derniere_ligne, coalesce(n, 0) AS lignes_gardees, coalesce(out, 0) AS lignes_supprimees, coalesce(n, 0) AS colonnes_gardees, coalesce(gone, 0) AS colonnes_supprimees,
+        coalesce(open, 0) AS entetes_non_resolus, coalesce(derived, '') AS champs_calcules, coalesce(missing, '') AS champs_requis_absents, CASE WHEN c_custkey % 11 = 0 THEN 'erreur' WHEN r THEN 'à vérifier' ELSE 'ok' END AS statut,
+        CASE WHEN c_custkey % 11 = 0 THEN 'unreadable' WHEN c_custkey % 10 = 0 THEN 'another sheet; sheet is empty' ELSE '' END AS note
+        FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS out, count(*) FILTER (o_orderkey % 3 = 0) AS gone, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 5 <> 0) AS open,
+          bool_or(o_orderkey % 5 <> 0 AND (o_orderstatus = 'P' OR o_orderkey % 7 = 0)) AS r, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) FILTER (o_orderkey % 9 = 0) AS derived,
+          string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) FILTER (o_orderkey % 4 = 0) AS missing FROM orders GROUP BY 1) ON o_custkey = c_custkey"""
+)
+def review_of_files(spark, sf_dir):
+    """All 19 columns of a run's file summary."""
+    o, files = table(spark, sf_dir, "orders").withColumn("file_id", F.col("o_custkey")), review_files(spark, sf_dir)
+    own = o.groupBy("file_id").agg(F.count("*").alias("n_rows"))
+    spans = own.select("file_id", F.lit(1).alias("header_row"), F.lit(2).alias("data_start"), (F.col("n_rows") + 1).alias("data_end"))
+    notes = files.where("file_id % 10 = 0").select("file_id", F.explode(F.array(F.lit("sheet is empty"), F.lit("another sheet"))).alias("note"))
+    missing, derived = o.where("o_orderkey % 4 = 0").select("file_id", F.col("o_orderstatus").alias("field")), o.where("o_orderkey % 9 = 0").select("file_id", F.col("o_orderpriority").alias("field"))
+    return review.files_reviewed(files.join(own, "file_id", "left"), spans, review_claims(spark, sf_dir), o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), missing, derived, notes)
+
+
+@query(
+    f"""SELECT {REVIEW_FILE}, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'ade' END AS produit, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE '2024-03' END AS mois_reception, o_orderpriority AS en_tete, lower(o_orderpriority) AS en_tete_normalise,
+        CASE WHEN o_orderstatus = 'P' THEN '(non résolu)' ELSE o_orderstatus END AS champ, CASE WHEN o_orderkey % 3 = 0 THEN 'fuzzy' ELSE 'seed' END AS methode, CASE WHEN o_orderkey % 3 = 0 THEN 0.95 ELSE 1.0 END::DOUBLE AS confiance, '' AS raison,
+        CASE WHEN o_orderkey % 7 = 0 THEN 'odd; few' ELSE '' END AS avertissements, CASE WHEN o_orderkey % 7 = 1 THEN o_orderstatus ELSE '' END AS suggestions
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 0"""
+)
+def review_of_mappings(spark, sf_dir):
+    return review.mappings_reviewed(review_files(spark, sf_dir), review_claims(spark, sf_dir))
+
+
+@query(
+    f"""SELECT {REVIEW_FILE}, 'ligne' AS type, 'ligne ' || o_orderkey AS position, o_orderstatus AS motif, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END, '') AS contenu FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0
+        UNION ALL SELECT {REVIEW_FILE}, 'colonne', 'colonne B', 'empty in data block', c_name FROM customer WHERE c_custkey % 3 = 0"""
+)
+def review_of_dropped(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("reason"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("preview"))
+    columns = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("file_id"), F.lit("B").alias("letter"), F.lit("empty in data block").alias("reason"), F.col("c_name").alias("header"))
+    return review.dropped_reviewed(review_files(spark, sf_dir), rows, columns)
+
+
+@query(
+    f"""SELECT {REVIEW_FILE}, 'f' || l_linenumber AS en_tete, 'money' AS type_cible, ',' AS separateur_decimal, count(*) FILTER (l_returnflag = 'N') AS converties, count(*) FILTER (l_returnflag = 'R') AS vides, count(*) FILTER (l_returnflag = 'A') AS echecs,
+        CAST(round_even(100 * count(*) FILTER (l_returnflag = 'A') / count(*) FILTER (l_returnflag <> 'R'), 0) AS INTEGER) || '%' AS taux_echec,
+        array_to_string(list_slice(list(l_shipmode ORDER BY l_orderkey, l_shipmode) FILTER (l_returnflag = 'A'), 1, 5), ', ') AS exemples
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, l_linenumber HAVING count(*) FILTER (l_returnflag = 'A') > 0"""
+)
+def review_of_coercions(spark, sf_dir):
+    flag, owner = F.col("l_returnflag"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("file_id"))
+    shown = F.when(flag == "A", F.col("l_shipmode")).when(flag == "R", " ").otherwise(F.col("l_quantity").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").join(owner, "l_orderkey")
+    values = lines.select("file_id", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field"), F.col("l_orderkey").alias("row"), F.lit("money").alias("type"), shown.alias("shown"), F.lit(None).cast("string").alias("text_value"), F.when(flag == "N", F.col("l_quantity").cast("double")).alias("number_value"), F.lit(None).cast("date").alias("date_value"))
+    return review.coercions_reviewed(review_files(spark, sf_dir), review.conversions(values).withColumns({"header": F.col("field"), "separator": F.lit(",")}))
+
+
 @query(
     """SELECT source_file, source_row, num_contrat, '2025-01-31T00:00:00' AS ingested_at, substr(sha256(source_file || '::' || coalesce(num_contrat, '') || '|' || coalesce(CAST(date_effet AS VARCHAR), '') || '|' || coalesce(CAST(prime_totale AS VARCHAR), '')), 1, 16) AS row_hash FROM sales""",
     on_sales=True,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, numbers
-from tallyforge.operators import audit, checks, coerce, detect, facts, formats, products, resolve
+from tallyforge.operators import audit, checks, coerce, detect, facts, formats, products, resolve, review
 from tallyforge.plans.warehouse import Warehouse
 from tallyforge.sources import tables
 from tallyforge.sources.tables import written
@@ -32,6 +32,36 @@ class Run:
     #: Of all tables: columns, to_review, lines (from the first data row to the last) and blank ones
     #: among them, counted while the tables were written.
     counts: dict[str, int]
+    #: What a review reads: files as given, tables (file_id, header_row, data_start, data_end), cells that
+    #: are filled, and typed values with the separator of their column.
+    files: DataFrame
+    tables: DataFrame
+    cells: DataFrame
+    values: DataFrame
+
+    def review(self, required: list[str]) -> dict[str, DataFrame]:
+        """files, mappings, dropped and coercions, as somebody reviews them. Of the files given, error,
+        produit_method and period_method may be absent. A field counts as computed in a file if it was in some row."""
+        lacking = {c: F.lit(None).cast("string") for c in ("error", "produit_method", "period_method") if c not in self.files.columns}
+        files = self.files.withColumns(lacking)
+        ids = files.select("file_id", F.col("path").alias("source_file"))
+        names = self.facts.columns
+        ways = [c.removesuffix("_source") for c in names if c.endswith("_source") and c.removesuffix("_source") in names]
+        computed = F.array_compact(F.array(*(F.when(F.col(f"{f}_source") == "derived", F.lit(f)) for f in ways))).cast("array<string>")
+        derived = self.facts.select("source_file", F.explode(computed).alias("field")).distinct().join(ids, "source_file")
+        missing = products.missing_fields(self.facts, [f for f in required if f in names]).join(ids, "source_file")
+        counted = files.join(self.facts.groupBy("source_file").agg(F.count("*").alias("n_rows")).join(ids, "source_file").drop("source_file"), "file_id", "left")
+        outside = self.dropped.join(audit.preview(self.cells.join(self.dropped.select("file_id", "row"), ["file_id", "row"], "left_semi")), ["file_id", "row"], "left")
+        heads = self.mappings.where("won").select("file_id", F.col("canonical").alias("field"), "header")
+        reports = review.conversions(self.values).join(coerce.votes(self.values).select("file_id", "field", "separator"), ["file_id", "field"]).join(heads, ["file_id", "field"])
+        reports = reports.withColumn("separator", F.when(F.col("target_type").isin("money", "percent", "integer"), F.col("separator")))
+        told = self.mappings if "reason" in self.mappings.columns else self.mappings.withColumn("reason", F.lit(None).cast("string"))
+        return {
+            "files": review.files_reviewed(counted, self.tables, self.mappings, self.dropped, self.dropped_columns, missing, derived, self.notes),
+            "mappings": review.mappings_reviewed(files, told),
+            "dropped": review.dropped_reviewed(files, outside, self.dropped_columns),
+            "coercions": review.coercions_reviewed(files, reports),
+        }
 
     def flags(self, required: list[str], by_format: dict[str, list[str]] | None = None) -> DataFrame:
         """The flags of all checks over the facts."""
@@ -137,13 +167,14 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
     dropped, left = tables.observed(detect.dropped_rows(lines, found, extent, settings), "dropped", blank=F.count_if(F.col("reason") == detect.BLANK))
     kinds = F.create_map(*(F.lit(x) for f in fields for x in f))
     chosen = mappings.where("won").select("file_id", "col", F.col("canonical").alias("field"), F.element_at(kinds, F.col("canonical")).alias("type")).where("type is not null")
-    values = block.join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d")
-    rows = records(coerce.typed(values), fields)
+    values = block.join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d", "shown")
+    typed = coerce.typed(values)
+    rows = records(typed, fields)
     for name, ways in rules.items():
         rows = facts.fill(rows, name, ways)
     own = rows.join(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet")), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
     full = products.with_provenance(products.with_constants(own, files), [f for f, _ in fields], ingested_at)
-    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left)
+    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left, files, extent.join(found.select("file_id", "header_row"), "file_id"), held, typed)
 
 
 def vocabulary(words: Words) -> DataFrame:
