@@ -189,12 +189,12 @@ def review_of_dropped(spark, sf_dir):
 @query(
     f"""SELECT {REVIEW_FILE}, 'f' || l_linenumber AS en_tete, 'money' AS type_cible, ',' AS separateur_decimal, count(*) FILTER (l_returnflag = 'N') AS converties, count(*) FILTER (l_returnflag = 'R') AS vides, count(*) FILTER (l_returnflag = 'A') AS echecs,
         CAST(round_even(100 * count(*) FILTER (l_returnflag = 'A') / count(*) FILTER (l_returnflag <> 'R'), 0) AS INTEGER) || '%' AS taux_echec,
-        array_to_string(list_slice(list(l_shipmode ORDER BY l_orderkey, l_shipmode) FILTER (l_returnflag = 'A'), 1, 5), ', ') AS exemples
+        array_to_string(list_slice(list('no ' || l_partkey ORDER BY l_orderkey, 'no ' || l_partkey) FILTER (l_returnflag = 'A'), 1, 5), ', ') AS exemples
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, l_linenumber HAVING count(*) FILTER (l_returnflag = 'A') > 0"""
 )
 def review_of_coercions(spark, sf_dir):
     flag, owner = F.col("l_returnflag"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("file_id"))
-    shown = F.when(flag == "A", F.col("l_shipmode")).when(flag == "R", " ").otherwise(F.col("l_quantity").cast("string"))
+    shown = F.when(flag == "A", F.concat(F.lit("no "), F.col("l_partkey").cast("string"))).when(flag == "R", " ").otherwise(F.col("l_quantity").cast("string"))
     lines = table(spark, sf_dir, "lineitem").join(owner, "l_orderkey")
     values = lines.select("file_id", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field"), F.col("l_orderkey").alias("row"), F.lit("money").alias("type"), shown.alias("shown"), F.lit(None).cast("string").alias("text_value"), F.when(flag == "N", F.col("l_quantity").cast("double")).alias("number_value"), F.lit(None).cast("date").alias("date_value"))
     return review.coercions_reviewed(review_files(spark, sf_dir), review.conversions(values).withColumns({"header": F.col("field"), "separator": F.lit(",")}))
