@@ -79,8 +79,10 @@ def _month_of_stem(stem: Column) -> Column:
 def resolve_period(name: Column, fallback_year: Column) -> Column:
     """struct(year, month, method, confidence) of a file or folder name.
 
-    Digits first (year and month, either way round), then month names: more than one month is
-    no month. A year of four digits beats one of two, which beats the folder's.
+    A month name with its year right behind it first, since other digits of a name (a customer's, a
+    contract's) may look like a period or a year; then digits (year and month, either way round), then
+    month names. More than one month is no month. A year of four digits beats one of two, which beats
+    the folder's.
     """
     stem = F.regexp_replace(name, r"\.[A-Za-z]{3,4}$", "")
     ym, my = r"(?<![0-9])(20[0-9]{2})[\-_. ]?(0[1-9]|1[0-2])(?![0-9])", r"(?<![0-9])(0[1-9]|1[0-2])[\-_. ]?(20[0-9]{2})(?![0-9])"
@@ -89,13 +91,15 @@ def resolve_period(name: Column, fallback_year: Column) -> Column:
     year4 = F.nullif(F.regexp_extract(text, r"(?<![0-9])(20[0-9]{2})(?![0-9])", 1), F.lit("")).cast("int")
     year2 = F.nullif(F.regexp_extract(text, r"(?<![0-9])([0-9]{2})(?![0-9])", 1), F.lit("")).cast("int") + 2000
     month = F.when(F.size(months) == 1, F.get(months, F.lit(0)))
+    behind = F.nullif(F.regexp_extract(text, rf"(?:{NAME_PATTERN}) ?(20[0-9]{{2}})(?![0-9])", 1), F.lit("")).cast("int")
     year = F.coalesce(year4, year2, fallback_year.cast("int"))
 
     def found(y: Column, m: Column, method: str, confidence) -> Column:
         return F.struct(y.cast("int").alias("year"), m.cast("int").alias("month"), F.lit(method).alias("method"), F.lit(confidence).cast("double").alias("confidence") if not isinstance(confidence, Column) else confidence.alias("confidence"))
 
     return (
-        F.when(stem.rlike(ym), found(F.regexp_extract(stem, ym, 1), F.regexp_extract(stem, ym, 2), "digits", 1.0))
+        F.when(month.isNotNull() & behind.isNotNull(), found(behind, month, "name", 1.0))
+        .when(stem.rlike(ym), found(F.regexp_extract(stem, ym, 1), F.regexp_extract(stem, ym, 2), "digits", 1.0))
         .when(stem.rlike(my), found(F.regexp_extract(stem, my, 2), F.regexp_extract(stem, my, 1), "digits", 1.0))
         .when(month.isNotNull() & year.isNotNull(), found(year, month, "name", F.when(year4.isNotNull(), 1.0).otherwise(0.85)))
         .otherwise(found(year, month, "unresolved", 0.0))

@@ -66,8 +66,10 @@ def periods(files: DataFrame, bank_of: DataFrame) -> DataFrame:
 
 
 def describe(files: DataFrame, bank_tokens: DataFrame, keywords: DataFrame) -> DataFrame:
-    """files with bank, product, period and the first error that keeps a file from being read."""
-    bank_of = banks(files, bank_tokens)
-    out = files.join(bank_of.drop("bank_level"), "path", "left").join(products(files, keywords, bank_of), "path").join(periods(files, bank_of), "path")
+    """files with bank, product, period and the first error that keeps a file from being read; a path
+    in several rows is described in each."""
+    own = files.select("path").distinct()
+    bank_of = banks(own, bank_tokens)
+    out = files.join(bank_of.drop("bank_level"), "path", "left").join(products(own, keywords, bank_of), "path").join(periods(own, bank_of), "path")
     error = F.when(F.col("bank").isNull(), "no known bank in the path").when(F.col("period_conflict"), "file and folder name different periods").when(F.col("period").isNull(), "no period in the path")
     return out.withColumn("error", error)

@@ -162,6 +162,21 @@ def test_path_metadata_of_low_ids(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, files)) and len(files) == 1200
 
 
+def test_path_metadata_of_ids_like_periods(spark, tmp_path):
+    """Ids that look like a year or a period don't stand for the month's year behind its name; a path twice gives two rows."""
+    import duckdb
+
+    from tallyforge.plans.catalogue import ORACLE_SQL, QUERIES
+
+    ids = [*range(1990, 2105), *range(200001, 200014), 202412, 12024, 12025, 122024, 122025, 1202403, 5, 5]
+    spark.createDataFrame([(k,) for k in ids], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    due = con.execute(f"SELECT path, bank, produit, period, error FROM ({ORACLE_SQL['path_metadata']})").fetchall()
+    got = QUERIES["path_metadata"](spark, str(tmp_path)).select("path", "bank", "produit", "period", "error").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, due)) and len(got) == len(ids)
+
+
 def test_short_headers_meet_every_alias(spark):
     names = ["prmie", "tuax", "cl no", "prime", "zzz", ""]
     aliases = ["prime", "taux", "no cl", "frais"]
