@@ -44,8 +44,8 @@ def strip_accents_exact(s: pd.Series) -> pd.Series:
 
 def normalize_header(c: Column) -> Column:
     """Folded, lower case, words only, one space between them; null and blank give an empty string."""
-    bare = F.regexp_replace(F.lower(strip_accents(clean_spaces(c))), r"(?U)[^\w\s]|_", " ")
-    return F.coalesce(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit(""))
+    bare = F.lower(strip_accents(F.translate(c, WIDE_SPACES + NO_WIDTH, " " * len(WIDE_SPACES))))
+    return F.coalesce(F.trim(F.regexp_replace(bare, r"(?U)[\W_]+", " ")), F.lit(""))
 
 
 def normalize_loose(c: Column) -> Column:

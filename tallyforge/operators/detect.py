@@ -20,6 +20,9 @@ DATE_TEXT = r"^[0-9]{1,4}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}$|^[0-9]{1,2}[\- /.]+[^
 WEIGHTS = {"vocab": 3.0, "label": 1.2, "unique": 0.8, "width": 1.0, "below_fill": 1.5, "below_data": 1.0, "wordy": -2.0}
 BELOW_ROWS, WORDY, ANCHOR, SPARSE, LEAD_COLUMNS, SECOND_DATA = 7, 5, 0.9, 0.4, 3, 0.3
 
+#: Columns that a row's mask holds, one bit each.
+MASKED = 62
+
 BLANK = "blank row inside table"
 
 
@@ -32,39 +35,67 @@ class Settings:
 
 
 def filled(cells: DataFrame) -> DataFrame:
-    """The cells that aren't blank, with shown (text), norm (normalised) and data (looks like data)."""
+    """The cells that aren't blank, as they are; with_text() has what they show."""
+    blank = r"(?U)[^\s" + text.WIDE_SPACES + text.NO_WIDTH + "]"
+    shows = F.when(F.col("s").isNotNull(), F.col("s").rlike(blank)).otherwise(F.col("n").isNotNull() | F.col("d").isNotNull())
+    return cells.where(shows | F.col("kind").isin("b", "t"))
+
+
+def with_text(cells: DataFrame) -> DataFrame:
+    """cells with shown (text), norm (normalised) and data (looks like data)."""
     shown = F.coalesce(text.clean_spaces(F.col("s")), F.when(F.col("n").isNotNull(), text.identifier_of_number(F.col("n"))), F.col("d").cast("string"))
-    data = F.col("kind").isin("n", "d", "t") | ((F.col("kind") == "s") & (shown.rlike(NUMBER_TEXT) | shown.rlike(DATE_TEXT)))
-    return cells.withColumn("shown", shown).where((F.col("shown") != "") | F.col("kind").isin("b", "t")).withColumns({"norm": text.normalize_header(F.col("shown")), "data": F.coalesce(data, F.lit(False))})
+    data = F.col("kind").isin("n", "d", "t") | ((F.col("kind") == "s") & (F.col("shown").rlike(NUMBER_TEXT) | F.col("shown").rlike(DATE_TEXT)))
+    # What a number or a date shows holds no other marks than these.
+    plain = F.trim(F.lower(F.translate("shown", "+-.", "   ")))
+    norm = F.when(F.col("s").isNotNull(), text.normalize_header(F.col("shown"))).otherwise(F.coalesce(plain, F.lit("")))
+    return cells.withColumn("shown", shown).withColumns({"norm": norm, "data": F.coalesce(data, F.lit(False))})
+
+
+def of_file(table: DataFrame) -> DataFrame:
+    """A table with rows for each file, to be joined by a shuffle: it grows with the input, and its Parquet files
+    are so much smaller than its rows that Spark would send it whole through the driver."""
+    return table.hint("merge")
 
 
 def header_candidates(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """file_id, row, score, end of the rows that can be headers; end: the last row of the header, two where
     the row repeats labels or has gaps that the next one fills, and the next one isn't data.
 
-    A sheet's first rows (header_search_rows and a few below) become one array of row records, and all
-    that concerns them is worked out within it. cells: of filled(); vocabulary: norm."""
-    words = vocabulary.select("norm").distinct().withColumn("known", F.lit(1))
-    top = cells.where(F.col("row") <= settings.header_search_rows + BELOW_ROWS).join(words, "norm", "left")
-    records = top.groupBy("file_id", "row").agg(
-        F.count("*").alias("n"), F.count_if("data").alias("data"), F.count("known").alias("vocab"), F.size(F.collect_set("norm")).alias("unique"),
-        F.count_if(F.size(F.split("norm", " ")) > WORDY).alias("wordy"), F.collect_list("col").alias("cols"), F.collect_list(F.when(F.col("data"), F.col("col"))).alias("data_cols"),
-    )
-    sheets = records.groupBy("file_id").agg(F.collect_list(F.struct(*records.columns[1:])).alias("rows"))
-    first = F.filter("rows", lambda r: r["row"] <= settings.header_search_rows)
-    heads = sheets.select("file_id", "rows", F.array_max(F.transform(first, lambda r: r["n"])).alias("width"), F.explode(F.filter(first, lambda r: r["n"] >= 2)).alias("h"))
-    h, shared = F.col("h"), lambda cols: F.size(F.array_intersect(cols, F.col("h.cols"))).cast("double")
-    near = F.filter("rows", lambda r: (r["row"] > F.col("h.row")) & (r["row"] <= F.col("h.row") + BELOW_ROWS))
-    hits = F.filter(F.transform(near, lambda r: F.struct(shared(r["cols"]).alias("all"), shared(r["data_cols"]).alias("data"))), lambda x: x["all"] > 0)
-    mean = lambda part: F.aggregate("hits", F.lit(0.0), lambda s, x: s + x[part]) / F.size("hits")
-    lower = F.get(F.filter("rows", lambda r: r["row"] == F.col("h.row") + 1), F.lit(0))
-    scored = heads.withColumns({"hits": hits, "lower": lower}).where(F.size("hits") > 0)
-    n = h["n"]
-    share = {"vocab": h["vocab"] / n, "label": 1 - h["data"] / n, "unique": h["unique"] / n, "width": n / F.col("width"), "below_fill": mean("all") / n, "below_data": mean("data") / n, "wordy": h["wordy"] / n}
+    One window over a sheet's first rows (header_search_rows and a few below) puts the next ones beside
+    each; columns that two rows share are counted by bits. cells: of filled(), or their row records; vocabulary: norm, a table that fits in memory."""
+    top = sheet_rows(cells).where(F.col("row") <= settings.header_search_rows + BELOW_ROWS)
+    words = F.broadcast(vocabulary.select("norm").distinct())
+    known = top.select("file_id", "row", F.explode("held.norm").alias("norm")).join(words, "norm").groupBy("file_id").agg(F.collect_list("row").alias("known"))
+    order = W.partitionBy("file_id").orderBy("row")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    record = F.struct("row", "filled", "data", "cols", "mask", "data_mask", "beyond", "data_beyond")
+    own = top.select("file_id", record.alias("h"), "unique", "wordy")
+    placed = own.withColumn("row", F.col("h.row")).withColumns(
+        {"width": F.max(F.when(F.col("row") <= settings.header_search_rows, F.col("h.filled"))).over(every), "below": F.collect_list("h").over(order.rowsBetween(1, BELOW_ROWS)), "lower": F.lead("h").over(order)}
+    )
+    heads = placed.where((F.col("row") <= settings.header_search_rows) & (F.col("h.filled") >= 2))
+    h, n = F.col("h"), F.col("h.filled")
+
+    def shared(mask: Column, beyond: Column) -> Column:
+        wide = F.when((F.size(beyond) > 0) & (F.size(h["beyond"]) > 0), F.size(F.array_intersect(beyond, h["beyond"]))).otherwise(0)
+        return F.bit_count(mask.bitwiseAND(h["mask"])) + wide
+
+    def add(sums: Column, r: Column) -> Column:
+        every = F.when(r["row"] <= h["row"] + BELOW_ROWS, shared(r["mask"], r["beyond"])).otherwise(0)
+        data = F.when(every > 0, shared(r["data_mask"], r["data_beyond"])).otherwise(0)
+        return F.struct((sums["hits"] + (every > 0).cast("int")).alias("hits"), (sums["all"] + every).alias("all"), (sums["data"] + data).alias("data"))
+
+    none = F.struct(*(F.lit(0).alias(c) for c in ("hits", "all", "data")))
+    summed = heads.withColumn("sums", F.explode(F.filter(F.array(F.aggregate("below", none, add)), lambda x: x["hits"] > 0))).drop("below")  # an explode: a filter would work it out twice
+    scored = summed.join(of_file(known), "file_id", "left")
+    vocab = F.coalesce(F.size(F.filter("known", lambda r: r == F.col("row"))), F.lit(0))
+    mean = lambda part: F.col(f"sums.{part}") / F.col("sums.hits")
+    share = {"vocab": vocab / n, "label": 1 - h["data"] / n, "unique": F.col("unique") / n, "width": n / F.col("width"), "below_fill": mean("all") / n, "below_data": mean("data") / n, "wordy": F.col("wordy") / n}
     score = sum((F.lit(w) * share[k] for k, w in WEIGHTS.items()), F.lit(0.0))
-    incomplete = (n > h["unique"]) | (F.size(F.array_except(F.col("lower.cols"), h["cols"])) > 0)
-    two = F.coalesce(incomplete & (F.col("lower.data") / F.col("lower.n") < SECOND_DATA), F.lit(False))
-    return scored.select("file_id", h["row"].alias("row"), score.alias("score"), (h["row"] + two.cast("int")).alias("end"))
+    lower = F.col("lower")
+    incomplete = (n > F.col("unique")) | (F.size(F.array_except(lower["cols"], h["cols"])) > 0)
+    two = (lower["row"] == F.col("row") + 1) & incomplete & (lower["data"] / lower["filled"] < SECOND_DATA)
+    return scored.select("file_id", "row", score.alias("score"), (F.col("row") + F.coalesce(two, F.lit(False)).cast("int")).alias("end"))
 
 
 def header_scores(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -80,8 +111,8 @@ def headers(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settin
 
 def header_labels(cells: DataFrame, found: DataFrame) -> DataFrame:
     """file_id, col, header, parts, normalized, leaf: parts from top to bottom, equal neighbours once."""
-    rows = cells.join(found, "file_id").where(F.col("row").between(F.col("header_row"), F.col("header_end")))
-    parts = rows.groupBy("file_id", "col").agg(F.sort_array(F.collect_list(F.struct("row", "shown", "norm"))).alias("p"))  # two at most
+    rows = sheet_rows(cells).select("file_id", "row", "held").join(of_file(found), "file_id").where(F.col("row").between(F.col("header_row"), F.col("header_end")))
+    parts = with_text(cells_of(rows)).groupBy("file_id", "col").agg(F.sort_array(F.collect_list(F.struct("row", "shown", "norm"))).alias("p"))  # two at most
     once = F.filter("p", lambda x, k: (k == 0) | (x["norm"] != F.get(F.col("p"), k - 1)["norm"]))
     named = parts.select("file_id", "col", F.transform(once, lambda x: x["shown"]).alias("parts"))
     header = F.array_join("parts", " ")
@@ -93,20 +124,39 @@ def is_terminator(norm: Column, settings: Settings) -> Column:
 
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
-    """file_id, row, filled, first_col, lead (norm of the first filled cell), cols: one record for each
-    row that isn't blank. What follows reads these, which are far fewer than cells; row records given
-    here are returned as they are. cells: of filled()."""
+    """One record for each row that isn't blank: file_id, row, filled, first_col, lead (norm of the first
+    filled cell), cols, mask and beyond (cols up to MASKED as bits, and the others), data (cells that look
+    like data), data_mask and data_beyond (their columns), unique (different norms), wordy (cells of many
+    words) and held (its cells by column). What follows reads these, which are far fewer than cells; row
+    records given here are returned as they are. cells: of filled()."""
     if "lead" in cells.columns:
         return cells
-    own = cells.groupBy("file_id", "row").agg(F.count("*").cast("int").alias("filled"), F.min(F.struct("col", "norm")).alias("first"), F.sort_array(F.collect_list("col")).alias("cols"))
-    return own.select("file_id", "row", "filled", F.col("first.col").alias("first_col"), F.col("first.norm").alias("lead"), "cols")
+    told = with_text(cells.select("file_id", "row", "col", "kind", "s", "n", "d"))
+    spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
+    bit = F.when(F.col("col") <= MASKED, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("col") - 1)).otherwise(0)
+    bits = lambda c: F.coalesce(F.bit_or(c), F.lit(0).cast("long"))
+    own = told.groupBy("file_id", "row").agg(
+        F.sort_array(F.collect_list(F.struct("col", "norm", F.when(F.col("data"), F.col("col")).alias("data_col"), "kind", "s", "n", "d"))).alias("held"), F.count_if("data").cast("int").alias("data"), F.count_if(spaces >= WORDY).cast("int").alias("wordy"),
+        bits(bit).alias("mask"), bits(F.when(F.col("data"), bit)).alias("data_mask"),
+    )
+    first, last = F.col("held")[0], F.element_at("held", -1)
+    beyond = lambda c: F.when(last["col"] > MASKED, F.filter(c, lambda k: k > MASKED)).otherwise(F.array().cast("array<int>"))
+    return own.select(
+        "file_id", "row", F.size("held").alias("filled"), first["col"].alias("first_col"), first["norm"].alias("lead"), F.col("held.col").alias("cols"), "mask", beyond("held.col").alias("beyond"),
+        "data", "data_mask", beyond("held.data_col").alias("data_beyond"), F.size(F.array_distinct("held.norm")).alias("unique"), "wordy", "held",
+    )
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """The cells of row records: file_id, row, col, kind, s, n, d."""
+    return rows.select("file_id", "row", F.explode("held").alias("c")).select("file_id", "row", "c.col", "c.kind", "c.s", "c.n", "c.d")
 
 
 def body_rows(cells: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows below the header with before (the last row above that isn't blank), ended (at or beyond
     the end of the table) and stop_at (where the table ends, on the rows that end it): one window over
     the rows of a sheet. A line ends it by its first filled cell, if that is one of the first three columns."""
-    rows = sheet_rows(cells).join(found.select("file_id", "header_end"), "file_id").where("row > header_end")
+    rows = sheet_rows(cells).drop("held").join(of_file(found.select("file_id", "header_end")), "file_id").where("row > header_end")
     order = W.partitionBy("file_id").orderBy("row")
     placed = rows.withColumn("before", F.coalesce(F.lag("row").over(order), F.col("header_end")))
     stop = is_terminator(F.col("lead"), settings) & (F.col("first_col") <= LEAD_COLUMNS)
@@ -130,18 +180,18 @@ def extents(cells: DataFrame, found: DataFrame, settings: Settings = Settings())
     size = F.col("last") - F.col("header_end")
     sized = ends.where("last is not null").select("file_id", "header_end", "cut", size.alias("size"), F.greatest(F.lit(2.0), SPARSE * F.col("cells") / size).alias("least"))
     columns = kept.select("file_id", F.explode("cols").alias("col")).groupBy("file_id", "col").agg(F.count("*").alias("n"))
-    anchored = columns.join(sized, "file_id").where(F.col("n") >= ANCHOR * F.col("size")).groupBy("file_id").agg(F.sort_array(F.collect_list("col")).alias("anchors"))  # a sheet's columns are few
-    known = sized.join(anchored, "file_id", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<int>")))
+    anchored = columns.join(of_file(sized), "file_id").where(F.col("n") >= ANCHOR * F.col("size")).groupBy("file_id").agg(F.sort_array(F.collect_list("col")).alias("anchors"))  # a sheet's columns are few
+    known = sized.join(of_file(anchored), "file_id", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<int>")))
     whole, dense = complete(F.col("anchors"), F.col("least"))
-    last = kept.drop("header_end").join(known, "file_id").where(whole & dense).groupBy("file_id").agg(F.max("row").alias("data_end"))
-    return known.join(last, "file_id").select("file_id", (F.col("header_end") + 1).alias("data_start"), "data_end", "cut", "anchors", "least")
+    last = kept.drop("header_end").join(of_file(known), "file_id").where(whole & dense).groupBy("file_id").agg(F.max("row").alias("data_end"))
+    return known.join(of_file(last), "file_id").select("file_id", (F.col("header_end") + 1).alias("data_start"), "data_end", "cut", "anchors", "least")
 
 
 def dropped_rows(cells: DataFrame, found: DataFrame, extent: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """file_id, row, reason of the rows outside the table, and blank ones within. A sheet with a header
     and no record beneath has all its rows below reported."""
-    rows = sheet_rows(cells)
-    placed = rows.join(found.select("file_id", "header_row", "header_end"), "file_id").join(extent.select("file_id", "data_end", "cut", "anchors"), "file_id", "left")
+    rows = sheet_rows(cells).drop("held")
+    placed = rows.join(of_file(found.select("file_id", "header_row", "header_end")), "file_id").join(of_file(extent.select("file_id", "data_end", "cut", "anchors")), "file_id", "left")
     lacks = F.size(F.array_except("anchors", "cols")) > 0
     reason = (
         F.when(F.col("row") < F.col("header_row"), "above the header row")
@@ -151,17 +201,17 @@ def dropped_rows(cells: DataFrame, found: DataFrame, extent: DataFrame, settings
         .when(F.col("cut").isNull() & (F.col("row") > F.col("header_end")), "no record beneath the header")
     )
     outside = placed.select("file_id", "row", reason.alias("reason")).where("reason is not null")
-    gaps = body_rows(rows, found, settings).join(extent.select("file_id", "data_end"), "file_id").where("row <= data_end and row - before > 1")
+    gaps = body_rows(rows, found, settings).join(of_file(extent.select("file_id", "data_end")), "file_id").where("row <= data_end and row - before > 1")
     blank = gaps.select("file_id", F.explode(F.sequence(F.col("before") + 1, F.col("row") - 1)).alias("row"), F.lit(BLANK).alias("reason"))
     return outside.unionByName(blank)
 
 
 def filled_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame) -> DataFrame:
     """labels and every column that the block fills, with fill: its share of the block's rows."""
-    rows = sheet_rows(cells).join(extent.select("file_id", "data_start", "data_end"), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end")))
+    rows = sheet_rows(cells).select("file_id", "row", "cols").join(of_file(extent.select("file_id", "data_start", "data_end")), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end")))
     fill = rows.select("file_id", F.explode("cols").alias("col"), (F.col("data_end") - F.col("data_start") + 1).alias("rows")).groupBy("file_id", "col").agg((F.count("*") / F.first("rows")).alias("fill"))
-    own = labels.join(extent.select("file_id"), "file_id", "left_semi")  # a sheet without a block has no columns to judge
-    return fill.join(own, ["file_id", "col"], "full")
+    own = labels.join(of_file(extent.select("file_id")), "file_id", "left_semi")  # a sheet without a block has no columns to judge
+    return fill.join(of_file(own), ["file_id", "col"], "full")
 
 
 def selected_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -188,15 +238,17 @@ def uncached_columns(cells: DataFrame, found: DataFrame, labels: DataFrame) -> D
 
 def notes(files: DataFrame, cells: DataFrame, found: DataFrame, extent: DataFrame) -> DataFrame:
     """file_id, note of the sheets that give no table, and why. files: file_id of all sheets that were read."""
-    seen = lambda t, name: t.select("file_id").distinct().withColumn(name, F.lit(True))
+    seen = lambda t, name: t.select("file_id").distinct().withColumn(name, F.lit(True)).hint("merge")
     joined = files.select("file_id").distinct().join(seen(cells, "any"), "file_id", "left").join(seen(found, "head"), "file_id", "left").join(seen(extent, "body"), "file_id", "left")
     note = F.when(F.col("any").isNull(), "sheet is empty").when(F.col("head").isNull(), "no plausible header row found").when(F.col("body").isNull(), "header found but no data rows beneath it")
     return joined.select("file_id", note.alias("note")).where("note is not null")
 
 
 def block(cells: DataFrame, extent: DataFrame) -> DataFrame:
-    """The cells of the data rows."""
-    return cells.join(extent.select("file_id", "data_start", "data_end"), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).drop("data_start", "data_end")
+    """The cells of the data rows. cells: of filled(), or their row records."""
+    own = cells.select("file_id", "row", "held") if "lead" in cells.columns else cells
+    inside = own.join(of_file(extent.select("file_id", "data_start", "data_end")), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).drop("data_start", "data_end")
+    return cells_of(inside) if "lead" in cells.columns else inside
 
 
 def choose_sheets(cells: DataFrame, preference: DataFrame | None = None, rows: int = 200) -> DataFrame:

@@ -379,18 +379,20 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("f")
     o = o.withColumns({"i": F.row_number().over(w.orderBy("o_orderkey")).cast("int"), "k": F.count("*").over(w).cast("int"), "off": (F.col("f") % 3).cast("int")})
 
-    def cell(row, col, kind, s=None, n=None, d=None):
-        none = lambda x, t: F.lit(None).cast(t) if x is None else x.cast(t)
-        return F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), F.lit(kind).alias("kind"), none(s, "string").alias("s"), none(n, "double").alias("n"), none(d, "date").alias("d"))
-
-    at = F.col("off") + F.col("i") + 3
-    body = [cell(at, 1, "s", F.concat(F.lit("C-"), "o_orderkey")), cell(at, 2, "d", d=F.col("o_orderdate")), cell(at, 3, "n", n=F.col("o_totalprice")), cell(at, 4, "n", n=F.lit(5.0)), cell(at, 5, "n", n=F.col("o_totalprice") + 5)]
-    heads = [cell(F.col("off") + 3, c, "s", F.lit(h)) for c, h in enumerate(HEADERS, 1)]
-    title = [cell(F.col("off") + 1, 1, "s", F.lit("Etat des ventes du mois pour la banque"))]
-    end = F.col("off") + F.col("k")
-    rest = [cell(end + 4, 1, "s", F.lit("TOTAL")), cell(end + 4, 5, "n", n=F.lit(1e6)), cell(end + 7, 8, "n", n=F.lit(7.0))]
-    once = F.when(F.col("i") == 1, F.array(*title, *heads, *rest)).otherwise(F.array().cast("array<struct<row:int,col:int,kind:string,s:string,n:double,d:date>>"))
-    return o.select(F.col("f").alias("file_id"), F.lit("Ventes").alias("sheet"), F.explode(F.concat(once, F.array(*body))).alias("c")).select("file_id", "sheet", "c.*")
+    # Cells of an order are numbered from 1; its sheet's own (headers, title, total line, stray number) follow on its first order.
+    numbered = o.withColumn("c", F.explode(F.sequence(F.lit(1), F.when(F.col("i") == 1, 5 + len(HEADERS) + 4).otherwise(5))))
+    c, heads = F.col("c"), len(HEADERS)
+    title, total, amount, stray = (c == 5 + heads + k for k in (1, 2, 3, 4))
+    head, end = c.between(6, 5 + heads), F.col("off") + F.col("k")
+    return numbered.select(
+        F.col("f").alias("file_id"), F.lit("Ventes").alias("sheet"),
+        F.when(c <= 5, F.col("off") + F.col("i") + 3).when(head, F.col("off") + 3).when(title, F.col("off") + 1).when(stray, end + 7).otherwise(end + 4).alias("row"),
+        F.when(c <= 5, c).when(head, c - 5).when(amount, 5).when(stray, 8).otherwise(1).alias("col"),
+        F.when((c == 1) | head | title | total, "s").when(c == 2, "d").otherwise("n").alias("kind"),
+        F.when(c == 1, F.concat(F.lit("C-"), "o_orderkey")).when(head, F.get(F.array(*map(F.lit, HEADERS)), c - 6)).when(title, "Etat des ventes du mois pour la banque").when(total, "TOTAL").alias("s"),
+        F.when(c == 3, F.col("o_totalprice")).when(c == 4, 5.0).when(c == 5, F.col("o_totalprice") + 5).when(amount, 1e6).when(stray, 7.0).alias("n"),
+        F.when(c == 2, F.col("o_orderdate").cast("date")).alias("d"),
+    )
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
@@ -399,16 +401,15 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(filled cells, headers), written: each of the steps behind reads both several times."""
-    cells = tables.written(detect.filled(grid(spark, sf_dir)), "cells")
-    return cells, tables.written(detect.headers(cells, vocabulary(spark)), "headers")
+    """(row records with their cells, headers), written: each of the steps behind reads both several times."""
+    rows = tables.written(detect.sheet_rows(detect.filled(grid(spark, sf_dir))), "rows")
+    return rows, tables.written(detect.headers(rows, vocabulary(spark)), "headers")
 
 
-def sheet_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(filled cells, row records, headers, extents), all written."""
-    cells, found = sheets(spark, sf_dir)
-    rows = tables.written(detect.sheet_rows(cells), "rows")
-    return cells, rows, found, tables.written(detect.extents(rows, found), "extents")
+def sheet_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row records with their cells, headers, extents), all written."""
+    rows, found = sheets(spark, sf_dir)
+    return rows, found, tables.written(detect.extents(rows, found), "extents")
 
 
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 3 AS INTEGER) AS header_row, CAST(f % 3 + 3 AS INTEGER) AS header_end FROM o GROUP BY f")
@@ -418,7 +419,7 @@ def header_row_score(spark, sf_dir):
 
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 4 AS INTEGER) AS data_start, CAST(f % 3 + 3 + max(k) AS INTEGER) AS data_end FROM o GROUP BY f")
 def table_extent(spark, sf_dir):
-    return sheet_tables(spark, sf_dir)[3].select("file_id", "data_start", "data_end")
+    return sheet_tables(spark, sf_dir)[2].select("file_id", "data_start", "data_end")
 
 
 @query(
@@ -428,7 +429,7 @@ def table_extent(spark, sf_dir):
         UNION ALL SELECT f, CAST(f % 3 + k + 7 AS INTEGER), 'beyond the end of the table' FROM h"""
 )
 def dropped_rows(spark, sf_dir):
-    _, rows, found, extent = sheet_tables(spark, sf_dir)
+    rows, found, extent = sheet_tables(spark, sf_dir)
     return detect.dropped_rows(rows, found, extent)
 
 
@@ -437,8 +438,8 @@ def dropped_rows(spark, sf_dir):
        FROM (SELECT DISTINCT o_custkey FROM orders)"""
 )
 def column_selection(spark, sf_dir):
-    cells, rows, found, extent = sheet_tables(spark, sf_dir)
-    kept = detect.selected_columns(rows, detect.header_labels(cells, found), extent)
+    rows, found, extent = sheet_tables(spark, sf_dir)
+    kept = detect.selected_columns(rows, detect.header_labels(rows, found), extent)
     return kept.select("file_id", "col", "normalized", "fill")
 
 
@@ -447,9 +448,9 @@ def column_selection(spark, sf_dir):
        FROM orders GROUP BY ALL"""
 )
 def column_profile(spark, sf_dir):
-    cells, _, _, extent = sheet_tables(spark, sf_dir)
+    sheet, _, extent = sheet_tables(spark, sf_dir)
     rows = extent.select("file_id", (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("rows"))
-    data = detect.block(cells, extent).where("col = 3").withColumns({"shown": F.col("n").cast("string"), "number": F.col("n"), "date": F.col("d")})
+    data = detect.block(sheet, extent).where("col = 3").withColumns({"shown": F.col("n").cast("string"), "number": F.col("n"), "date": F.col("d")})
     return resolve.profiles(data, rows).select("file_id", "total", "non_blank", "numeric_ratio", "unique_ratio", "min_value", "max_value")
 
 

@@ -224,8 +224,8 @@ def date_likeness(spark, sf_dir):
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, count(*) AS kept, CAST(0 AS BIGINT) AS dropped, count(*) AS due FROM o GROUP BY f")
 def rows_conserved(spark, sf_dir):
     """Of every sheet: rows kept, dropped within the table, and what they must add up to."""
-    cells, rows, found, extent = sheet_tables(spark, sf_dir)
-    return audit.conserved(detect.block(cells, extent), detect.dropped_rows(rows, found, extent), extent)
+    rows, found, extent = sheet_tables(spark, sf_dir)
+    return audit.conserved(detect.block(rows, extent), detect.dropped_rows(rows, found, extent), extent)
 
 
 #: Sheets with f % 4 = 0 have no total premium, those with f % 5 = 0 spell the net premium otherwise.

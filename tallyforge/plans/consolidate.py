@@ -155,13 +155,12 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
     and all its rows below the header as dropped ones; an empty table of cells gives empty results.
     """
     words = words if isinstance(words, Words) else Words(words)
-    held = written(detect.filled(cells), "cells")
-    lines = written(detect.sheet_rows(held), "rows")
-    found = written(detect.headers(held, vocabulary(words), settings), "headers")
+    lines = written(detect.sheet_rows(detect.filled(cells)), "rows")
+    found = written(detect.headers(lines, vocabulary(words), settings), "headers")
     extent, spans = tables.observed(detect.extents(lines, found, settings), "extents", lines=F.coalesce(F.sum(F.col("data_end") - F.col("data_start") + 1), F.lit(0)))
-    labels = detect.header_labels(held, found)
+    labels = detect.header_labels(lines, found)
     columns = detect.selected_columns(lines, labels, extent, settings)
-    block = detect.block(held, extent)
+    block = detect.with_text(detect.block(lines, extent))
     told = judged(mapped(columns, files, words), block, extent, words.expected)
     mappings, named = tables.observed(told, "mappings", columns=F.count("*"), to_review=F.count_if(audit.for_review()))
     dropped, left = tables.observed(detect.dropped_rows(lines, found, extent, settings), "dropped", blank=F.count_if(F.col("reason") == detect.BLANK))
@@ -174,7 +173,7 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
         rows = facts.fill(rows, name, ways)
     own = rows.join(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet")), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
     full = products.with_provenance(products.with_constants(own, files), [f for f, _ in fields], ingested_at)
-    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left, files, extent.join(found.select("file_id", "header_row"), "file_id"), held, typed)
+    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left, files, extent.join(found.select("file_id", "header_row"), "file_id"), detect.with_text(detect.cells_of(lines)), typed)
 
 
 def vocabulary(words: Words) -> DataFrame:

@@ -245,6 +245,44 @@ def test_ends_of_tables(spark):
     assert {r.row: r.reason for r in detect.dropped_rows(cells, found, extent).collect()} == {8: "blank row inside table", 10: "too sparse to be a record"}  # with the blank row no column fills nine tenths
 
 
+def test_wide_header_rows_share_columns(spark):
+    """Columns beyond those of a row's mask count: the header over 70 columns, not the line over the first few."""
+    lines = [["Note", "x"] + [None] * 68, [f"Titre {k}" for k in range(70)], *[[None] * 60 + [float(k)] * 10 for k in range(4)]]
+    cells = sheet(spark, lines)
+    got = {r.row: r.score for r in detect.header_scores(cells, spark.createDataFrame([("titre 3",)], "norm string")).collect()}
+    rows = detect.sheet_rows(cells).where("row = 2").first()
+    assert (len(rows.beyond), rows.data, rows.unique, rows.data_beyond) == (8, 0, 70, [])
+    # vocabulary 1 of 70, no data, all different, full width, 10 of 70 below, all of them data
+    assert got[2] == pytest.approx(3 / 70 + 1.2 + 0.8 + 1 + 1.5 * 10 / 70 + 10 / 70)
+    assert got[1] == pytest.approx(1.2 + 0.8 + 2 / 70 + 1.5)
+
+
+def test_tables_of_files_are_never_broadcast(spark):
+    """Joins of a run by file are shuffled whatever Spark thinks of the sizes: what it would broadcast grows with the files."""
+    cells, found, extent = found_in(spark, [["Contrat", "Prime"], *[[f"C{k}", float(k)] for k in range(5)]])
+    rows = tables.written(detect.sheet_rows(cells), "rows")
+    labels = detect.header_labels(rows, found)
+    for t in (detect.extents(rows, found), labels, detect.selected_columns(rows, labels, extent), detect.dropped_rows(rows, found, extent), detect.block(rows, extent)):
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_headers_normalise_as_step_by_step(spark):
+    """One pass over a text equals cleaning, folding and replacing one after the other."""
+    import random
+
+    rng = random.Random(4)
+    marks = " \t\n\u00a0\u202f\u2009\u200b\ufeff_-./'°éÀßÆaZ09İ€\u0301"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 9))) for _ in range(800)]
+    bare = F.regexp_replace(F.lower(text.strip_accents(text.clean_spaces(F.col("s")))), r"(?U)[^\w\s]|_", " ")
+    due = F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    wrong = spark.createDataFrame([(t,) for t in texts], "s string").where(text.normalize_header(F.col("s")) != due)
+    assert wrong.count() == 0
+    values = [0.0, -5.5, 1e300, 1.5e-7, 12345678.0, float("nan"), float("-inf")]
+    told = detect.with_text(spark.createDataFrame([(v,) for v in values], "n double").selectExpr("'n' kind", "cast(null as string) s", "n", "cast(null as date) d"))
+    assert told.where(F.col("norm") != text.normalize_header(F.col("shown"))).count() == 0 and told.where("shown is null").count() == 0
+
+
 def test_sheets_without_tables(spark):
     cells, found, extent = found_in(spark, [["Contrat", "Prime"], ["Total", 3]])
     assert extent.count() == 0 and {r.row: r.reason for r in detect.dropped_rows(cells, found, extent).collect()} == {2: "no record beneath the header"}
