@@ -55,8 +55,8 @@ def conserved(kept: DataFrame, dropped: DataFrame, extent: DataFrame) -> DataFra
     """file_id, kept, dropped, due: rows of each table's extent that are kept or dropped, which must add up to due.
 
     kept, dropped: file_id, row; extent: file_id, data_start, data_end."""
-    inside = lambda rows, name: rows.select("file_id", "row").distinct().join(extent, "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).groupBy("file_id").agg(F.count("*").alias(name))
-    both = extent.join(inside(kept, "kept"), "file_id", "left").join(inside(dropped, "dropped"), "file_id", "left")
+    inside = lambda rows, name: rows.select("file_id", "row").distinct().join(extent.hint("merge"), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).groupBy("file_id").agg(F.count("*").alias(name))
+    both = extent.join(inside(kept, "kept").hint("merge"), "file_id", "left").join(inside(dropped, "dropped").hint("merge"), "file_id", "left")
     return both.select("file_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"), (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("due"))
 
 

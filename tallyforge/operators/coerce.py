@@ -29,7 +29,7 @@ def typed(cells: DataFrame) -> DataFrame:
     """cells with text_value, number_value and date_value by their field's type. cells: file_id, row, field, type, kind, s, n, d."""
     # A column for each step: an expression named several times would be written out as often in the generated code.
     kind, text_kind = F.col("type"), F.col("kind") == "s"
-    decided = cells.join(votes(cells), ["file_id", "field"]).withColumns({"_clean": text.clean_spaces(F.col("s")), "_amount": kind.isin("money", "percent", "integer") & (F.col("kind") != "b")})
+    decided = cells.join(votes(cells).hint("merge"), ["file_id", "field"]).withColumns({"_clean": text.clean_spaces(F.col("s")), "_amount": kind.isin("money", "percent", "integer") & (F.col("kind") != "b")})
     read = numbers.number_column(decided, "_read", "_clean", "separator").withColumn("_number", F.when(F.col("_amount"), F.coalesce("n", "_read")))
     scaled = read.withColumn("_scaled", F.when((kind == "percent") & F.col("percent"), F.col("_number") / 100).otherwise(F.col("_number")))
     whole = F.when(kind == "integer", numbers.to_integer(F.col("_scaled")).cast("double")).otherwise(F.col("_scaled"))

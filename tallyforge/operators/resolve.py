@@ -27,7 +27,7 @@ def exact(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     held = F.when(F.col("tier") == "product", F.col("scope") == F.col("produit")).when(F.col("tier") == "bank", F.col("scope") == F.col("bank")).otherwise(F.col("scope").isNull())
     hits = keys.join(table, "alias").where(held).unionByName(keys.withColumn("alias", squeezed(F.col("alias"))).join(loose, "alias").where(held))
     best = hits.groupBy("file_id", "col").agg(F.min_by(F.struct("canonical", "tier"), F.struct("part", "rank", "canonical")).alias("m"))
-    return headers.join(best, ["file_id", "col"], "left").select(*headers.columns, F.col("m.canonical").alias("canonical"), F.col("m.tier").alias("method"), F.when(F.col("m").isNotNull(), 1.0).alias("confidence"))
+    return headers.join(best.hint("merge"), ["file_id", "col"], "left").select(*headers.columns, F.col("m.canonical").alias("canonical"), F.col("m.tier").alias("method"), F.when(F.col("m").isNotNull(), 1.0).alias("confidence"))
 
 
 def near_pairs(names: DataFrame, aliases: DataFrame, floor: float = SUGGEST) -> DataFrame:
@@ -95,7 +95,7 @@ def profiles(cells: DataFrame, total: DataFrame) -> DataFrame:
         F.min("number").alias("min_value"), F.max("number").alias("max_value"), F.avg(F.length("shown")).alias("mean_length"),
     )
     share = lambda c: F.col(c) / F.col("non_blank")
-    return got.join(total, "file_id").select("file_id", "col", F.col("rows").alias("total"), "non_blank", share("numbers").alias("numeric_ratio"), share("dates").alias("date_ratio"), share("distinct").alias("unique_ratio"), "min_value", "max_value", "mean_length")
+    return got.join(total.hint("merge"), "file_id").select("file_id", "col", F.col("rows").alias("total"), "non_blank", share("numbers").alias("numeric_ratio"), share("dates").alias("date_ratio"), share("distinct").alias("unique_ratio"), "min_value", "max_value", "mean_length")
 
 
 def content_warnings(profile: DataFrame, expected: DataFrame) -> DataFrame:

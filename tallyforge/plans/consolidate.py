@@ -102,11 +102,11 @@ def mapped(labels: DataFrame, files: DataFrame, words: Words) -> DataFrame:
     somebody chose; of the columns that claim a field one wins.
 
     files: file_id, produit, bank, source_format. A file without an entry meets the aliases that hold for all."""
-    heads = labels.select("file_id", "col", "header", "normalized", "leaf").join(files.select("file_id", "produit", "bank", "source_format"), "file_id", "left")
+    heads = labels.select("file_id", "col", "header", "normalized", "leaf").join(detect.of_file(files.select("file_id", "produit", "bank", "source_format")), "file_id", "left")
     known = resolve.exact(heads.where("source_format is null") if words.dictionaries is not None else heads, words.aliases)
     general = words.aliases.where(F.col("scope").isNull())
     near = resolve.fuzzy(known.where("canonical is null").select("file_id", "col", "normalized"), general).select("file_id", "col", F.col("canonical").alias("_near"), "score", "suggestions")
-    both = known.join(near, ["file_id", "col"], "left")
+    both = known.join(detect.of_file(near), ["file_id", "col"], "left")
     found = both.select(
         "file_id", "col", "header", "normalized", F.coalesce("canonical", "_near").alias("canonical"),
         F.coalesce("method", F.when(F.col("_near").isNotNull(), "fuzzy")).alias("method"), F.coalesce("confidence", F.when(F.col("_near").isNotNull(), F.col("score") / 100)).alias("confidence"),
@@ -130,9 +130,9 @@ def judged(mappings: DataFrame, block: DataFrame, extent: DataFrame, expected: D
         number = F.coalesce("n", numbers.to_number(F.col("s"), F.lit(",")))
         cells = block.select("file_id", "col", "shown", number.alias("number"), F.coalesce("d", dates.to_date(F.col("s"))).alias("date"))
         profile = resolve.profiles(cells, extent.select("file_id", (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("rows")))
-        named = profile.join(mappings.where("canonical is not null").select("file_id", "col", "canonical"), ["file_id", "col"])
+        named = profile.join(detect.of_file(mappings.where("canonical is not null").select("file_id", "col", "canonical")), ["file_id", "col"])
         told = resolve.content_warnings(named, expected).select("file_id", "col", "warnings")
-        held = mappings.join(told, ["file_id", "col"], "left")
+        held = mappings.join(detect.of_file(told), ["file_id", "col"], "left")
     return audit.losers(held)
 
 
@@ -166,14 +166,14 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
     dropped, left = tables.observed(detect.dropped_rows(lines, found, extent, settings), "dropped", blank=F.count_if(F.col("reason") == detect.BLANK))
     kinds = F.create_map(*(F.lit(x) for f in fields for x in f))
     chosen = mappings.where("won").select("file_id", "col", F.col("canonical").alias("field"), F.element_at(kinds, F.col("canonical")).alias("type")).where("type is not null")
-    values = block.join(chosen, ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d", "shown")
+    values = block.join(detect.of_file(chosen), ["file_id", "col"]).select("file_id", "row", "field", "type", "kind", "s", "n", "d", "shown")
     typed = coerce.typed(values)
     rows = records(typed, fields)
     for name, ways in rules.items():
         rows = facts.fill(rows, name, ways)
-    own = rows.join(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet")), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
-    full = products.with_provenance(products.with_constants(own, files), [f for f, _ in fields], ingested_at)
-    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left, files, extent.join(found.select("file_id", "header_row"), "file_id"), detect.with_text(detect.cells_of(lines)), typed)
+    own = rows.join(detect.of_file(files.select("file_id", F.col("path").alias("source_file"), F.col("sheet").alias("source_sheet"))), "file_id").withColumnRenamed("row", "source_row").drop("file_id")
+    full = products.with_provenance(products.with_constants(own, detect.of_file(files)), [f for f, _ in fields], ingested_at)
+    return Run(full, mappings, dropped, detect.dropped_columns(lines, labels, extent, settings), detect.notes(files, lines, found, extent), spans | named | left, files, extent.join(detect.of_file(found.select("file_id", "header_row")), "file_id"), detect.with_text(detect.cells_of(lines)), typed)
 
 
 def vocabulary(words: Words) -> DataFrame:
