@@ -57,6 +57,13 @@ def of_file(table: DataFrame) -> DataFrame:
     return table.hint("merge")
 
 
+def dealt(table: DataFrame, by: str = "file_id") -> DataFrame:
+    """table dealt by sheet over as many tasks as the session's shuffles have. Left to itself Spark goes by
+    bytes, of which sheets have few, and merges partitions until about one a core is left: the last ones then
+    run alone for as long as all before."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def header_candidates(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """file_id, row, score, end of the rows that can be headers; end: the last row of the header, two where
     the row repeats labels or has gaps that the next one fills, and the next one isn't data.
@@ -70,7 +77,7 @@ def header_candidates(cells: DataFrame, vocabulary: DataFrame, settings: Setting
     every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     record = F.struct("row", "filled", "data", "cols", "mask", "data_mask", "beyond", "data_beyond")
     own = top.select("file_id", record.alias("h"), "unique", "wordy")
-    placed = own.withColumn("row", F.col("h.row")).withColumns(
+    placed = dealt(own).withColumn("row", F.col("h.row")).withColumns(
         {"width": F.max(F.when(F.col("row") <= settings.header_search_rows, F.col("h.filled"))).over(every), "below": F.collect_list("h").over(order.rowsBetween(1, BELOW_ROWS)), "lower": F.lead("h").over(order)}
     )
     heads = placed.where((F.col("row") <= settings.header_search_rows) & (F.col("h.filled") >= 2))
@@ -156,7 +163,7 @@ def body_rows(cells: DataFrame, found: DataFrame, settings: Settings = Settings(
     """The rows below the header with before (the last row above that isn't blank), ended (at or beyond
     the end of the table) and stop_at (where the table ends, on the rows that end it): one window over
     the rows of a sheet. A line ends it by its first filled cell, if that is one of the first three columns."""
-    rows = sheet_rows(cells).drop("held").join(of_file(found.select("file_id", "header_end")), "file_id").where("row > header_end")
+    rows = dealt(sheet_rows(cells).select("file_id", "row", "filled", "first_col", "lead", "cols")).join(of_file(found.select("file_id", "header_end")), "file_id").where("row > header_end")
     order = W.partitionBy("file_id").orderBy("row")
     placed = rows.withColumn("before", F.coalesce(F.lag("row").over(order), F.col("header_end")))
     stop = is_terminator(F.col("lead"), settings) & (F.col("first_col") <= LEAD_COLUMNS)

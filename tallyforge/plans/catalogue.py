@@ -377,7 +377,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of one sheet for each customer with orders; sheets start 0 to 2 rows further down."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("f"), "o_orderkey", "o_totalprice", "o_orderdate")
     w = W.partitionBy("f")
-    o = o.withColumns({"i": F.row_number().over(w.orderBy("o_orderkey")).cast("int"), "k": F.count("*").over(w).cast("int"), "off": (F.col("f") % 3).cast("int")})
+    o = detect.dealt(o, "f").withColumns({"i": F.row_number().over(w.orderBy("o_orderkey")).cast("int"), "k": F.count("*").over(w).cast("int"), "off": (F.col("f") % 3).cast("int")})
 
     # Cells of an order are numbered from 1; its sheet's own (headers, title, total line, stray number) follow on its first order.
     numbered = o.withColumn("c", F.explode(F.sequence(F.lit(1), F.when(F.col("i") == 1, 5 + len(HEADERS) + 4).otherwise(5))))
