@@ -152,6 +152,18 @@ def test_image_copies(spark):
     assert media.find_copies(asked.limit(0), media.render(vectors)).count() == 0
 
 
+def test_popular_keys_keep_every_pair(spark):
+    """Features that share a popular quarter only, and no other, meet all the same: as a plain join by key gives them."""
+    rng = random.Random(8)
+    rows = [(k, 1.0, 2.0, 0, 3, (7 << 32) | rng.getrandbits(32), rng.getrandbits(63)) for k in range(150)]
+    near = [(1000 + k, x, y, s, t, d0 ^ 1, d1 ^ (1 << 40) ^ 1) for k, x, y, s, t, d0, d1 in rows]
+    index, asked = (media.tables(spark.createDataFrame(r, media.FEATURE)) for r in (rows, near))
+    pairs = lambda i, q, by: sorted(map(tuple, q.alias("q").join(i.alias("i"), by).where(media.apart("i", "q") <= media.DISTANCE).select("q.image", "i.image", "i.key").collect()))
+    plain = pairs(index, asked, ["key"])
+    assert len(plain) >= 150 and {(a - 1000, b) for a, b, _ in plain} >= {(k, k) for k in range(150)}
+    assert pairs(*media.spread(index, asked), ["key", "part"]) == plain
+
+
 def test_image_members(spark, tmp_path):
     rng = np.random.default_rng(5)
     vectors = [rng.normal(size=64).tolist() for _ in range(4)]
