@@ -71,7 +71,7 @@ def whole_word(text: Column, token: str) -> Column:
 
 def identifier_of_number(n: Column) -> Column:
     """Digits of an integral number, however large; others as they print; leading signs stay."""
-    return F.when(n == F.floor(n), n.cast("decimal(38,0)").cast("string")).otherwise(n.cast("string"))
+    return F.when((F.abs(n) < 1e15) & (n == F.floor(n)), n.cast("long").cast("string")).when(n == F.floor(n), n.cast("decimal(38,0)").cast("string")).otherwise(n.cast("string"))
 
 
 def identifier_of_text(c: Column) -> Column:

@@ -7,7 +7,7 @@ chosen. Every row that is left out is reported with its place and reason.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,61 +64,72 @@ def dealt(table: DataFrame, by: str = "file_id") -> DataFrame:
     return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
-def header_candidates(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """file_id, row, score, end of the rows that can be headers; end: the last row of the header, two where
-    the row repeats labels or has gaps that the next one fills, and the next one isn't data.
-
-    One window over a sheet's first rows (header_search_rows and a few below) puts the next ones beside
-    each; columns that two rows share are counted by bits. cells: of filled(), or their row records; vocabulary: norm, a table that fits in memory."""
-    top = sheet_rows(cells).where(F.col("row") <= settings.header_search_rows + BELOW_ROWS)
-    words = F.broadcast(vocabulary.select("norm").distinct())
-    known = top.select("file_id", "row", F.explode("held.norm").alias("norm")).join(words, "norm").groupBy("file_id").agg(F.collect_list("row").alias("known"))
-    order = W.partitionBy("file_id").orderBy("row")
-    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    record = F.struct("row", "filled", "data", "cols", "mask", "data_mask", "beyond", "data_beyond")
-    own = top.select("file_id", record.alias("h"), "unique", "wordy")
-    placed = dealt(own).withColumn("row", F.col("h.row")).withColumns(
-        {"width": F.max(F.when(F.col("row") <= settings.header_search_rows, F.col("h.filled"))).over(every), "below": F.collect_list("h").over(order.rowsBetween(1, BELOW_ROWS)), "lower": F.lead("h").over(order)}
-    )
-    heads = placed.where((F.col("row") <= settings.header_search_rows) & (F.col("h.filled") >= 2))
-    h, n = F.col("h"), F.col("h.filled")
-
-    def shared(mask: Column, beyond: Column) -> Column:
-        wide = F.when((F.size(beyond) > 0) & (F.size(h["beyond"]) > 0), F.size(F.array_intersect(beyond, h["beyond"]))).otherwise(0)
-        return F.bit_count(mask.bitwiseAND(h["mask"])) + wide
-
-    def add(sums: Column, r: Column) -> Column:
-        every = F.when(r["row"] <= h["row"] + BELOW_ROWS, shared(r["mask"], r["beyond"])).otherwise(0)
-        data = F.when(every > 0, shared(r["data_mask"], r["data_beyond"])).otherwise(0)
-        return F.struct((sums["hits"] + (every > 0).cast("int")).alias("hits"), (sums["all"] + every).alias("all"), (sums["data"] + data).alias("data"))
-
-    none = F.struct(*(F.lit(0).alias(c) for c in ("hits", "all", "data")))
-    summed = heads.withColumn("sums", F.explode(F.filter(F.array(F.aggregate("below", none, add)), lambda x: x["hits"] > 0))).drop("below")  # an explode: a filter would work it out twice
-    scored = summed.join(of_file(known), "file_id", "left")
-    vocab = F.coalesce(F.size(F.filter("known", lambda r: r == F.col("row"))), F.lit(0))
-    mean = lambda part: F.col(f"sums.{part}") / F.col("sums.hits")
-    share = {"vocab": vocab / n, "label": 1 - h["data"] / n, "unique": F.col("unique") / n, "width": n / F.col("width"), "below_fill": mean("all") / n, "below_data": mean("data") / n, "wordy": F.col("wordy") / n}
+def in_order() -> WindowSpec:
+    return W.partitionBy("file_id").orderBy("row")
+
+
+def whole_sheet() -> WindowSpec:
+    return in_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
+def scored(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Row records with before (the last row above that isn't blank) and, on the rows that can be headers,
+    score and end: the last row of the header, two where the row repeats labels or has gaps that the next
+    one fills, and the next one isn't data.
+
+    One window over a sheet's rows puts the next ones beside each; columns that two rows share are counted
+    by bits. Plain columns in place of an array of rows, since these are compiled."""
+    order, n, places = in_order(), F.col("filled"), range(1, BELOW_ROWS + 1)
+    near = F.struct("row", "mask", "data_mask", "beyond", "data_beyond")
+    width = F.max(F.when(F.col("row") <= settings.header_search_rows, n)).over(whole_sheet())
+    beside = {"before": F.lag("row").over(order), "width": width, "lower": F.lead(F.struct("row", "filled", "data", "cols")).over(order)} | {f"below_{k}": F.lead(near, k).over(order) for k in places}
+
+    def shared(k: int, mask: str, beyond: str) -> Column:
+        other = F.col(f"below_{k}.{beyond}")
+        wide = F.when((F.size(other) > 0) & (F.size("beyond") > 0), F.size(F.array_intersect(other, F.col("beyond")))).otherwise(0)
+        return F.bit_count(F.col(f"below_{k}.{mask}").bitwiseAND(F.col("mask"))) + wide
+
+    every = {f"every_{k}": F.when(F.col(f"below_{k}.row") <= F.col("row") + BELOW_ROWS, shared(k, "mask", "beyond")).otherwise(0) for k in places}
+    data = {f"data_{k}": F.when(F.col(f"every_{k}") > 0, shared(k, "data_mask", "data_beyond")).otherwise(0) for k in places}
+    total = lambda one: sum((one(k) for k in places), F.lit(0))
+    sums = {"hits": total(lambda k: (F.col(f"every_{k}") > 0).cast("int")), "all": total(lambda k: F.col(f"every_{k}")), "in_data": total(lambda k: F.col(f"data_{k}"))}
+    summed = sheet_rows(cells, vocabulary).withColumns(beside).withColumns(every).withColumns(data).withColumns(sums)
+    mean = lambda part: F.col(part) / F.col("hits")
+    share = {"vocab": F.col("vocab") / n, "label": 1 - F.col("data") / n, "unique": F.col("unique") / n, "width": n / F.col("width"), "below_fill": mean("all") / n, "below_data": mean("in_data") / n, "wordy": F.col("wordy") / n}
     score = sum((F.lit(w) * share[k] for k, w in WEIGHTS.items()), F.lit(0.0))
     lower = F.col("lower")
-    incomplete = (n > F.col("unique")) | (F.size(F.array_except(lower["cols"], h["cols"])) > 0)
-    two = (lower["row"] == F.col("row") + 1) & incomplete & (lower["data"] / lower["filled"] < SECOND_DATA)
-    return scored.select("file_id", "row", score.alias("score"), (F.col("row") + F.coalesce(two, F.lit(False)).cast("int")).alias("end"))
+    incomplete = (n > F.col("unique")) | (F.size(F.array_except(lower["cols"], F.col("cols"))) > 0)
+    two = (lower["row"] == F.col("row") + 1) & (lower["data"] / lower["filled"] < SECOND_DATA) & incomplete
+    can = (F.col("row") <= settings.header_search_rows) & (n >= 2) & (F.col("hits") > 0)
+    end = F.col("row") + F.coalesce(two, F.lit(False)).cast("int")
+    return summed.withColumns({"score": F.when(can, score), "end": F.when(can, end)}).drop("width", "lower", *(f"below_{k}" for k in places), *every, *data, *sums)
 
 
 def header_scores(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """file_id, row, score of the rows that can be headers."""
-    return header_candidates(cells, vocabulary, settings).select("file_id", "row", "score")
+    return scored(cells, vocabulary, settings).where("score is not null").select("file_id", "row", "score")
+
+
+def headed(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Row records with their sheet's header_row, header_end and score (of the best row, the first of equal
+    ones, with a second one where it needs that; null without a header), before, and stop as bounded() has
+    it. All windows go over a sheet's rows in their order, so they share a shuffle and a sort, and what
+    reads these records needs neither a join nor a window for it. cells: of filled(), or their row records."""
+    rows = scored(cells, vocabulary, settings)
+    best = F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("worse"), "row", "end"))).over(whole_sheet())
+    told = rows.withColumn("best", best).withColumns({"header_row": F.col("best.row"), "header_end": F.col("best.end"), "score": -F.col("best.worse")})
+    return bounded(told.drop("best", "end"), settings)
 
 
 def headers(cells: DataFrame, vocabulary: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """file_id, header_row, header_end, score: the best row, the first of equal ones, with a second one where it needs that."""
-    best = header_candidates(cells, vocabulary, settings).groupBy("file_id").agg(F.min_by(F.struct("row", "end", "score"), F.struct(-F.col("score"), "row")).alias("b"))
-    return best.select("file_id", F.col("b.row").alias("header_row"), F.col("b.end").alias("header_end"), F.col("b.score").alias("score"))
+    """file_id, header_row, header_end, score of the sheets that have a header. cells: of filled(), their row records, or those of headed()."""
+    rows = cells if "stop" in cells.columns else headed(cells, vocabulary, settings)
+    return rows.where("row = header_row").select("file_id", "header_row", "header_end", "score")
 
 
 def header_labels(cells: DataFrame, found: DataFrame) -> DataFrame:
     """file_id, col, header, parts, normalized, leaf: parts from top to bottom, equal neighbours once."""
-    rows = sheet_rows(cells).select("file_id", "row", "held").join(of_file(found), "file_id").where(F.col("row").between(F.col("header_row"), F.col("header_end")))
+    rows = with_headers(cells, found).where(F.col("row").between(F.col("header_row"), F.col("header_end"))).select("file_id", "row", "held")
     parts = with_text(cells_of(rows)).groupBy("file_id", "col").agg(F.sort_array(F.collect_list(F.struct("row", "shown", "norm"))).alias("p"))  # two at most
     once = F.filter("p", lambda x, k: (k == 0) | (x["norm"] != F.get(F.col("p"), k - 1)["norm"]))
     named = parts.select("file_id", "col", F.transform(once, lambda x: x["shown"]).alias("parts"))
@@ -130,27 +141,34 @@ def is_terminator(norm: Column, settings: Settings) -> Column:
     return norm.rlike("^(" + "|".join(settings.terminators) + ")( |$)")
 
 
-def sheet_rows(cells: DataFrame) -> DataFrame:
+def sheet_rows(cells: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """One record for each row that isn't blank: file_id, row, filled, first_col, lead (norm of the first
     filled cell), cols, mask and beyond (cols up to MASKED as bits, and the others), data (cells that look
     like data), data_mask and data_beyond (their columns), unique (different norms), wordy (cells of many
-    words) and held (its cells by column). What follows reads these, which are far fewer than cells; row
-    records given here are returned as they are. cells: of filled()."""
+    words), held (its cells by column) and, with a vocabulary, vocab (cells whose norm it has). What follows
+    reads these, which are far fewer than cells; row records given here are returned as they are, with vocab
+    if they lack it. cells: of filled(); vocabulary: norm, a table that fits in memory."""
+    words = None if vocabulary is None else F.broadcast(vocabulary.select("norm").distinct().withColumn("known", F.lit(True)))
     if "lead" in cells.columns:
-        return cells
+        if words is None or "vocab" in cells.columns:
+            return cells
+        known = cells.select("file_id", "row", F.explode("held.norm").alias("norm")).join(words, "norm").groupBy("file_id", "row").agg(F.count("*").cast("int").alias("vocab"))
+        return cells.join(of_file(known), ["file_id", "row"], "left").withColumn("vocab", F.coalesce("vocab", F.lit(0)))
     told = with_text(cells.select("file_id", "row", "col", "kind", "s", "n", "d"))
     spaces = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
     bit = F.when(F.col("col") <= MASKED, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("col") - 1)).otherwise(0)
     bits = lambda c: F.coalesce(F.bit_or(c), F.lit(0).cast("long"))
+    told = told if words is None else told.join(words, "norm", "left")
+    count = [] if words is None else [F.count_if("known").cast("int").alias("vocab")]
     own = told.groupBy("file_id", "row").agg(
-        F.sort_array(F.collect_list(F.struct("col", "norm", F.when(F.col("data"), F.col("col")).alias("data_col"), "kind", "s", "n", "d"))).alias("held"), F.count_if("data").cast("int").alias("data"), F.count_if(spaces >= WORDY).cast("int").alias("wordy"),
+        *count, F.sort_array(F.collect_list(F.struct("col", "norm", F.when(F.col("data"), F.col("col")).alias("data_col"), "kind", "s", "n", "d"))).alias("held"), F.count_if("data").cast("int").alias("data"), F.count_if(spaces >= WORDY).cast("int").alias("wordy"),
         bits(bit).alias("mask"), bits(F.when(F.col("data"), bit)).alias("data_mask"),
     )
     first, last = F.col("held")[0], F.element_at("held", -1)
     beyond = lambda c: F.when(last["col"] > MASKED, F.filter(c, lambda k: k > MASKED)).otherwise(F.array().cast("array<int>"))
     return own.select(
         "file_id", "row", F.size("held").alias("filled"), first["col"].alias("first_col"), first["norm"].alias("lead"), F.col("held.col").alias("cols"), "mask", beyond("held.col").alias("beyond"),
-        "data", "data_mask", beyond("held.data_col").alias("data_beyond"), F.size(F.array_distinct("held.norm")).alias("unique"), "wordy", "held",
+        "data", "data_mask", beyond("held.data_col").alias("data_beyond"), F.size(F.array_distinct("held.norm")).alias("unique"), "wordy", "held", *(["vocab"] if count else []),
     )
 
 
@@ -159,17 +177,28 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", "row", F.explode("held").alias("c")).select("file_id", "row", "c.col", "c.kind", "c.s", "c.n", "c.d")
 
 
-def body_rows(cells: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows below the header with before (the last row above that isn't blank), ended (at or beyond
-    the end of the table) and stop_at (where the table ends, on the rows that end it): one window over
-    the rows of a sheet. A line ends it by its first filled cell, if that is one of the first three columns."""
-    rows = dealt(sheet_rows(cells).select("file_id", "row", "filled", "first_col", "lead", "cols")).join(of_file(found.select("file_id", "header_end")), "file_id").where("row > header_end")
-    order = W.partitionBy("file_id").orderBy("row")
-    placed = rows.withColumn("before", F.coalesce(F.lag("row").over(order), F.col("header_end")))
-    stop = is_terminator(F.col("lead"), settings) & (F.col("first_col") <= LEAD_COLUMNS)
-    gap = F.col("row") - F.col("before") > settings.blank_run
-    marked = placed.withColumn("stop_at", F.when(gap, F.col("before") + 1).when(stop, F.col("row")))
-    return marked.withColumn("ended", F.max(F.col("stop_at").isNotNull()).over(order.rowsBetween(W.unboundedPreceding, 0)))
+def with_headers(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """Row records with header_row and header_end, those of found; records of headed() have their own."""
+    rows = sheet_rows(cells)
+    if "stop" in rows.columns:
+        return rows.where("header_row is not null")
+    return dealt(rows).join(of_file(found.select("file_id", "header_row", "header_end")), "file_id")
+
+
+def bounded(rows: DataFrame, settings: Settings) -> DataFrame:
+    """rows (with before and header_end) with stop: of the first row below the header that ends the table its
+    row, and at, where the table ends; null if none does. A run of blank rows ends it, or a line by its first
+    filled cell, if that is one of the first three columns."""
+    above = F.greatest("before", "header_end")
+    line = (F.col("first_col") <= LEAD_COLUMNS) & is_terminator(F.col("lead"), settings)
+    at = F.when(F.col("row") > F.col("header_end"), F.when(F.col("row") - above > settings.blank_run, above + 1).when(line, F.col("row")))
+    return rows.withColumn("at", at).withColumn("stop", F.min(F.when(F.col("at").isNotNull(), F.struct("row", "at"))).over(whole_sheet())).drop("at")
+
+
+def placed(cells: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Row records of the sheets with a header, with header_row, header_end, before and stop."""
+    rows = with_headers(cells, found)
+    return rows if "stop" in rows.columns else bounded(rows.withColumn("before", F.lag("row").over(in_order())), settings)
 
 
 def complete(anchors: Column, least: Column) -> tuple[Column, Column]:
@@ -181,41 +210,43 @@ def extents(cells: DataFrame, found: DataFrame, settings: Settings = Settings())
     """file_id, data_start, data_end, cut (first row beyond), anchors, least: up to a terminator or a run
     of blank rows, then without the last rows that lack a column which nearly all rows fill (anchors), or
     have fewer than `least` cells. cells: of filled(), or their row records."""
-    body = body_rows(cells, found, settings)
-    kept = body.where(~F.col("ended"))
-    ends = body.groupBy("file_id").agg(F.first("header_end").alias("header_end"), F.coalesce(F.min("stop_at"), F.max("row") + 1).alias("cut"), F.max(F.when(~F.col("ended"), F.col("row"))).alias("last"), F.sum(F.when(~F.col("ended"), F.col("filled"))).alias("cells"))
+    rows = placed(cells, found, settings).where((F.col("row") > F.col("header_end")) & (F.col("stop").isNull() | (F.col("row") < F.col("stop.row"))))
+    kept = rows.select("file_id", "header_end", F.col("stop.at").alias("at"), "row", "filled", "cols")
+    columns = kept.select("file_id", "header_end", "at", "row", F.explode("cols").alias("col")).groupBy("file_id", "header_end", "at", "col").agg(F.count("*").alias("n"), F.max("row").alias("last"))
+    ends = columns.groupBy("file_id", "header_end", "at").agg(F.max("last").alias("last"), F.sum("n").alias("cells"), F.collect_list(F.struct("col", "n")).alias("c"))  # a sheet's columns are few
     size = F.col("last") - F.col("header_end")
-    sized = ends.where("last is not null").select("file_id", "header_end", "cut", size.alias("size"), F.greatest(F.lit(2.0), SPARSE * F.col("cells") / size).alias("least"))
-    columns = kept.select("file_id", F.explode("cols").alias("col")).groupBy("file_id", "col").agg(F.count("*").alias("n"))
-    anchored = columns.join(of_file(sized), "file_id").where(F.col("n") >= ANCHOR * F.col("size")).groupBy("file_id").agg(F.sort_array(F.collect_list("col")).alias("anchors"))  # a sheet's columns are few
-    known = sized.join(of_file(anchored), "file_id", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<int>")))
+    sized = ends.select("file_id", F.coalesce("at", F.col("last") + 1).alias("cut"), F.greatest(F.lit(2.0), SPARSE * F.col("cells") / size).alias("least"), size.alias("size"), "c")
+    anchors = F.transform(F.filter("c", lambda x: x["n"] >= ANCHOR * F.col("size")), lambda x: x["col"])
+    known = sized.select("file_id", "cut", "least", F.sort_array(anchors).alias("anchors"))
     whole, dense = complete(F.col("anchors"), F.col("least"))
-    last = kept.drop("header_end").join(of_file(known), "file_id").where(whole & dense).groupBy("file_id").agg(F.max("row").alias("data_end"))
-    return known.join(of_file(last), "file_id").select("file_id", (F.col("header_end") + 1).alias("data_start"), "data_end", "cut", "anchors", "least")
+    last = dealt(kept.select("file_id", "header_end", "row", "filled", "cols")).join(of_file(known), "file_id").where(whole & dense)
+    return last.groupBy("file_id").agg((F.first("header_end") + 1).alias("data_start"), F.max("row").alias("data_end"), *(F.first(c).alias(c) for c in ("cut", "anchors", "least")))
 
 
 def dropped_rows(cells: DataFrame, found: DataFrame, extent: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """file_id, row, reason of the rows outside the table, and blank ones within. A sheet with a header
     and no record beneath has all its rows below reported."""
-    rows = sheet_rows(cells).drop("held")
-    placed = rows.join(of_file(found.select("file_id", "header_row", "header_end")), "file_id").join(of_file(extent.select("file_id", "data_end", "cut", "anchors")), "file_id", "left")
+    rows = placed(cells, found, settings).select("file_id", "row", "cols", "header_row", "header_end", "before")
+    told = dealt(rows).join(of_file(extent.select("file_id", "data_end", "cut", "anchors")), "file_id", "left")
+    row, above = F.col("row"), F.greatest("before", "header_end")
     lacks = F.size(F.array_except("anchors", "cols")) > 0
     reason = (
-        F.when(F.col("row") < F.col("header_row"), "above the header row")
-        .when(F.col("row") >= F.col("cut"), "beyond the end of the table")
-        .when((F.col("row") > F.col("data_end")) & lacks, "missing identifying columns")
-        .when(F.col("row") > F.col("data_end"), "too sparse to be a record")
-        .when(F.col("cut").isNull() & (F.col("row") > F.col("header_end")), "no record beneath the header")
+        F.when(row < F.col("header_row"), "above the header row")
+        .when(row >= F.col("cut"), "beyond the end of the table")
+        .when((row > F.col("data_end")) & lacks, "missing identifying columns")
+        .when(row > F.col("data_end"), "too sparse to be a record")
+        .when(F.col("cut").isNull() & (row > F.col("header_end")), "no record beneath the header")
     )
-    outside = placed.select("file_id", "row", reason.alias("reason")).where("reason is not null")
-    gaps = body_rows(rows, found, settings).join(of_file(extent.select("file_id", "data_end")), "file_id").where("row <= data_end and row - before > 1")
-    blank = gaps.select("file_id", F.explode(F.sequence(F.col("before") + 1, F.col("row") - 1)).alias("row"), F.lit(BLANK).alias("reason"))
-    return outside.unionByName(blank)
+    # A row is left out, or stands in the table below blank ones, or neither.
+    blank = (row > F.col("header_end")) & (row <= F.col("data_end")) & (row - above > 1)
+    left = told.withColumn("reason", reason).where(F.col("reason").isNotNull() | blank)
+    outside = F.col("reason").isNotNull()
+    return left.select("file_id", F.explode(F.when(outside, F.array("row")).otherwise(F.sequence(above + 1, row - 1))).alias("row"), F.coalesce("reason", F.lit(BLANK)).alias("reason"))
 
 
 def filled_columns(cells: DataFrame, labels: DataFrame, extent: DataFrame) -> DataFrame:
     """labels and every column that the block fills, with fill: its share of the block's rows."""
-    rows = sheet_rows(cells).select("file_id", "row", "cols").join(of_file(extent.select("file_id", "data_start", "data_end")), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end")))
+    rows = dealt(sheet_rows(cells).select("file_id", "row", "cols")).join(of_file(extent.select("file_id", "data_start", "data_end")), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end")))
     fill = rows.select("file_id", F.explode("cols").alias("col"), (F.col("data_end") - F.col("data_start") + 1).alias("rows")).groupBy("file_id", "col").agg((F.count("*") / F.first("rows")).alias("fill"))
     own = labels.join(of_file(extent.select("file_id")), "file_id", "left_semi")  # a sheet without a block has no columns to judge
     return fill.join(of_file(own), ["file_id", "col"], "full")
@@ -251,11 +282,14 @@ def notes(files: DataFrame, cells: DataFrame, found: DataFrame, extent: DataFram
     return joined.select("file_id", note.alias("note")).where("note is not null")
 
 
+def block_rows(rows: DataFrame, extent: DataFrame) -> DataFrame:
+    """The data rows of row records, or of cells."""
+    return rows.join(of_file(extent.select("file_id", "data_start", "data_end")), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).drop("data_start", "data_end")
+
+
 def block(cells: DataFrame, extent: DataFrame) -> DataFrame:
     """The cells of the data rows. cells: of filled(), or their row records."""
-    own = cells.select("file_id", "row", "held") if "lead" in cells.columns else cells
-    inside = own.join(of_file(extent.select("file_id", "data_start", "data_end")), "file_id").where(F.col("row").between(F.col("data_start"), F.col("data_end"))).drop("data_start", "data_end")
-    return cells_of(inside) if "lead" in cells.columns else inside
+    return cells_of(block_rows(cells.select("file_id", "row", "held"), extent)) if "lead" in cells.columns else block_rows(cells, extent)
 
 
 def choose_sheets(cells: DataFrame, preference: DataFrame | None = None, rows: int = 200) -> DataFrame:

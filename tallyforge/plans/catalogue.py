@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -400,21 +400,20 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     return names.select(text.normalize_header(F.col("name")).alias("norm"))
 
 
-def sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(row records with their cells, headers), written: each of the steps behind reads both several times."""
-    rows = tables.written(detect.sheet_rows(detect.filled(grid(spark, sf_dir))), "rows")
-    return rows, tables.written(detect.headers(rows, vocabulary(spark)), "headers")
-
-
-def sheet_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row records with their cells, headers, extents), all written."""
-    rows, found = sheets(spark, sf_dir)
+def sheet_tables(spark: SparkSession, sf_dir: str, held: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row records with their headers, written, since each of the steps behind reads them; the headers among
+    them; extents). held: the cells that these steps read; the windows carry rows without any where it is None."""
+    rows = detect.sheet_rows(detect.filled(grid(spark, sf_dir)), vocabulary(spark))
+    rows = rows.drop("held") if held is None else rows.withColumn("held", held)
+    rows = tables.written(detect.headed(rows, vocabulary(spark)), "rows")
+    found = detect.headers(rows, vocabulary(spark))
     return rows, found, tables.written(detect.extents(rows, found), "extents")
 
 
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 3 AS INTEGER) AS header_row, CAST(f % 3 + 3 AS INTEGER) AS header_end FROM o GROUP BY f")
 def header_row_score(spark, sf_dir):
-    return sheets(spark, sf_dir)[1].select("file_id", "header_row", "header_end")
+    found = detect.headers(detect.filled(grid(spark, sf_dir)), vocabulary(spark))
+    return found.select("file_id", "header_row", "header_end")
 
 
 @query(f"WITH {GRID_SQL} SELECT f AS file_id, CAST(f % 3 + 4 AS INTEGER) AS data_start, CAST(f % 3 + 3 + max(k) AS INTEGER) AS data_end FROM o GROUP BY f")
@@ -438,7 +437,7 @@ def dropped_rows(spark, sf_dir):
        FROM (SELECT DISTINCT o_custkey FROM orders)"""
 )
 def column_selection(spark, sf_dir):
-    rows, found, extent = sheet_tables(spark, sf_dir)
+    rows, found, extent = sheet_tables(spark, sf_dir, F.col("held"))
     kept = detect.selected_columns(rows, detect.header_labels(rows, found), extent)
     return kept.select("file_id", "col", "normalized", "fill")
 
@@ -448,9 +447,9 @@ def column_selection(spark, sf_dir):
        FROM orders GROUP BY ALL"""
 )
 def column_profile(spark, sf_dir):
-    sheet, _, extent = sheet_tables(spark, sf_dir)
+    sheet, _, extent = sheet_tables(spark, sf_dir, F.filter("held", lambda c: c["col"] == 3))
     rows = extent.select("file_id", (F.col("data_end") - F.col("data_start") + 1).cast("long").alias("rows"))
-    data = detect.block(sheet, extent).where("col = 3").withColumns({"shown": F.col("n").cast("string"), "number": F.col("n"), "date": F.col("d")})
+    data = detect.block(detect.cells_of(sheet), extent).withColumns({"shown": F.col("n").cast("string"), "number": F.col("n"), "date": F.col("d")})
     return resolve.profiles(data, rows).select("file_id", "total", "non_blank", "numeric_ratio", "unique_ratio", "min_value", "max_value")
 
 

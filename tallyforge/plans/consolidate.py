@@ -155,8 +155,8 @@ def consolidate(cells: DataFrame, files: DataFrame, words: Words | DataFrame, fi
     and all its rows below the header as dropped ones; an empty table of cells gives empty results.
     """
     words = words if isinstance(words, Words) else Words(words)
-    lines = written(detect.sheet_rows(detect.filled(cells)), "rows")
-    found = written(detect.headers(lines, vocabulary(words), settings), "headers")
+    lines = written(detect.headed(detect.filled(cells), vocabulary(words), settings), "rows")
+    found = detect.headers(lines, vocabulary(words), settings)
     extent, spans = tables.observed(detect.extents(lines, found, settings), "extents", lines=F.coalesce(F.sum(F.col("data_end") - F.col("data_start") + 1), F.lit(0)))
     labels = detect.header_labels(lines, found)
     columns = detect.selected_columns(lines, labels, extent, settings)
