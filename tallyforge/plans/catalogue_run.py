@@ -225,7 +225,7 @@ def date_likeness(spark, sf_dir):
 def rows_conserved(spark, sf_dir):
     """Of every sheet: rows kept, dropped within the table, and what they must add up to."""
     rows, found, extent = sheet_tables(spark, sf_dir)
-    return audit.conserved(detect.block(rows, extent), detect.dropped_rows(rows, found, extent), extent)
+    return audit.conserved(detect.block_rows(rows, extent), detect.dropped_rows(rows, found, extent), extent)
 
 
 #: Sheets with f % 4 = 0 have no total premium, those with f % 5 = 0 spell the net premium otherwise.
