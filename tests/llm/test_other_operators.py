@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyforge.llm import media, queries, toxicity, url_filters, warc
@@ -164,6 +165,85 @@ def test_popular_keys_keep_every_pair(spark):
     assert pairs(*media.spread(index, asked), ["key", "part"]) == plain
 
 
+def popular_images(n: int) -> tuple[list[tuple], list[tuple]]:
+    """FEATURE rows of n images and of n / 4 queries, moved by four pixels: eight features of their own and two of
+    eight patterns that all share, at random places. Image n has nothing but patterns, and a query has them alike."""
+    rng = random.Random(n)
+    words = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(8)]
+    like = lambda w: (words[w][0] ^ (1 << rng.randrange(32)), words[w][1])
+    place = lambda: (12.0 * rng.randrange(4, 40), 12.0 * rng.randrange(4, 40))
+    rows = [(k, *place(), 0, 3, rng.getrandbits(63), rng.getrandbits(63)) for k in range(n) for _ in range(8)]
+    rows += [(k, *place(), 0, 3, *like(w)) for k in range(n) for w in rng.sample(range(8), 2)]
+    rows += [(n, *place(), 0, 3, *like(w)) for w in range(8)]
+    asked = [(k, x + 4, y + 4, *rest) for k, x, y, *rest in rows if k % 4 == 0]
+    return rows, asked
+
+
+def votes_of_all_pairs(rows: list[tuple], asked: list[tuple]) -> set[tuple]:
+    """(query, image, votes) by every pair of features (unturned, of one scale) that agree in a quarter."""
+    quarters = lambda r: [(r[5] >> 32, 0), (r[5] & 0xFFFFFFFF, 1), (r[6] >> 32, 2), (r[6] & 0xFFFFFFFF, 3)]
+    held, cast = {}, {}
+    for r in rows:
+        for key in quarters(r):
+            held.setdefault(key, []).append(r)
+    for q in asked:
+        for key in quarters(q):
+            for r in held.get(key, []):
+                if (r[5] ^ q[5]).bit_count() + (r[6] ^ q[6]).bit_count() <= media.DISTANCE:
+                    cast.setdefault((q[0], r[0], round((r[1] - q[1]) / media.SHIFT), round((r[2] - q[2]) / media.SHIFT)), set()).add(q[1:3])
+    best = {}
+    for (query, image, *_), of in cast.items():
+        best[query, image] = max(len(of), best.get((query, image), 0))
+    return {(*k, v) for k, v in best.items() if v >= media.VOTES}
+
+
+def most_joined(spark, run) -> int:
+    """The most rows that an inner join gave in the executions of run()."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, every = 0, store.executionsList(before, 1000)
+    for execution in (every.apply(k).executionId() for k in range(every.size())):
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Inner" in node.desc() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_popular_patterns_grow_with_the_images(spark, monkeypatch):
+    """Four times the images and queries give about four times the pairs of features, not sixteen times, and the
+    copies are those of all pairs, also one that only patterns which every eighth image has can show."""
+    monkeypatch.setattr(media, "features", lambda images: images)
+    made = {}
+    for n in (80, 320):
+        rows, asked = popular_images(n)
+        held, queries_ = (spark.createDataFrame(r, media.FEATURE) for r in (rows, asked))
+        found = []
+        made[n] = most_joined(spark, lambda h=held, q=queries_, f=found: f.extend(media.matches(h, q).collect()))
+        assert {(r["query"], r["image"], r["votes"]) for r in found} == votes_of_all_pairs(rows, asked) >= {(n, n, 8)}
+        assert len(found) == n // 4 + 1
+    assert 0 < made[320] <= 6 * made[80]
+
+
+def test_pairs_of_keys(spark):
+    """Every pair whose keys and whose pair are in the bitmaps passes, in the order asked, beyond a block of keys too."""
+    rng = np.random.default_rng(2)
+    found = spark.createDataFrame([(5, k, *rng.integers(-(2**62), 2**62, 2).tolist()) for k in range(75)], "image long, at long, d0 long, d1 long")
+    keys = np.array([[r["at"], r["key"]] for r in media.keyed(found).collect()])
+    mixes = [media.mixed(keys[:, 1].copy(), side) for side in range(3)]
+    chosen = ((0, 299), (299, 0), (150, 150), (200, 10))
+    due = {(5, int(mixes[1][a] ^ mixes[2][b]), int(keys[a, 0]), int(keys[b, 0])) for a, b in chosen}
+    maps = [media.bitmap(spark.createDataFrame([(int(h),) for h in x], "key long")) for x in ([mixes[0][k] for k in {k for p in chosen for k in p}], [d[1] for d in due])]
+    rows = found.collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), *(pa.array([[r[c] for r in rows], [rows[0][c]]]) for c in ("at", "d0", "d1"))], names=["image", "at", "d0", "d1"])
+    got = lambda *maps: [tuple(r.values()) for b in media.paired(*maps)(iter([batch])) for r in b.to_pylist()]
+    assert due <= set(got(*maps)) and len(got(*maps)) < 5 * len(due)
+    assert len(got(*(m | -1 for m in maps))) == 300 * 300 + 4 * 4
+
+
 def test_image_members(spark, tmp_path):
     rng = np.random.default_rng(5)
     vectors = [rng.normal(size=64).tolist() for _ in range(4)]
